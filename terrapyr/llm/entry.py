@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import chat, mixing, url_filter, warc
 
-QUERIES = {"op8_url_filter": url_filter.op8_url_filter}
-SQL = {"op8_url_filter": url_filter.SQL}
+QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op3_warc_bundles": warc.op3_warc_bundles, "op6_chat_masks": chat.op6_chat_masks, "op8_url_filter": url_filter.op8_url_filter}
+SQL = {"op6_chat_masks": chat.SQL, "op3_warc_bundles": warc.SQL, "op8_url_filter": url_filter.SQL}
