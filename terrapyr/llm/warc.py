@@ -172,7 +172,9 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
 def read_records(index: DataFrame) -> DataFrame:
     """What the archives say of every record of the index."""
-    frames = index.repartition("bundle").groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length", "page_id")).alias("records"))
+    # The index is small beside the archives: the number of bundles, not its bytes, says how many tasks to use.
+    bundles = index.agg(F.count_distinct("bundle")).first()[0]
+    frames = index.repartition(max(1, bundles), "bundle").groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length", "page_id")).alias("records"))
 
     def read(batches):
         import pyarrow as pa
