@@ -105,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = F.xxhash64(F.lit(seed), "idx", F.expr("r div blocks"))
     takes = slot.select("idx", permute(F.col("r") % F.col("blocks"), F.col("blocks"), key, rounds).alias("block")).groupBy("idx", "block").agg(F.count("*").alias("takes"))
 
-    joined = pieces.join(takes, ["idx", "block"], "left").withColumn("took", F.col("words") * F.coalesce("takes", F.lit(0)))
+    joined = pieces.join(takes.hint("merge"), ["idx", "block"], "left").withColumn("took", F.col("words") * F.coalesce("takes", F.lit(0)))
     out = joined.groupBy("idx", "bucket", "row").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("took").cast("long").alias("taken"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
