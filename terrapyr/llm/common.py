@@ -153,6 +153,20 @@ def fold(data: np.ndarray) -> np.ndarray:
     return _FOLD[data]
 
 
+def fold_letters(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1, Greek and Cyrillic in lower case, in UTF-8; no text gets longer or shorter."""
+    out = _FOLD[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) | (data[:-1] == 0xCE) | (data[:-1] == 0xD0)) if len(data) > 1 else np.zeros(0, np.int64)
+    a, b = data[lead], data[lead + 1]
+    latin = (a == 0xC3) & (b >= 0x80) & (b <= 0x9E) & (b != 0x97)
+    near = latin | ((a == 0xCE) & (b >= 0x91) & (b <= 0x9F)) | ((a == 0xD0) & (b >= 0x90) & (b <= 0x9F))
+    far = ((a == 0xCE) & (b >= 0xA0) & (b <= 0xA9)) | ((a == 0xD0) & (b >= 0xA0) & (b <= 0xAF))
+    out[lead[near] + 1] += 0x20
+    out[lead[far]] += 1  # these lie under the next lead byte
+    out[lead[far] + 1] -= 0x20
+    return out
+
+
 def slices(batch, mb: int = 4):
     """Parts of an Arrow batch whose texts together have some MB at most, or one row."""
     import pyarrow.compute as pc

@@ -7,7 +7,7 @@ are out-of-fold predictions, so that a later model learns from what an earlier o
 unseen texts. Only `toxic` has labels; the other two are derived from the label and from the
 number of strong cues in the labelled text.
 
-Features are words (runs of letters, digits and non-ASCII bytes; A-Z in lower case) and
+Features are words (runs of letters, digits and non-ASCII bytes, in lower case) and
 their prefixes of 4, 5 and 6 bytes, hashed to 20 bits. The fit takes at most `sample`
 labelled documents, by a hash of their id, and keeps the `keep` features with the largest
 log-odds in them. Every word of every text is looked up when scoring; counts enter as
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, arrow_bytes, fold, slices, table, words
+from .common import Spans, arrow_bytes, fold_letters, slices, table, words
 from .quality import _sigmoid, labelled_sample
 
 CATEGORIES = ("severe", "repeated", "toxic")
@@ -37,7 +37,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray
     start, end, doc = words(data, offsets)
     if not len(start):
         return []
-    spans, shift, out = Spans(fold(data)), np.uint64(64 - BITS), []
+    spans, shift, out = Spans(fold_letters(data)), np.uint64(64 - BITS), []
     out.append(((spans.hash(start, end) >> shift).astype(np.int64), doc))
     for k in PREFIXES:
         long = np.flatnonzero(end - start > k)
