@@ -178,3 +178,16 @@ def slices(batch, mb: int = 4):
         end = max(begin + 1, int(np.searchsorted(total, base + mb * 2**20, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
+
+
+def keep_where(docs: DataFrame, wanted) -> DataFrame:
+    """The rows for which `wanted(bytes, offsets)` of the column text says so, with all their columns and without a shuffle."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(wanted(*arrow_bytes(part.column("text")))))
+
+    return docs.mapInArrow(work, docs.schema)

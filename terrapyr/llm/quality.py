@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, arrow_bytes, fold, slices, table, words
+from .common import Spans, arrow_bytes, fold, keep_where, slices, table, words
 
 PASSAGE = 64
 HASHED = 16
@@ -203,6 +203,16 @@ def score(docs: DataFrame, model: AttentionMIL, keep: list[str] | None = None) -
     return given.mapInArrow(work, schema)
 
 
+def accept(docs: DataFrame, model: AttentionMIL, least: float = 0.3) -> DataFrame:
+    """The documents with a score of `least` or more."""
+
+    def wanted(data, offsets):
+        x, base = passages(data, offsets)
+        return model.score(x.astype(np.float64), base) >= least
+
+    return keep_where(docs, wanted)
+
+
 def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -55,18 +55,18 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed bigint."""
+    """(doc_id, h, fp): h is a hash of the text, fp the fingerprint as a signed bigint."""
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(2).cast(pa.large_binary())
             fps = np.array([fingerprint(x.as_buffer().to_pybytes()) if x.is_valid else 0 for x in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"doc_id {kind}, fp long")
+    kind, text = docs.schema[id_col].dataType.simpleString(), F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(work, f"doc_id {kind}, h long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -107,18 +107,39 @@ def links(fps: DataFrame) -> DataFrame:
     return plain.union(sent.groupBy("s", "key", "m", "q").applyInPandas(compare, "a long, b long"))
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of every document, and (fp, first_id, component) of every fingerprint; component is a fingerprint."""
     got = settle(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = settle(got.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     joined = components(links(nodes.select("fp")))
     named = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return got, settle(named, "named")
+
+
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
+    got, named = _grouped(docs, id_col, text_col)
     # A component's smallest id comes back to each of its fingerprints.
-    named = settle(named, "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select("fp", "component_id")
     return got.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def dedup(docs: DataFrame) -> DataFrame:
+    """One document of each group, in its own columns: that with the smallest id (null last), then text hash."""
+    got, named = _grouped(docs, "doc_id", "text")
+    best = got.join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "h")).alias("best"))
+    best = settle(best.select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h")).distinct(), "kept")
+    keyed = docs.withColumn("_h_own", F.xxhash64(F.col("text").cast("string")))
+    same = lambda other: F.col("doc_id").eqNullSafe(other["_id"]) & (F.col("_h_own") == other["_h"])
+    kept = keyed.join(best, same(best), "left_semi")
+    # Rows that repeat id and text: rare, and only then looked at by content.
+    twice = got.join(best, F.col("doc_id").eqNullSafe(best["_id"]) & (F.col("h") == best["_h"]), "left_semi").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    twice = settle(twice, "repeated")
+    if twice.limit(1).count():
+        kept = kept.join(twice, same(twice), "left_anti").union(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "_h_own"]))
+    return kept.drop("_h_own")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Spans, arrow_bytes, fold_letters, slices, table, words
+from .common import Spans, arrow_bytes, fold_letters, keep_where, settle, slices, table, words
 from .quality import _sigmoid, labelled_sample
 
 CATEGORIES = ("severe", "repeated", "toxic")
@@ -120,8 +120,6 @@ def sparse(slots: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, keep: int = 512, label: str = "toxic") -> Chain:
     """Trains on the driver; two passes over the sample's texts, which are put in the shared folder once."""
-    from .common import settle
-
     rows = settle(labelled_sample(docs, labels, label, sample), "toxicity-sample")
 
     def tally(batches):
@@ -151,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, keep: int = 512,
     odds = np.log((positive + 0.25) / (total[1] + 0.5)) - np.log((negative + 0.25) / (total[0] + 0.5))
     odds[positive < (3 if total[1] >= 60 else 2)] = -np.inf
     # Weaker cues than that are more often chance than meaning.
-    rank = np.where(odds > 2.5, odds * np.sqrt(np.minimum(positive, 50)), 0.0)
+    rank = np.where(odds > 2.5, np.maximum(odds, 0) * np.sqrt(np.minimum(positive, 50)), 0.0)
     best = np.argsort(-rank, kind="stable")[:keep]
     best = best[rank[best] > 0]
     if not len(best):
@@ -199,6 +197,16 @@ def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataF
     return given.mapInArrow(work, schema)
 
 
+def accept(docs: DataFrame, chain: Chain, below: float = 0.5) -> DataFrame:
+    """The documents whose last category has a probability under `below`."""
+
+    def wanted(data, offsets):
+        hits = sparse(chain.slots, data, offsets) if chain.constant is None else (None, None, None)
+        return chain.predict(*hits, len(offsets) - 1)[:, -1] < below
+
+    return keep_where(docs, wanted)
+
+
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).withColumn("toxic", F.col("p_toxic") >= 0.5)
