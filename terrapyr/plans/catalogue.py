@@ -1,3 +1,5 @@
 """Imports every module that registers queries."""
 
 from ..operators import tiling  # noqa: F401
+from ..sources import readers  # noqa: F401
+from ..operators import catalog  # noqa: F401
