@@ -4,3 +4,4 @@ from ..operators import tiling  # noqa: F401
 from ..sources import readers  # noqa: F401
 from ..operators import catalog  # noqa: F401
 from ..operators import raster  # noqa: F401
+from ..operators import mesh  # noqa: F401
