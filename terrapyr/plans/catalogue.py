@@ -7,3 +7,5 @@ from ..operators import raster  # noqa: F401
 from ..operators import mesh  # noqa: F401
 from ..operators import ops  # noqa: F401
 from ..sources import sinks  # noqa: F401
+from ..streaming import incremental  # noqa: F401
+from . import builds  # noqa: F401
