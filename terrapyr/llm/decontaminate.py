@@ -165,7 +165,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without contaminated ones, in their own columns."""
     bad = find(docs, benchmark, **options).select("_id", "_h")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_h")), "left_anti")
+    same_text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_h"]
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & same_text, "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

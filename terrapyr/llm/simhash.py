@@ -130,15 +130,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     got, named = _grouped(docs, "doc_id", "text")
     best = got.join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "h")).alias("best"))
     best = settle(best.select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h")).distinct(), "kept")
-    keyed = docs.withColumn("_h_own", F.xxhash64(F.col("text").cast("string")))
-    same = lambda other: F.col("doc_id").eqNullSafe(other["_id"]) & (F.col("_h_own") == other["_h"])
-    kept = keyed.join(best, same(best), "left_semi")
+    own = F.xxhash64(docs["text"].cast("string"))
+    same = lambda other: docs["doc_id"].eqNullSafe(other["_id"]) & (own == other["_h"])
     # Rows that repeat id and text: rare, and only then looked at by content.
-    twice = got.join(best, F.col("doc_id").eqNullSafe(best["_id"]) & (F.col("h") == best["_h"]), "left_semi").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    twice = got.join(best, got["doc_id"].eqNullSafe(best["_id"]) & (got["h"] == best["_h"]), "left_semi").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     twice = settle(twice, "repeated")
-    if twice.limit(1).count():
-        kept = kept.join(twice, same(twice), "left_anti").union(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "_h_own"]))
-    return kept.drop("_h_own")
+    kept = docs.join(best, same(best), "left_semi")
+    if not twice.limit(1).count():
+        return kept
+    once = best.join(twice, best["_id"].eqNullSafe(twice["_id"]) & (best["_h"] == twice["_h"]), "left_anti")
+    return docs.join(once, same(once), "left_semi").union(docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
