@@ -31,7 +31,8 @@ def watch(spark: SparkSession, catalog_dir: str, schema: StructType, out_dir: st
 
 def touch_counts(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events per window and kind. On a stream, rows later than the watermark are dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant; the session's zone is UTC
+    return timed.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
 @query("ST_touch_counts", "select time_bucket(interval '1 hour', ts)::timestamp as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
