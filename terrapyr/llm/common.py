@@ -167,7 +167,7 @@ def fold_letters(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def slices(batch, mb: int = 4):
+def slices(batch, mb: int = 1):
     """Parts of an Arrow batch whose texts together have some MB at most, or one row."""
     import pyarrow.compute as pc
 
