@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, keep: int = 512,
     odds = np.log((positive + 0.25) / (total[1] + 0.5)) - np.log((negative + 0.25) / (total[0] + 0.5))
     odds[positive < (3 if total[1] >= 60 else 2)] = -np.inf
     # Weaker cues than that are more often chance than meaning.
-    rank = np.where(odds > 2.5, np.maximum(odds, 0) * np.sqrt(np.minimum(positive, 50)), 0.0)
+    rank = np.where(odds > 1.5, np.maximum(odds, 0) * np.sqrt(np.minimum(positive, 50)), 0.0)
     best = np.argsort(-rank, kind="stable")[:keep]
     best = best[rank[best] > 0]
     if not len(best):
