@@ -50,7 +50,15 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     path = fresh_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Removes settled tables that nothing will read again."""
+    for df in settled:
+        _remove(df.sparkSession, df._settled)
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], spread: Column, salts: int = 32) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +77,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", part_rows: int = 20
         small = settle(small, "small")
         # After a small star every larger end has one smaller end iff nothing is left to merge.
         busy = small.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or small.join(small.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+        discard(now, large)  # each round needs only the one before
         now = small
         if not busy:
             break
