@@ -34,6 +34,8 @@ BLOCK = 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision, whatever precision they are kept in."""
+    x = np.asarray(x, np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -112,7 +114,8 @@ def _valid(label: str, vector: str):
 def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
     """(cls, label, vector, n, first_id) of the distinct valid vectors, and (vec_id, cls) of all rows; cls is null for invalid ones."""
     label = F.concat_ws(":", F.col(label_col).cast("string"), F.size(vector_col))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("vector"), _valid(label_col, vector_col).alias("ok"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), label.alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"), _valid(label_col, vector_col).alias("ok"))
     rows = rows.withColumn("cls", F.when(F.col("ok"), F.xxhash64("label", "vector")))
     return rows.where("ok").groupBy("cls").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("first_id")), rows.select("vec_id", "cls")
 
@@ -138,6 +141,9 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     found = settle(found, "classes")
     centres = _centres(found, shard_rows, max_centres, apart)
 
+    kind = found.schema["vector"].dataType.simpleString()
+    single = kind == "array<float>"
+
     def route(batches):
         for batch in batches:
             pdf = batch.to_pandas()
@@ -154,9 +160,9 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     def _batch(pdf, many):
         import pyarrow as pa
 
-        return pa.RecordBatch.from_arrays([pa.array(pdf["cls"], pa.int64()), pa.array(pdf["label"], pa.string()), pa.array(pdf["n"], pa.int64()), pa.array(pdf["vector"], pa.list_(pa.float64())), pa.array(pdf["shards"], pa.list_(pa.int32()))], ["cls", "label", "n", "vector", "shards"])
+        return pa.RecordBatch.from_arrays([pa.array(pdf["cls"], pa.int64()), pa.array(pdf["label"], pa.string()), pa.array(pdf["n"], pa.int64()), pa.array(pdf["vector"], pa.list_(pa.float32() if single else pa.float64())), pa.array(pdf["shards"], pa.list_(pa.int32()))], ["cls", "label", "n", "vector", "shards"])
 
-    routed = found.select("cls", "label", "n", "vector").mapInArrow(route, "cls long, label string, n long, vector array<double>, shards array<int>")
+    routed = found.select("cls", "label", "n", "vector").mapInArrow(route, f"cls long, label string, n long, vector {kind}, shards array<int>")
     routed = settle(routed, "routed")
     placed = routed.select("cls", "label", F.explode("shards").alias("shard"))
     blocks = settle(placed.groupBy("label", "shard").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
