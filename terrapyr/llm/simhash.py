@@ -127,7 +127,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each group, in its own columns: that with the smallest id (null last), then text hash."""
-    got, named = _grouped(docs, "doc_id", "text")
+    return keep_one(docs, *_grouped(docs, "doc_id", "text"))
+
+
+def keep_one(docs: DataFrame, got: DataFrame, named: DataFrame) -> DataFrame:
+    """The same, for given (doc_id, h, fp) of the documents and (fp, component)."""
     best = got.join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "h")).alias("best"))
     best = settle(best.select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h")).distinct(), "kept")
     own = F.xxhash64(docs["text"].cast("string"))
