@@ -3,7 +3,8 @@
 Words are runs of letters, digits and non-ASCII bytes, in lower case. In templates a
 number is `<number>` (one with inner points or commas is one word), a unit after a number is
 `<unit>`, and, in the second of two template forms, a capitalised word inside a sentence is
-`<name>`. Windows of five template words that have at least three plain ones are hashed;
+`<name>`. Windows of five template words that have at least three plain ones are hashed; a
+window with fewer in the first form is hashed as it stands, so every window has a hash;
 documents' windows meet the benchmark's in an equi-join on the hash. Matches on one diagonal
 (document position minus item position) are one alignment. An alignment counts if its
 slots are consistent: wherever the item repeats a number, unit or name, the document repeats
@@ -94,6 +95,14 @@ def templates(data: np.ndarray, offsets: np.ndarray):
                 power = power * _ODD
                 total += t[at + k] * power
             out.append((at, mix(total + np.uint64(named)), slot))
+        # Windows that are mostly numbers and units say nothing as templates: they match word by word.
+        plain = np.concatenate([[0], np.cumsum(~(number | unit))])
+        at = whole[plain[whole + WINDOW] - plain[whole] < PLAIN]
+        total, power = np.zeros(len(at), np.uint64), np.uint64(1)
+        for k in range(WINDOW):
+            power = power * _ODD
+            total += h[at + k] * power
+        out.append((at, mix(total + np.uint64(2)), np.zeros(len(start), bool)))
     at = np.concatenate([x[0] for x in out])
     return doc[at], position[at], np.concatenate([x[1] for x in out]), _Slots(out, h), count
 

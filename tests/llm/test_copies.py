@@ -132,6 +132,16 @@ def test_slots_must_be_consistent(spark):
     assert decontaminate.clean(docs.limit(0), bench).count() == 0
 
 
+def test_items_rich_in_numbers_are_found_verbatim(spark):
+    items = ["Evaluate 12 + 7 * 3 - 45 / 9 + 100 - 8.", "Add 3 kg, 250 g, 2 kg and 750 g."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(0, f"Some words before. {items[0]} Some after."), (1, items[1]), (2, "Evaluate 13 + 6 * 2 - 44 / 8 + 101 - 7."), (3, "Add 4 kg, 150 g, 1 kg and 50 g.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (2_000_000, 0):
+        got = {r["_id"]: (r["items"], r["coverage"]) for r in decontaminate.find(docs, bench, held_windows=held).collect()}
+        assert got == {0: ([0], 1.0), 1: ([1], 1.0)}
+
+
 def vectors(seed=5, n=900):
     r = np.random.default_rng(seed)
     x = r.normal(size=(n, 16))
