@@ -86,7 +86,7 @@ def blend(stack: DataFrame, keys: list[str], order: list[str], value: str, alpha
         mixed = F.when(s["a"] >= 1.0, s["v"]).otherwise((1 - s["a"]) * d["v"] + s["a"] * s["v"])
         return F.when(s["a"] <= 0.0, d).otherwise(F.struct(mixed.alias("v"), F.greatest(d["a"], s["a"]).alias("a")))
 
-    return stack.groupBy(*keys).agg(F.aggregate(ordered, start, draw).alias("p")).select(*keys, F.col("p.v").alias(value), F.col("p.a").alias(alpha))
+    return stack.groupBy(*keys).agg(F.aggregate(ordered, start, draw).alias("__drawn")).select(*keys, F.col("__drawn.v").alias(value), F.col("__drawn.a").alias(alpha))
 
 
 def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ equi-keyed table. Coarse tiles collect many sources; aggregates combine before t
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,13 @@ from ..registry import query
 WORLD = BuildOptions()
 C1, R1, CAP = 2, 1, 9
 KEY = ["level", "tile_x", "tile_y"]
+#: Fixed value: how much finer than its own step a source must be for a tile to divide.
+SENSITIVITY = 0.9
 
 
 def across(level: Column, first: int) -> Column:
     """Columns (rows) of a level: one at level 0, then `first` doubled."""
-    return F.when(level == 0, 1).otherwise(F.lit(first) * F.expr("shiftleft(1, greatest(level - 1, 0))"))
+    return F.when(level == 0, 1).otherwise(F.lit(first) * F.call_function("shiftleft", F.lit(1), F.greatest(level - 1, F.lit(0)).cast("int")))
 
 
 def placed(sources: DataFrame, o: BuildOptions = WORLD, cap: int = CAP) -> DataFrame:
@@ -123,19 +127,28 @@ def sibling_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A22_children_count", SRC + TILES + ", kids as (select level - 1 as level, case when level = 1 then 0 else tile_x >> 1 end as tile_x, case when level = 1 then 0 else tile_y >> 1 end as tile_y from tiles where level > 0) select level, tile_x, tile_y, children, children = case when level = 0 then 2 else 4 end as complete from (select level, tile_x, tile_y, count(*) as children from kids group by all)")
 def children_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    half = lambda c: F.when(F.col("level") == 1, 0).otherwise(F.shiftright(c, 1)).alias(c)
-    kids = all_tiles(spark, sf_dir).where("level > 0").select(half("tile_x"), half("tile_y"), (F.col("level") - 1).alias("level"))
+    kids = all_tiles(spark, sf_dir).where("level > 0").select(_half("tile_x"), _half("tile_y"), (F.col("level") - 1).alias("level"))
     return kids.groupBy(*KEY).agg(F.count("*").alias("children")).withColumn("complete", F.col("children") == F.when(F.col("level") == 0, C1 * R1).otherwise(4))
 
 
-def attach(tiles: DataFrame, sources: DataFrame) -> DataFrame:
+def _half(c: str) -> Column:
+    return F.when(F.col("level") == 1, 0).otherwise(F.shiftright(c, 1)).alias(c)
+
+
+#: Coarse ancestors hold many tiles; each is dealt over so many parts, with its sources repeated.
+PARTS, COARSE = 16, 3
+
+
+def attach(tiles: DataFrame, sources: DataFrame, o: BuildOptions = WORLD) -> DataFrame:
     """Below its optimum level a source belongs to the tiles that it covers; at that level, to them and all their descendants. Each tile finds its ancestor at level k by a shift, so both are equi-joins."""
-    cover = tile_sources(sources).select(*KEY, "source_id", "k")
+    cover = tile_sources(sources, o).select(*KEY, "source_id", "k")
     upper = cover.where("level < k").select(*KEY, "source_id")
-    at = cover.where("level = k").select("k", F.col("tile_x").alias("ax"), F.col("tile_y").alias("ay"), "source_id")
+    parts = F.when(F.col("k") < COARSE, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    at = cover.where("level = k").select("k", F.col("tile_x").alias("ax"), F.col("tile_y").alias("ay"), "source_id", F.explode(parts).alias("part"))
     up = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), "level")))
+    up = up.withColumn("part", F.when(F.col("k") < COARSE, F.pmod(F.xxhash64(*KEY), F.lit(PARTS)).cast("int")).otherwise(0))
     shift = lambda c: F.when(F.col("k") == 0, 0).otherwise(F.expr(f"shiftright({c}, level - k)"))
-    lower = up.withColumns({"ax": shift("tile_x"), "ay": shift("tile_y")}).join(at, ["k", "ax", "ay"]).select(*KEY, "source_id")
+    lower = up.withColumns({"ax": shift("tile_x"), "ay": shift("tile_y")}).join(at, ["k", "ax", "ay", "part"]).select(*KEY, "source_id")
     return upper.union(lower)
 
 
@@ -147,35 +160,84 @@ def source_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach(all_tiles(spark, sf_dir), fixture(spark, sf_dir, "source")).groupBy("level").agg(F.count("*").alias("attached"), F.count_distinct("source_id").alias("sources"))
 
 
+#: Under its optimum level a source is dealt out to tiles of this level at least, so that no coarse tile is a key for all below it.
+DEAL = 6
+
+
+def touching(tiles: DataFrame, sources: DataFrame, o: BuildOptions = WORLD) -> DataFrame:
+    """The attached pairs (G3) of a tile and a source whose closed extents meet and whose levels go deep enough: (tile key, source columns).
+
+    Down to level D, the larger of k and DEAL, a source's tiles are index ranges, widened by
+    the tiles that it only touches and kept inside the ranges of level k. Tiles beneath look
+    up their ancestor at level D. Both are equi-joins; extents are compared on what meets.
+    """
+    deal = F.greatest("k", F.least(F.lit(DEAL), F.col("max_level")))
+    s = placed(sources, o).withColumn("deal", deal).withColumn("level", F.explode(F.sequence(F.lit(0), F.least("deal", "max_level"))))
+    deep, root = F.col("level") > F.col("k"), F.col("k") == 0  # everything lies under the root
+    under = lambda v: v * F.expr("shiftleft(1, greatest(level - k, 0))")
+
+    def tiles_of(low: str, high: str, origin: float, size: float, first: int) -> Column:
+        n, nk = across(F.col("level"), first), across(F.col("k"), first)
+        a, b = (F.col(low) - origin) / size, (F.col(high) - origin) / size
+        begin = F.greatest(F.when(deep, F.ceil(a * n) - 1).otherwise(F.floor(a * n)), F.when(deep & ~root, under(F.floor(a * nk))).otherwise(0), F.lit(0))
+        past = F.least(F.when(deep, F.floor(b * n) + 1).otherwise(F.ceil(b * n)), F.when(deep & ~root, under(F.ceil(b * nk))).otherwise(n), n)
+        begin, past = F.when(F.col("level") == 0, 0).otherwise(begin), F.when(F.col("level") == 0, 1).otherwise(past)
+        return F.filter(F.sequence(begin, F.greatest(begin, past)), lambda i: i < past)  # an empty range gives no tile
+
+    s = s.withColumn("tile_x", F.explode(tiles_of("x_min", "x_max", o.x_min, o.width, C1)))
+    s = s.withColumn("tile_y", F.explode(tiles_of("y_min", "y_max", o.y_min, o.height, R1))).withColumns({c: F.col(c).cast("int") for c in KEY})
+    direct = tiles.join(s, KEY)
+    held = s.where("level = deal and max_level > deal").withColumnsRenamed({"level": "d", "tile_x": "ax", "tile_y": "ay"})
+    below = tiles.withColumn("d", F.explode(F.sequence(F.lit(0), "level"))).where("d < level")
+    shift = lambda c: F.when(F.col("d") == 0, 0).otherwise(F.expr(f"shiftright({c}, level - d)")).cast("int")
+    lower = below.withColumns({"ax": shift("tile_x"), "ay": shift("tile_y")}).join(held, ["d", "ax", "ay"]).where("max_level >= level")
+    both = direct.unionByName(lower.drop("d", "ax", "ay")).drop("deal")
+    return both.withColumns(tile_box(o)).where(E.intersects(E.BOX, ("tx0", "ty0", "tx1", "ty1"), False)).drop("tx0", "ty0", "tx1", "ty1")
+
+
 _RES = "(x_max - x_min) / (case when data_type = 'VECTOR' then num_x - 1 else num_x end) as rx, (y_max - y_min) / (case when data_type = 'VECTOR' then num_y - 1 else num_y end) as ry"
 
 
-def resolutions(attached: DataFrame, sources: DataFrame) -> DataFrame:
-    """A3: finest steps of every tile, by layer and optional set for imagery, in one group for terrain."""
+def resolutions(tiles: DataFrame, sources: DataFrame, o: BuildOptions = WORLD) -> DataFrame:
+    """A3: finest steps of every tile, by layer and optional set for imagery, in one group for terrain, from the sources that reach its level and meet its extents."""
     n = lambda c: F.col(c) - F.when(F.col("data_type") == "VECTOR", 1).otherwise(0)
-    s = sources.select("source_id", "max_level", "source_type", F.when(F.col("source_type") == "IMAGE", F.col("layer")).otherwise(-1).alias("layer"), F.when(F.col("source_type") == "IMAGE", F.col("set_name")).otherwise("").alias("set_name"), ((F.col("x_max") - F.col("x_min")) / n("num_x")).alias("rx"), ((F.col("y_max") - F.col("y_min")) / n("num_y")).alias("ry"))
-    return attached.join(s, "source_id").where("max_level >= level").groupBy(*KEY, "layer", "set_name").agg(F.min("rx").alias("res_x"), F.min("ry").alias("res_y"), F.max("max_level").alias("max_source_level"))
+    image = F.col("source_type") == "IMAGE"
+    own = sources.where("num_x <> 0 and num_y <> 0")
+    s = touching(tiles, own, o).select(*KEY, "max_level", F.when(image, F.col("layer")).otherwise(-1).alias("layer"), F.when(image, F.col("set_name")).otherwise("").alias("set_name"), ((F.col("x_max") - F.col("x_min")) / n("num_x")).alias("rx"), ((F.col("y_max") - F.col("y_min")) / n("num_y")).alias("ry"))
+    return s.groupBy(*KEY, "layer", "set_name").agg(F.min("rx").alias("res_x"), F.min("ry").alias("res_y"), F.max("max_level").alias("max_source_level"))
 
 
-A3 = f"select level, tile_x, tile_y, case when source_type = 'IMAGE' then layer else -1 end as layer, case when source_type = 'IMAGE' then set_name else '' end as set_name, min(rx) as res_x, min(ry) as res_y, max(max_level) as max_source_level from attached join (select *, {_RES} from source) using (source_id) where max_level >= level group by all"
+# Each tile and each source attached to it: a source that ends above the tile's level is skipped, then one that does not overlap it; what is left gives its steps.
+_MEET = ", boxed as (select *, {box} from attached), meet as (select b.*, s.* exclude (source_id), {res} from boxed b join source s using (source_id) where not s.max_level < b.level and not (least(s.x_max, b.tx1) < greatest(s.x_min, b.tx0)) and not (least(s.y_max, b.ty1) < greatest(s.y_min, b.ty0)) and s.num_x <> 0 and s.num_y <> 0)"
+A3 = "select level, tile_x, tile_y, case when source_type = 'IMAGE' then layer else -1 end as layer, case when source_type = 'IMAGE' then set_name else '' end as set_name, min(rx) as res_x, min(ry) as res_y, max(max_level) as max_source_level from meet group by all"
+MEET = _MEET.format(box=TILE_BOX, res=_RES)
 
 
-@query("A3_finest_resolution", SRC + ATTACH + " " + A3)
+@query("A3_finest_resolution", SRC + ATTACH + MEET + " " + A3)
 def finest_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = fixture(spark, sf_dir, "source")
-    return resolutions(attach(all_tiles(spark, sf_dir), s), s)
+    return resolutions(all_tiles(spark, sf_dir), fixture(spark, sf_dir, "source"))
 
 
-@query("G1_new_pyramid", SRC + ATTACH + f", res as ({A3}) select level, count(*) as groups, count(distinct (tile_x, tile_y)) as tiles, min(res_x) as finest, max(max_source_level) as deepest from res group by 1")
+@query("G1_new_pyramid", SRC + ATTACH + MEET + f", res as ({A3}) select level, count(*) as groups, count(distinct (tile_x, tile_y)) as tiles, min(res_x) as finest, max(max_source_level) as deepest from res group by 1")
 def new_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage, completion, attachment and resolutions in one plan."""
-    s = fixture(spark, sf_dir, "source")
-    return resolutions(attach(all_tiles(spark, sf_dir), s), s).groupBy("level").agg(F.count("*").alias("groups"), F.count_distinct("tile_x", "tile_y").alias("tiles"), F.min("res_x").alias("finest"), F.max("max_source_level").alias("deepest"))
+    r = resolutions(all_tiles(spark, sf_dir), fixture(spark, sf_dir, "source"))
+    return r.groupBy("level").agg(F.count("*").alias("groups"), F.count_distinct("tile_x", "tile_y").alias("tiles"), F.min("res_x").alias("finest"), F.max("max_source_level").alias("deepest"))
+
 
+_ASKED = "asked as (select distinct l.l as level, cast(greatest(0, least(floor(((x_min + x_max) / 2 + 180) / 360 * 2 * (1 << (l.l - 1))), 2 * (1 << (l.l - 1)) - 1)) as int) as tile_x, cast(greatest(0, least(floor(((y_min + y_max) / 2 + 90) / 180 * (1 << (l.l - 1))), (1 << (l.l - 1)) - 1)) as int) as tile_y from source, (values (5), (8)) l(l))"
 
-@query("J3_quadmap_lookup", SRC + TILES + ", asked as (select distinct 3 as level, cast(x % 8 as int) as tile_x, cast(y % 4 as int) as tile_y from (select (p_partkey * 37) % 64 as x, (p_partkey * 53) % 32 as y from part where p_partkey < 900)) select a.level, a.tile_x, a.tile_y, t.level is not null as present from asked a left join tiles t on a.level = t.level and a.tile_x = t.tile_x and a.tile_y = t.tile_y")
+
+@query("J3_quadmap_lookup", SRC + TILES + f", {_ASKED} select a.level, a.tile_x, a.tile_y, t.level is not null as present from asked a left join tiles t on a.level = t.level and a.tile_x = t.tile_x and a.tile_y = t.tile_y")
 def quadmap_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixture(spark, sf_dir, "occupied").where("k < 900").select(F.lit(3).alias("level"), (F.col("x") % 8).alias("tile_x"), (F.col("y") % 4).alias("tile_y")).distinct()
+    """Which of the tiles under the sources' centres are there, at two levels."""
+    o, s = WORLD, fixture(spark, sf_dir, "source").withColumn("level", F.explode(F.array(F.lit(5), F.lit(8))))
+
+    def at(low: str, high: str, origin: float, size: float, first: int) -> Column:
+        n = across(F.col("level"), first)
+        return F.greatest(F.lit(0), F.least(F.floor(((F.col(low) + F.col(high)) / 2 - origin) / size * n), n - 1)).cast("int")
+
+    asked = s.select("level", at("x_min", "x_max", o.x_min, o.width, C1).alias("tile_x"), at("y_min", "y_max", o.y_min, o.height, R1).alias("tile_y")).distinct()
     return asked.join(all_tiles(spark, sf_dir).withColumn("present", F.lit(True)), KEY, "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
@@ -184,19 +246,19 @@ AROUND = [(-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1)]
 
 
 def neighbours(tiles: DataFrame) -> DataFrame:
-    """Which of the eight neighbours exist, by one equi-join on exploded offsets."""
-    offsets = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for p, (dx, dy) in enumerate(AROUND)])
-    asked = tiles.select("x", "y", F.explode(offsets).alias("o")).select("x", "y", "o.p", (F.col("x") + F.col("o.dx")).alias("nx"), (F.col("y") + F.col("o.dy")).alias("ny")).where("nx >= 0 and ny >= 0")
-    there = tiles.select(F.col("x").alias("nx"), F.col("y").alias("ny"))
-    return tiles.join(asked.join(there, ["nx", "ny"]).groupBy("x", "y").agg(F.sum(F.expr("shiftleft(1, p)")).alias("bits"), F.count("*").alias("n")), ["x", "y"], "left").select("x", "y", F.coalesce("bits", F.lit(0)).alias("neighbour_bits"), F.coalesce("n", F.lit(0)).alias("n_neighbours"))
+    """Which of the eight neighbours of every tile exist. Each tile reports itself to the tiles around it, so one aggregate does without a join; what has no row of its own is dropped."""
+    told = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0).alias("bit"), F.lit(True).alias("own")), *[F.struct(F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"), F.lit(1 << p).alias("bit"), F.lit(False).alias("own")) for p, (dx, dy) in enumerate(AROUND)])
+    said = tiles.select(*KEY, F.explode(told).alias("t")).select("level", (F.col("tile_x") + F.col("t.dx")).alias("tile_x"), (F.col("tile_y") + F.col("t.dy")).alias("tile_y"), "t.bit", "t.own").where("tile_x >= 0 and tile_y >= 0")
+    met = said.groupBy(*KEY).agg(F.bool_or("own").alias("own"), F.bit_or("bit").alias("bits"))
+    return met.where("own").select(*KEY, F.col("bits").cast("long").alias("neighbour_bits"), F.bit_count("bits").cast("long").alias("n_neighbours"))
 
 
 _OFF = "(values " + ", ".join(f"({p}, {dx}, {dy})" for p, (dx, dy) in enumerate(AROUND)) + ") o(p, dx, dy)"
 
 
-@query("J4_neighbours", f"with t as (select distinct cast((p_partkey * 37) % 64 as int) as x, cast((p_partkey * 53) % 32 as int) as y from part where p_partkey < 900), hit as (select t.x, t.y, p from t, {_OFF} where exists (select 1 from t u where u.x = t.x + dx and u.y = t.y + dy)) select t.x, t.y, cast(coalesce(sum(1 << p), 0) as bigint) as neighbour_bits, count(p) as n_neighbours from t left join hit on t.x = hit.x and t.y = hit.y group by t.x, t.y")
+@query("J4_neighbours", SRC + TILES + f", hit as (select t.level, t.tile_x, t.tile_y, p from tiles t, {_OFF} where exists (select 1 from tiles u where u.level = t.level and u.tile_x = t.tile_x + dx and u.tile_y = t.tile_y + dy)) select t.level, t.tile_x, t.tile_y, cast(coalesce(sum(1 << p), 0) as bigint) as neighbour_bits, count(p) as n_neighbours from tiles t left join hit using (level, tile_x, tile_y) group by all")
 def neighbour_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(fixture(spark, sf_dir, "occupied").where("k < 900").select("x", "y").distinct())
+    return neighbours(all_tiles(spark, sf_dir))
 
 
 @query("J5_parent_link", SRC + TILES + " select c.level, c.tile_x, c.tile_y, p.tile_x as parent_x, p.tile_y as parent_y, (c.tile_x & 1) + 2 * (c.tile_y & 1) as quadrant from tiles c join tiles p on p.level = c.level - 1 and p.tile_x = case when c.level = 1 then 0 else c.tile_x >> 1 end and p.tile_y = case when c.level = 1 then 0 else c.tile_y >> 1 end")
@@ -220,37 +282,66 @@ def visible_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(*KEY, F.round(F.sqrt(dx * dx + dy * dy) * 0.5 * o.distance_ratio, 3).alias("flat_distance"), F.round(F.radians(dx) * o.equator_radius * o.distance_ratio + dx / 360.0 * o.equator_radius, 3).alias("round_distance"))
 
 
-def image_size(extent: Column, res: Column, limit: int, power_of_two: bool = True) -> Column:
-    """As many pixels as the finest source asks for, at most `limit`, at least four."""
-    n = F.least(F.ceil(extent / res), F.lit(limit))
-    if not power_of_two:
-        return F.greatest(F.lit(4), n)
-    ladder = F.lit(4096)
-    for p in (2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4):
-        ladder = F.when(n <= p, p).otherwise(ladder)
-    return ladder
+def image_size(extent: Column, res: Column, limit: int, power_of_two: bool = True, extension: str = "", posts: bool = False) -> Column:
+    """As many pixels as the finest source asks for (one more where pixels are posts), at most `limit`, at least four; null without a source or a limit. Sizes that are no powers of two are multiples of four for `.dds`."""
+    n = F.least(F.ceil(extent / res) + (1 if posts else 0), F.lit(limit)).cast("int")
+    if power_of_two:
+        size, step = F.lit(4), 4
+        while step < limit:
+            size = F.when(n > step, step * 2).otherwise(size)
+            step *= 2
+    else:
+        size = F.greatest(F.lit(4), n)
+        if extension == ".dds":
+            size = F.when(size % 4 != 0, F.floor(size / 4) * 4 + 4).otherwise(size)
+    return F.when(res.isNotNull() & (res != 0) & F.lit(limit != 0), size.cast("int"))
+
 
+def terrain_size(extent: Column, res: Column, limit: int, posts: bool = True) -> Column:
+    """P12 for heights: no rounding; null without a source or a limit."""
+    return F.when(res.isNotNull() & (res != 0) & F.lit(limit != 0), F.least(F.ceil(extent / res) + (1 if posts else 0), F.lit(limit)).cast("int"))
 
-_LADDER = "case " + " ".join(f"when n{{a}} <= {p} then {p}" for p in (4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)) + " else 4096 end"
 
+def sized(res: DataFrame, o: BuildOptions = WORLD, image_posts: bool = False, terrain_posts: bool = True) -> DataFrame:
+    """Rows of A3 with size_x, size_y and the steps that follow."""
+    r = res.withColumns(tile_box(o))
+    image = F.col("layer") >= 0
+    out = {}
+    for a, lo, hi in (("x", "tx0", "tx1"), ("y", "ty0", "ty1")):
+        w, step = F.col(hi) - F.col(lo), F.col(f"res_{a}")
+        out[f"size_{a}"] = F.when(image, image_size(w, step, o.image_tile, o.power_of_two, o.image_extension, image_posts)).otherwise(terrain_size(w, step, o.terrain_tile, terrain_posts))
+    r = r.withColumns(out)
+    less = F.when(image, 1 if image_posts else 0).otherwise(1 if terrain_posts else 0)
+    r = r.withColumns({f"step_{a}": (F.col(hi) - F.col(lo)) / F.nullif(F.col(f"size_{a}") - less, F.lit(0)) for a, lo, hi in (("x", "tx0", "tx1"), ("y", "ty0", "ty1"))})
+    return r.drop("tx0", "ty0", "tx1", "ty1")
 
-@query("P12_tile_sizes", SRC + ATTACH + f", res as ({A3}), sized as (select *, {TILE_BOX} from res), n as (select *, cast(least(ceil((tx1 - tx0) / res_x), 256) as int) nx, cast(least(ceil((ty1 - ty0) / res_y), 256) as int) ny, cast(least(1 + ceil((tx1 - tx0) / res_x), 64) as int) px from sized) select level, tile_x, tile_y, layer, set_name, case when layer >= 0 then {_LADDER.format(a='x')} else px end as size_x, case when layer >= 0 then (tx1 - tx0) / {_LADDER.format(a='x')} else (tx1 - tx0) / (px - 1) end as step_x from n")
+
+_LADDER = "case " + " ".join(f"when n{{a}} <= {p} then {p}" for p in (4, 8, 16, 32, 64, 128)) + " else 256 end"
+_P12 = f", res as ({A3}), sized as (select *, {TILE_BOX} from res), n as (select *, cast(least(ceil((tx1 - tx0) / res_x), 256) as int) nx, cast(least(ceil((ty1 - ty0) / res_y), 256) as int) ny, cast(least(1 + ceil((tx1 - tx0) / res_x), 64) as int) px, cast(least(1 + ceil((ty1 - ty0) / res_y), 64) as int) py from sized), p12 as (select *, case when layer >= 0 then {_LADDER.format(a='x')} else px end as size_x, case when layer >= 0 then {_LADDER.format(a='y')} else py end as size_y from n), steps as (select *, case when layer >= 0 then (tx1 - tx0) / size_x else (tx1 - tx0) / nullif(size_x - 1, 0) end as step_x, case when layer >= 0 then (ty1 - ty0) / size_y else (ty1 - ty0) / nullif(size_y - 1, 0) end as step_y from p12)"
+
+
+@query("P12_tile_sizes", SRC + ATTACH + MEET + _P12 + " select level, tile_x, tile_y, layer, set_name, size_x, size_y, step_x, step_y from steps")
 def tile_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = fixture(spark, sf_dir, "source")
-    r = resolutions(attach(all_tiles(spark, sf_dir), s), s).withColumns(tile_box())
-    w = F.col("tx1") - F.col("tx0")
-    image, posts = image_size(w, F.col("res_x"), WORLD.image_tile), F.least(1 + F.ceil(w / F.col("res_x")), F.lit(WORLD.terrain_tile))
-    size = F.when(F.col("layer") >= 0, image).otherwise(posts).cast("int")
-    return r.select(*KEY, "layer", "set_name", size.alias("size_x"), F.when(F.col("layer") >= 0, w / size).otherwise(w / (size - 1)).alias("step_x"))
+    r = resolutions(all_tiles(spark, sf_dir), fixture(spark, sf_dir, "source"))
+    return sized(r).select(*KEY, "layer", "set_name", "size_x", "size_y", "step_x", "step_y")
 
 
-@query("P13_need_to_divide", SRC + ATTACH + f", res as ({A3}) select level, tile_x, tile_y, bool_or((tx1 - tx0) / 256 * 0.9::double > res_x) as divide_x, bool_or((ty1 - ty0) / 256 * 0.9::double > res_y) as divide_y from (select *, {TILE_BOX} from res where layer >= 0) group by all")
+_FOUR = "case when {n} % 4 = 0 then {n} else {n} - {n} % 4 + 4 end"
+
+
+@query("P12_sizes_as_posts", SRC + ATTACH + MEET + f", res as ({A3}), n as (select *, greatest(4, least(100, 1 + ceil((tx1 - tx0) / res_x)))::int nx, greatest(4, least(100, 1 + ceil((ty1 - ty0) / res_y)))::int ny, least(50, ceil((tx1 - tx0) / res_x))::int px, least(50, ceil((ty1 - ty0) / res_y))::int py from (select *, {TILE_BOX} from res)) select level, tile_x, tile_y, layer, set_name, case when layer >= 0 then {_FOUR.format(n='nx')} else px end as size_x, case when layer >= 0 then {_FOUR.format(n='ny')} else py end as size_y from n")
+def tile_sizes_as_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12 where images are posts, sizes need not be powers of two, and heights are cells."""
+    o = replace(WORLD, image_tile=100, terrain_tile=50, power_of_two=False)
+    r = resolutions(all_tiles(spark, sf_dir), fixture(spark, sf_dir, "source"))
+    return sized(r, o, image_posts=True, terrain_posts=False).select(*KEY, "layer", "set_name", "size_x", "size_y")
+
+
+@query("P13_need_to_divide", SRC + ATTACH + MEET + _P12 + " select level, tile_x, tile_y, bool_or(step_x * 0.9::double > res_x) as divide_x, bool_or(step_y * 0.9::double > res_y) as divide_y from steps group by all")
 def need_to_divide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tile divides along an axis if its own step, less a tenth, is coarser than its finest source."""
-    s = fixture(spark, sf_dir, "source")
-    r = resolutions(attach(all_tiles(spark, sf_dir), s), s).where("layer >= 0").withColumns(tile_box())
-    ask = lambda a, b, res: F.bool_or((F.col(b) - F.col(a)) / WORLD.image_tile * 0.9 > F.col(res))
-    return r.groupBy(*KEY).agg(ask("tx0", "tx1", "res_x").alias("divide_x"), ask("ty0", "ty1", "res_y").alias("divide_y"))
+    """A tile divides along an axis if its own step, less a tenth, is coarser than the finest source of one of its images or of its heights."""
+    r = sized(resolutions(all_tiles(spark, sf_dir), fixture(spark, sf_dir, "source")))
+    return r.groupBy(*KEY).agg(*[F.bool_or(F.col(f"step_{a}") * SENSITIVITY > F.col(f"res_{a}")).alias(f"divide_{a}") for a in "xy"])
 
 
 @query("A2_maximum_level", SRC + PLACED + " select max(k) as max_level from placed")
@@ -301,8 +392,7 @@ def crop(tiles: DataFrame, level: int, x: int, y: int) -> DataFrame:
 def skip_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves at or under the subtile level: what a bottom task records."""
     tiles = all_tiles(spark, sf_dir)
-    half = lambda c: F.when(F.col("level") == 1, 0).otherwise(F.shiftright(c, 1)).alias(c)
-    kids = tiles.where("level > 0").select(half("tile_x"), half("tile_y"), (F.col("level") - 1).alias("level")).distinct()
+    kids = tiles.where("level > 0").select(_half("tile_x"), _half("tile_y"), (F.col("level") - 1).alias("level")).distinct()
     return tiles.where("level >= 4").join(kids, KEY, "left_anti")
 
 
@@ -324,9 +414,15 @@ def tasks(sources: DataFrame, primary: int, secondary: int) -> DataFrame:
     return out.union(first.select(F.lit("intermediate"), F.lit(primary), "tile_x", "tile_y", own(primary - 1))).union(tile_map(sources, secondary - 1).select(F.lit("bottom"), F.lit(secondary), "tile_x", "tile_y", nested))
 
 
-@query("A9_contributing_sources", SRC + ATTACH + " select level, tile_x, tile_y, list_sort(list(distinct source_id)) as sources from attached where level between 1 and 4 group by all")
+@query("A9_contributing_sources", SRC + ATTACH + " select level, tile_x, tile_y, count(distinct source_id) as n_sources, min(source_id) as first_source, max(source_id) as last_source from attached group by all")
 def contributing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach(all_tiles(spark, sf_dir).where("level between 1 and 4"), fixture(spark, sf_dir, "source")).where("level between 1 and 4").groupBy(*KEY).agg(F.sort_array(F.collect_set("source_id")).alias("sources"))
+    """The distinct rows of G3 are the sets; what each tile reports is their size and ends, so no tile's sources are gathered."""
+    return contributors(all_tiles(spark, sf_dir), fixture(spark, sf_dir, "source")).groupBy(*KEY).agg(F.count("*").alias("n_sources"), F.min("source_id").alias("first_source"), F.max("source_id").alias("last_source"))
+
+
+def contributors(tiles: DataFrame, sources: DataFrame) -> DataFrame:
+    """Distinct (tile, source) rows."""
+    return attach(tiles, sources).distinct()
 
 
 @query("J15_contributing_semi", SRC + ATTACH + " select source_id, file_name from source where source_id in (select source_id from attached where level = 5)")

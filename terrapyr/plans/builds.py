@@ -19,8 +19,7 @@ def build(sources: DataFrame, o: BuildOptions = tiling.WORLD) -> dict[str, DataF
     """Entry A: from sources to the tables of a build."""
     first = tiling.tile_sources(sources, o)
     tiles = tiling.complete(first.select(*KEY).distinct())
-    attached = tiling.attach(tiles, sources)
-    return {"tile": tiles, "tile_source": attached, "tile_layer": tiling.resolutions(attached, sources)}
+    return {"tile": tiles, "tile_source": tiling.attach(tiles, sources, o), "tile_layer": tiling.sized(tiling.resolutions(tiles, sources, o), o)}
 
 
 def dirty_tiles(old: DataFrame, new: DataFrame, o: BuildOptions = tiling.WORLD) -> DataFrame:

@@ -65,13 +65,35 @@ def test_coverage_refines(spark, box):
 
 
 def test_neighbours_are_mutual(spark):
-    t = fixture(spark, SF, "occupied").where("k < 900").select("x", "y").distinct()
-    bits = {(r["x"], r["y"]): r["neighbour_bits"] for r in tiling.neighbours(t).collect()}
-    assert len(bits) == 64
-    for (x, y), b in bits.items():
+    t = tiling.complete(tiling.tile_sources(fixture(spark, SF, "source")).select(*tiling.KEY).distinct())
+    bits = {(r["level"], r["tile_x"], r["tile_y"]): r["neighbour_bits"] for r in tiling.neighbours(t).collect()}
+    assert len(bits) == t.count()
+    for (level, x, y), b in bits.items():
         for p, (dx, dy) in enumerate(tiling.AROUND):
-            if b >> p & 1:
-                assert bits[x + dx, y + dy] >> ((p + 4) % 8) & 1
+            there = (level, x + dx, y + dy) in bits
+            assert there == bool(b >> p & 1)
+            if there:
+                assert bits[level, x + dx, y + dy] >> ((p + 4) % 8) & 1
+
+
+def test_no_tile_takes_its_resolution_from_a_source_that_misses_it(spark):
+    s = fixture(spark, SF, "source")
+    tiles = tiling.complete(tiling.tile_sources(s).select(*tiling.KEY).distinct())
+    res = tiling.resolutions(tiles, s)
+    assert res.count() == 27_742
+    pairs = tiling.touching(tiles, s).withColumns(tiling.tile_box())
+    assert pairs.where("x_min > tx1 or x_max < tx0 or y_min > ty1 or y_max < ty0 or max_level < level").count() == 0
+    attached = tiling.attach(tiles, s).join(s, "source_id").withColumns(tiling.tile_box()).where("x_min <= tx1 and x_max >= tx0 and y_min <= ty1 and y_max >= ty0 and max_level >= level")
+    assert pairs.count() == attached.count() == pairs.select(*tiling.KEY, "source_id").distinct().count()
+
+
+def test_sizes_follow_the_finest_source(spark):
+    r = spark.createDataFrame([(100.0, 1.0, 64), (100.0, 30.0, 64), (100.0, None, 64), (100.0, 0.0, 64), (101.0, 2.0, 1000)], "w double, r double, n int")
+    got = lambda *a, **k: [x[0] for x in r.where("n = 64").select(tiling.image_size(F.col("w"), F.col("r"), 64, *a, **k)).collect()]
+    assert got() == [64, 4, None, None]
+    assert got(False) == [64, 4, None, None]
+    assert [x[0] for x in r.select(tiling.image_size(F.col("w"), F.col("r"), 1000, False, ".dds", True)).collect()] == [104, 8, None, None, 52]
+    assert [x[0] for x in r.select(tiling.terrain_size(F.col("w"), F.col("r"), 64)).collect()] == [64, 5, None, None, 52]
 
 
 def test_grid_of_the_whole_globe(spark):
