@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from terrapyr.llm import decontaminate, embedding_dedup, simhash
+from terrapyr.llm import embedding_dedup, simhash
 from terrapyr.llm.components import components, forest
 from terrapyr.llm.entry import QUERIES
 
@@ -98,50 +98,6 @@ def test_forest_keeps_components():
     assert len(x) == len(set(x.tolist()))
 
 
-def test_contamination_query_against_brute_force(spark, sf_dir):
-    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    norm = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
-    items = [(r["item_id"], norm(r["text"])) for r in bench.collect()]
-    want = {r["doc_id"]: sorted(i for i, x in items if f" {x} " in f" {norm(r['text'])} ") for r in docs.collect()}
-    got = {r["doc_id"]: r["item_ids"] for r in QUERIES["op4_decontaminate"](spark, sf_dir).collect()}
-    assert got == want and any(want.values())
-
-
-def test_slots_must_be_consistent(spark):
-    q = "If Alice has 12 apples and gives 5 kg to Bob then how many apples does Alice have after 12 days of work"
-    bench = spark.createDataFrame([(1, q), (2, None), (3, "two words")], "item_id long, text string")
-    rows = [
-        (1, "Intro. " + q.replace("Alice", "Carol").replace("12", "7").replace("kg", "km") + " Outro."),
-        (2, q.replace("Alice", "Carol").replace("after 12", "after 9")),
-        (3, None),
-        (4, ""),
-        (None, q.lower()),
-        (6, q.upper()),
-        (7, "two words"),
-        (8, "filler " * 30_000 + q),
-        (8, "filler " * 30_000 + q),
-        (9, q.replace("12", "1,200.50")),
-    ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_h", F.lit("clash")).withColumn("hash", F.lit(1))
-    want = {1, None, 6, 8, 9}
-    for held in (2_000_000, 0):
-        assert {r["_id"] for r in decontaminate.find(docs, bench, held_windows=held).collect()} == want
-    kept = decontaminate.clean(docs, bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 7] and kept.columns == docs.columns
-    assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
-    assert decontaminate.clean(docs.limit(0), bench).count() == 0
-
-
-def test_items_rich_in_numbers_are_found_verbatim(spark):
-    items = ["Evaluate 12 + 7 * 3 - 45 / 9 + 100 - 8.", "Add 3 kg, 250 g, 2 kg and 750 g."]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    rows = [(0, f"Some words before. {items[0]} Some after."), (1, items[1]), (2, "Evaluate 13 + 6 * 2 - 44 / 8 + 101 - 7."), (3, "Add 4 kg, 150 g, 1 kg and 50 g.")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for held in (2_000_000, 0):
-        got = {r["_id"]: (r["items"], r["coverage"]) for r in decontaminate.find(docs, bench, held_windows=held).collect()}
-        assert got == {0: ([0], 1.0), 1: ([1], 1.0)}
-
-
 def vectors(seed=5, n=900):
     r = np.random.default_rng(seed)
     x = r.normal(size=(n, 16))
