@@ -8,14 +8,17 @@ summaries: how many separators came before, and where the last one was. A rest w
 separator at a file's end is a document too.
 
 `write_flat` makes such files of texts and returns the order of documents in them. Null and
-empty texts have no tokens and still a separator. Repeated rows are documents of their own;
-an empty table gives no file. Files have names of their own for every attempt and are
-complete before the manifest names them. A writer holds one document, a reader one block.
+empty texts have no tokens and still a separator. Texts are encoded whole, whatever their
+length: a writer holds one document, a reader one block. Repeated rows are documents of their
+own, and ties do not arise: a document is found by its place in its file. An empty table gives
+no file and no counts. Other columns may have any names; they are not read. Files have names
+of their own for every attempt and are complete before the manifest names them.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 
 import numpy as np
@@ -39,6 +42,21 @@ def encoder(vocabulary: bytes):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
+#: Fixed value: white space as the pattern's `\\s` has it.
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
+
+
+def encode(encoding, text: str) -> list[int]:
+    """The encoding of a text. The pattern's look-ahead recurses once a blank, so long runs of blanks are cut where it cuts them: all but the last, which goes with what follows, are one piece."""
+    out, at = [], 0
+    for m in _BLANKS.finditer(text):
+        last = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : last].encode())
+        at = last
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def token_type(separator: int) -> np.dtype:
     return np.dtype("<u2" if separator < 1 << 16 else "<u4")
 
@@ -53,7 +71,7 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     def work(batches):
         import pyarrow as pa
 
-        encode = encoder(shared.value)[0].encode_ordinary
+        encoding = encoder(shared.value)[0]
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         out, name, ids, size = None, "", [], 0
@@ -73,7 +91,7 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
                     name = f"{uuid.uuid4().hex}.tokens"
                     out = store.open_output_stream(f"{root}/{name}.part")
                 text = texts[k].as_py()
-                tokens = np.array([*(encode(text) if text else ()), separator], kind)
+                tokens = np.array([*(encode(encoding, text) if text else ()), separator], kind)
                 out.write(tokens.tobytes())
                 ids.append(batch.column(0)[k])
                 size += tokens.nbytes
