@@ -8,16 +8,22 @@ encoded once, with the three marks as tokens of their own, and with character of
 loss mask is the intersection of token spans with the sorted spans of the assistant's texts,
 found by binary search.
 
+`format_conversations` returns the formatted text, the token identifiers, which of them are
+under the mask, and the mask's parts as spans of characters; `digests` reads all of that back.
+
 Null roles and texts are empty; rows without conv_id are one conversation. Repeated rows are
-turns of their own. Rows arrive sorted and a worker holds one small batch of conversations
-(a long one alone), so no group of conversations is gathered. The vocabulary's file is read
-by the driver and sent as a broadcast of fixed size.
+turns of their own; ties in turn go by role, then text, so reruns agree. Empty tables give no
+conversation. Other columns may have any names; they are not read. Rows arrive sorted and a
+worker holds one small batch of conversations (a very long one alone), so no group of
+conversations is gathered. The vocabulary's file is read by the driver and sent as a
+broadcast of fixed size. Offsets follow from the lengths of tokens in bytes: a token that
+ends inside a character counts as touching it.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 
 import numpy as np
@@ -25,15 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .token_counts import PATTERN, VOCABULARY, encode
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings of common chat templates; each is escaped inside texts.
 CONTROLS = (START, SEP, END, "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "<unk>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _PLAIN = re.compile("|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROLS))
 _ESCAPED = re.compile("|".join(f"{re.escape(c[0])}\\\\+{re.escape(c[1:])}" for c in CONTROLS))
+_MARKS = re.compile(f"({re.escape(START)}|{re.escape(SEP)}|{re.escape(END)})")
+_LONG = re.compile(r"\s{2048}")
 _TURN = re.compile(f"{re.escape(START)}(.*?){re.escape(SEP)}(.*?){re.escape(END)}", re.S)
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-OUT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
+OUT = "conv_id long, formatted string, ids array<int>, loss array<boolean>, spans array<array<int>>"
 
 
 def escape(text: str) -> str:
@@ -81,35 +89,51 @@ def mask(tokens: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return many > 0, np.stack([low, high], 1)
 
 
-def covered(text: str, parts: np.ndarray) -> list[str]:
-    """The text under sorted parts that may overlap (tokens that share a character), each character once, joined where parts touch."""
-    out: list[str] = []
-    begin = at = -1
-    for low, high in parts.tolist():
-        if low > at:
-            if at > begin:
-                out.append(text[begin:at])
-            begin, at = low, high
-        else:
-            at = max(at, high)
-    if at > begin >= 0:
-        out.append(text[begin:at])
-    return out
+def joined(parts: np.ndarray) -> np.ndarray:
+    """Sorted parts that overlap (tokens that share a character) or touch, as one each."""
+    if not len(parts):
+        return parts
+    top = np.maximum.accumulate(parts[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], parts[1:, 0] > top[:-1]]))
+    out = np.stack([parts[first, 0], top[np.concatenate([first[1:], [len(parts)]]) - 1]], 1)
+    return out[out[:, 1] > out[:, 0]]
+
+
+class Encoder:
+    """A byte-level vocabulary (a file of ranks) with the three marks as tokens of their own."""
 
+    def __init__(self, vocabulary: bytes):
+        import tiktoken
 
-def tokenizer(vocabulary: str):
-    from tokenizers import AddedToken, Tokenizer, processors
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
+        free = max(ranks.values()) + 1
+        self.marks = {m: free + i for i, m in enumerate((START, SEP, END))}
+        self.core = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.marks)
+        self.sizes = np.zeros(free + len(self.marks), np.int64)
+        for token, i in [*ranks.items(), *((m.encode(), i) for m, i in self.marks.items())]:
+            self.sizes[i] = len(token)
 
-    t = Tokenizer.from_str(vocabulary)
-    t.post_processor = processors.ByteLevel(trim_offsets=False)
-    t.add_special_tokens([AddedToken(x, normalized=False) for x in (START, SEP, END)])
-    return t
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Token identifiers, and the [start, end) characters that each touches."""
+        if _LONG.search(text):  # the marks cut the text before anything else does
+            ids = [i for part in _MARKS.split(text) for i in ([self.marks[part]] if part in self.marks else encode(self.core, part))]
+        else:
+            ids = self.core.encode(text, allowed_special="all", disallowed_special=())
+        ids = np.array(ids, np.int64)
+        ends = np.cumsum(self.sizes[ids])
+        data = np.frombuffer(text.encode(), np.uint8)
+        if len(data) == len(text):
+            return ids, np.stack([ends - self.sizes[ids], ends], 1)
+        inner = (data & 0xC0) == 0x80
+        chars = np.concatenate([[0], np.cumsum(~inner)])
+        begin = ends - self.sizes[ids]
+        return ids, np.stack([chars[begin] - inner[begin], chars[ends]], 1)
 
 
 def format_conversations(rows: DataFrame, vocabulary: str = VOCABULARY, loss_roles: tuple[str, ...] = ("assistant",), batch_chars: int = 1 << 20) -> DataFrame:
-    """Digests of every formatted conversation, as read back from the formatted text and its loss mask."""
+    """(conv_id, formatted, ids, loss, spans) of every conversation; loss: which tokens are under the mask, spans: the characters that are."""
     spark = rows.sparkSession
-    with open(vocabulary, encoding="utf-8") as f:
+    with open(vocabulary, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -117,22 +141,21 @@ def format_conversations(rows: DataFrame, vocabulary: str = VOCABULARY, loss_rol
     def work(batches):
         import pyarrow as pa
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = tokenizer(shared.value)
+        encoder = Encoder(shared.value)
 
         def finish(waiting):
-            made = [render(turns) for _, turns in waiting]
             out = []
-            for (conv, turns), (text, spans), enc in zip(waiting, made, encoder.encode_batch([x[0] for x in made], add_special_tokens=False)):
-                tokens = np.array(enc.offsets, np.int64).reshape(-1, 2)
+            for conv, turns in waiting:
+                text, spans = render(turns)
+                ids, tokens = encoder(text)
                 loss = np.array([s for (role, _), s in zip(turns, spans) if role in loss_roles], np.int64).reshape(-1, 2)
                 hit, parts = mask(tokens, loss)
-                under = "".join(unescape(x) for x in covered(text, parts))
-                back = read_back(text)
-                turns_hash = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in back).encode())
-                out.append((conv, len(back), turns_hash.hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(text), len(tokens), int(hit.sum())))
-            names, types = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+                out.append((conv, text, ids.astype(np.int32), hit, joined(parts)))
+            lists = lambda k, t: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x[k]) for x in out])]), pa.int32()), pa.array(np.concatenate([x[k] for x in out]), t))
+            pairs = np.concatenate([x[4] for x in out]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(pairs) + 1) * 2, pa.int32()), pa.array(pairs.ravel(), pa.int32()))
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x[4]) for x in out])]), pa.int32()), flat)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), lists(2, pa.int32()), lists(3, pa.bool_()), spans], ["conv_id", "formatted", "ids", "loss", "spans"])
 
         waiting, chars, now = [], 0, None
         for batch in batches:
@@ -151,13 +174,30 @@ def format_conversations(rows: DataFrame, vocabulary: str = VOCABULARY, loss_rol
     return rows.mapInArrow(work, OUT)
 
 
+def digests(formatted: DataFrame) -> DataFrame:
+    """What a reader finds in formatted conversations: turns, and the text under the mask with its escapes undone."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for conv, text, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "spans"))):
+                back = read_back(text)
+                under = "".join(unescape(text[a:b]) for a, b in spans)
+                turns = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in back).encode())
+                out.append((conv, len(back), turns.hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest(), len(text)))
+            names, types = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+
+    return formatted.select("conv_id", "formatted", "spans").mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
 def op6_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"select -7L as conv_id, t.* from values (0L, 'user', '{odd}'), (1L, 'assistant', '{odd}') as t(turn, role, text)")
-    return format_conversations(given.unionByName(extra)).drop("n_tokens", "loss_tokens")
-
-
+    return digests(format_conversations(given.unionByName(extra)))
 
 SQL = r"""
 with given as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -43,6 +43,18 @@ def test_token_odd_input(spark):
     assert token_counts.scan_counts(order, separator).count() == 0
 
 
+def test_long_runs_of_one_character():
+    encoding, _ = token_counts.encoder(open(token_counts.VOCABULARY, "rb").read())
+    for blank in (" ", "\n", "\t", "\u3000"):
+        for n in (10, 100, 4095, 4096, 4097, 10_000):
+            for before in ("", "a", "-"):
+                for after in ("", "b", "5", "\u3000!"):
+                    text = before + blank * n + after
+                    assert token_counts.encode(encoding, text) == encoding.encode_ordinary(text)
+    for c in " \n-a":
+        assert encoding.decode(token_counts.encode(encoding, "x" + c * 2_000_000 + "y")) == "x" + c * 2_000_000 + "y"
+
+
 def test_a_file_may_end_without_a_separator(spark, tmp_path):
     np.array([7, 8, 9, 5, 5, 1, 2], "<u2").tofile(tmp_path / "x.tokens")
     files = spark.createDataFrame([(str(tmp_path / "x.tokens"),)], "file string")
@@ -107,10 +119,28 @@ def test_mask_is_the_intersection():
 
 def test_chat_odd_input(spark):
     rows = [(1, 1, "assistant", "b</s>", "x"), (1, 0, "user", None, "x"), (2, None, None, "t", None), (2, 0, "assistant", "", None), (None, 0, "assistant", "é🙂 " * 3000, None), (3, 0, "assistant", "same", None), (3, 0, "assistant", "same", None)]
-    got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss_chars string")).collect()}
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss_chars string"))
+    got = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert (got[1]["n_turns"], got[1]["turns_sha256"], got[1]["loss_sha256"]) == (2, sha("user\n\nassistant\nb</s>\n"), sha("b</s>"))
     assert (got[2]["turns_sha256"], got[2]["loss_chars"]) == (sha("\nt\nassistant\n\n"), 0)
     assert (got[None]["loss_chars"], got[None]["loss_sha256"]) == (9000, sha("é🙂 " * 3000))
     assert got[3]["loss_sha256"] == sha("samesame")
+    assert chat.digests(formatted.limit(0)).count() == 0
     assert chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss_chars string").limit(0)).count() == 0
+
+
+def test_formatted_tokens_spell_the_text_and_the_mask_lies_on_them(spark):
+    rows = [(1, 0, "user", "Grüße 🙂🙂 now"), (1, 1, "assistant", "日本語 text <|im_end|> and" + " " * 9000 + "x"), (1, 2, "assistant", ""), (1, 3, "user", "bye")]
+    r = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    encoder = chat.Encoder(open(chat.VOCABULARY, "rb").read())
+    assert encoder.core.decode(r["ids"]) == r["formatted"]
+    ids, tokens = encoder(r["formatted"])
+    assert ids.tolist() == r["ids"]
+    text = chat.escape(rows[1][3])
+    assert [r["formatted"][a:b] for a, b in r["spans"]] == [text]
+    (a, b), = r["spans"]
+    assert r["loss"] == [x < b and y > a for x, y in tokens.tolist()]
+    assert encoder.core.decode([i for i, on in zip(r["ids"], r["loss"]) if on]) == text
+    short = "<|im_start|>user<|im_sep|>a  b 🙂<|im_end|>"
+    assert encoder(short)[0].tolist() == [i for part in chat._MARKS.split(short) for i in ([encoder.marks[part]] if part in encoder.marks else encoder.core.encode_ordinary(part))]
