@@ -81,35 +81,121 @@ def test_mix_against_brute_force(spark, sf_dir):
         assert abs(r["target"] - target[s]) < 1e-6 * max(1, target[s])
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
-    assert all(abs(taken[s] - target[s]) < 0.1 * target[s] + 128 for s in per)
+    # A multinomial count of blocks of 32 words: five of its standard deviations, and a block that is not full.
+    share = {s: target[s] / sum(per.values()) for s in per}
+    assert all(abs(taken[s] - target[s]) < 5 * 32 * (sum(per.values()) / 32 * share[s] * (1 - share[s])) ** 0.5 + 64 for s in per)
     assert {tuple(r) for r in got} == {tuple(r) for r in mixing.mix(docs).collect()}
 
 
+def signed(u):
+    return u - (1 << 64) if u >> 63 else u
+
+
+def uniform(*key):
+    return (_chain(key) >> 11) / 2**53
+
+
+def swapped(x, n, key):
+    for k in range(1, 17):
+        other = (signed(_chain((key, np.int32(k)))) % n + n - x) % n
+        if signed(_chain((max(x, other), key, np.int32(k)))) & 1:
+            x = other
+    return x
+
+
+def plain_mix(rows, per_shard, seed=20240, block=32, cap=3):
+    """What each document gives, slot by slot: rows of (doc_id, words, source), all in one list."""
+    per, streams = defaultdict(int), defaultdict(list)
+    for i, n, s in rows:
+        per[s] += n
+    text = lambda n: "w " * n
+    h = {(i, n): signed(xxhash.xxh64_intdigest(text(n).encode(), 42)) for i, n, _ in rows}
+    for i, n, s in sorted(rows, key=lambda r: (signed(_chain((r[0], h[r[0], r[1]]))) % 256, r[0], h[r[0], r[1]])):
+        streams[s] += [i] * n
+    names = sorted(per)
+    target = water(per)
+    blocks = [-(-per[s] // block) for s in names]
+    draws = [target[s] * b / per[s] for s, b in zip(names, blocks)]
+    slots = round(sum(draws))
+
+    def pick(u, weights):
+        ends = mixing.cuts(weights)
+        return sum(e <= u for e in ends)
+
+    shards = [[pick(uniform(np.int32(seed), k, j), draws) for j in range(min(per_shard, slots - k * per_shard))] for k in range(-(-slots // per_shard))]
+    for again in range(1, 6):
+        have = [sum(x.count(i) for x in shards) for i in range(len(names))]
+        if all(n <= cap * b for n, b in zip(have, blocks)):
+            break
+        spare, left, new = [max(0, cap * b - n) for n, b in zip(have, blocks)], [cap * b for b in blocks], []
+        for k, shard in enumerate(shards):
+            kept, over = [], 0
+            for i in shard:
+                if left[i]:
+                    left[i] -= 1
+                    kept.append(i)
+                else:
+                    over += 1
+            weights = [d if x else 0.0 for d, x in zip(draws, spare)]
+            new.append(kept + [pick(uniform(np.int32(seed), np.int32(again), k, j), weights) for j in range(over)])
+        shards = new
+    taken, number = defaultdict(int), [0] * len(names)
+    for shard in shards:
+        for i in shard:
+            r, n = number[i], blocks[i]
+            number[i] += 1
+            b = swapped(r % n, n, signed(_chain((np.int32(seed), np.int32(i), r // n))))
+            for doc in streams[names[i]][b * block : (b + 1) * block]:
+                taken[doc] += 1
+    return taken, shards
+
+
 def test_mix_takes_follow_the_stated_draw(spark):
-    """One source and one shard, all steps by hand: blocks in stream order, slots through the permutation."""
-    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate([5, 200, 0, 64, 131, 1])], "doc_id long, text string, source string")
-    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
-    h = lambda *v: _chain(v)
-    sizes = dict(enumerate([5, 200, 0, 64, 131, 1]))
-    signed = lambda u: u - (1 << 64) if u >> 63 else u
-    order = sorted(sizes, key=lambda i: (signed(h(i, sizes[i])) % 256, i, sizes[i]))
-    total = sum(sizes.values())
-    n = -(-total // 64)
-    slots = n  # the target is the whole source, so every block is taken once
-    key = signed(_chain((np.int32(20240), np.int32(0), 0)))
-    blocks = defaultdict(int)
-    for r in range(slots):
-        x = r % n
-        for k in range(1, 17):
-            other = (signed(_chain((key, np.int32(k)))) % n + n - x) % n
-            if signed(_chain((max(x, other), key, np.int32(k)))) & 1:
-                x = other
-        blocks[x] += 1
-    at = 0
-    for i in order:
-        want = sum(blocks[w // 64] for w in range(at, at + sizes[i]))
-        assert got[i] == want
-        at += sizes[i]
+    """Three sources with targets off their sizes, one of them at its cap, over several shards: all steps by hand."""
+    r = np.random.default_rng(3)
+    rows = [(i, int(r.integers(1, 300)), s) for i, s in enumerate("a" * 30 + "b" * 8 + "c" * 3)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+    for per_shard in (50, 65_536):
+        want, shards = plain_mix(rows, per_shard)
+        got = {x["doc_id"]: x["taken"] for x in mixing.mix(docs, shard_slots=per_shard).collect()}
+        assert got == {i: want.get(i, 0) for i, _, _ in rows}
+        assert all(got[i] <= 3 * n for i, n, _ in rows)
+        m = mixing.mixture(docs, shard_slots=per_shard).collect()
+        assert {(x["shard"], x["slot"]) for x in m} == {(k, j) for k, s in enumerate(shards) for j in range(len(s))}
+        told = defaultdict(int)
+        for x in m:
+            told[x["doc_id"]] += x["words"]
+        assert {i: told.get(i, 0) for i in got} == got
+
+
+def test_counts_of_shards_are_multinomial(spark):
+    sources = [(0, 10**6, 500.0), (1, 10**6, 300.0), (2, 10**6, 200.0)]
+    got = defaultdict(lambda: [0, 0, 0])
+    for x in mixing.draw(spark, sources, 400 * 250, 250, 3, 1).collect():
+        got[x["shard"]][x["idx"]] = x["count"]
+    counts = np.array(list(got.values()))
+    assert counts.shape == (400, 3) and (counts.sum(1) == 250).all()
+    for i, p in enumerate((0.5, 0.3, 0.2)):
+        assert abs(counts[:, i].mean() - 250 * p) < 4 * (250 * p * (1 - p) / 400) ** 0.5
+        assert 0.7 < counts[:, i].var() / (250 * p * (1 - p)) < 1.35
+
+
+def test_slots_that_cannot_be_filled_draw_again(spark):
+    """Sources at their caps, and more draws than one of them can fill."""
+    sources = [(0, 10, 30.0), (1, 4, 12.0), (2, 40, 48.0)]
+    for rounds in (1, 2, 6):
+        counts = mixing.draw(spark, sources, 90, 7, 3, 5, rounds=rounds).collect()
+        per = defaultdict(int)
+        for x in counts:
+            per[x["idx"]] += x["count"]
+        assert sum(per.values()) == 90 and all(per[i] <= 3 * b for i, b, _ in sources)
+
+
+def test_texts_of_the_mix(spark):
+    docs = spark.createDataFrame([(1, " a b\tc ", "x"), (2, "d e " * 30, "x"), (2, "d e " * 30, "x"), (None, "f", "y"), (4, None, "y")], "doc_id long, text string, source string")
+    got = mixing.texts(docs, block_words=4, shard_slots=10).collect()
+    assert all(len(r["text"].split(" ")) == r["n_words"] <= 4 for r in got)
+    assert sum(r["n_words"] for r in got) == sum(r["taken"] for r in mixing.mix(docs, block_words=4, shard_slots=10).collect())
 
 
 def _chain(values, seed=42):
