@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Spans, arrow_bytes, fold, keep_where, slices, table, words
+from .common import Spans, arrow_bytes, fold, keep_where, settle, slices, table, words
 
 PASSAGE = 64
 HASHED = 16
@@ -157,19 +158,24 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, also=None) -> DataFrame:
-    """(text, label) of at most `sample` labelled documents, by a hash of their id."""
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).where("_id is not null and label is not null")
+def labelled_sample(docs: DataFrame, labels: DataFrame, marks: list[str], sample: int, sample_bytes: int, also=None) -> DataFrame:
+    """(_id, text, y) of at most `sample` labelled documents, by a hash of their id; ties go by id. y: an int for each mark, -1 where it is null; the last one never is. Of these, texts are taken in order while all before them have no more than `sample_bytes` characters."""
+    given = labels.select(F.col("doc_id").alias("_id"), *[F.expr(f"cast({m} as int)").alias(f"y{i}") for i, m in enumerate(marks)]).where(f"_id is not null and y{len(marks) - 1} is not null")
     if also is not None:
-        marks = marks.where(also(F.col("_id")))
-    there = docs.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    marks = marks.groupBy("_id").agg(F.max("label").alias("label")).join(there, "_id", "left_semi")
-    marks = marks.orderBy(F.xxhash64(F.lit(17), "_id"), "_id").limit(sample)
+        given = given.where(also(F.col("_id")))
+    y = F.array(*[F.coalesce(F.max(f"y{i}"), F.lit(-1)) for i in range(len(marks))])
+    given = given.groupBy("_id").agg(y.alias("y")).join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
+    given = given.orderBy(F.xxhash64(F.lit(17), "_id"), "_id").limit(sample)
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(marks), "_id").select("_id", "text", "label")
+    rows = settle(texts.join(F.broadcast(given), "_id").select("_id", "text", "y"), "sample")
+    sizes = rows.select("_id", F.length("text").alias("size"), F.xxhash64("text").alias("h"))
+    # One window over the sample's sizes, which are as many as its rows.
+    order = W.orderBy(F.xxhash64(F.lit(17), "_id"), "_id", "h").rowsBetween(W.unboundedPreceding, -1)
+    fits = sizes.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).where(F.col("before") <= sample_bytes).select("_id", "h").distinct()
+    return rows.join(F.broadcast(fits), (rows["_id"] == fits["_id"]) & (F.xxhash64(rows["text"]) == fits["h"]), "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "quality") -> AttentionMIL:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "quality", sample_bytes: int = 32 << 20) -> AttentionMIL:
     """Trains on the driver, on features of the sample."""
 
     def encode(batches):
@@ -178,11 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "qu
         for batch in batches:
             for part in slices(batch):
                 x, base = passages(*arrow_bytes(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("label"), pa.array([x[a:b].tobytes() for a, b in zip(base[:-1], base[1:])], pa.binary())], ["_id", "label", "bag"])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("y"), pa.array([x[a:b].tobytes() for a, b in zip(base[:-1], base[1:])], pa.binary())], ["_id", "y", "bag"])
 
-    rows = labelled_sample(docs, labels, label, sample, lambda i: ~held_out(i)).mapInArrow(encode, "_id long, label int, bag binary").collect()
+    rows = labelled_sample(docs, labels, [label], sample, sample_bytes, lambda i: ~held_out(i)).mapInArrow(encode, "_id long, y array<int>, bag binary").collect()
     rows = sorted(rows, key=lambda r: (r["_id"], bytes(r["bag"])))
-    return AttentionMIL(WIDTH).fit([np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows], np.array([float(r["label"] > 0) for r in rows]))
+    return AttentionMIL(WIDTH).fit([np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows], np.array([float(r["y"][0] > 0) for r in rows]))
 
 
 def score(docs: DataFrame, model: AttentionMIL, keep: list[str] | None = None) -> DataFrame:

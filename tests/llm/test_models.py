@@ -1,5 +1,10 @@
 """Classifiers by held-out accuracy, and the pipeline stage by stage."""
 
+import math
+import random
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +57,8 @@ def test_models_take_odd_input(spark):
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, same)).collect()} <= {0.5, 1.0}
     assert {r["p_toxic"] for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.0}
     assert {r["p_toxic"] for r in toxicity.score(docs, toxicity.fit(docs, same)).collect()} == {1.0}
+    assert toxicity.score(docs, toxicity.fit(docs, same), ["text", "score"]).columns == ["text", "score", "p_junk", "p_toxic_junk", "p_toxic"]
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), same)).count() == 0
     mixed = spark.createDataFrame([(2, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.accept(docs, quality.fit(docs, mixed)).columns == docs.columns
     assert toxicity.accept(docs, toxicity.fit(docs, mixed)).count() <= 5
@@ -69,12 +76,90 @@ def test_toxicity_on_unseen_labels(spark, labelled):
     assert hit[got.toxic == 0].mean() < 0.01
 
 
-def test_chain_feeds_earlier_probabilities():
-    r = np.random.default_rng(1)
-    x = r.normal(size=(400, 3)).astype(np.float32)
-    y1 = (x[:, 0] > 0).astype(np.float32)
-    chain = toxicity.Chain.fit(np.arange(3, dtype=np.int32), x, [y1, 1 - y1])
-    assert len(chain.models[1].w) == 4 and chain.models[1].w[3] < 0
+def plain_features(text):
+    """Words and their prefixes, each with its count."""
+    out = Counter()
+    for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").lower().encode()):
+        out[w, 0] += 1
+        for n in toxicity.PREFIXES:
+            if len(w) > n:
+                out[w[:n], n] += 1
+    return out
+
+
+def plain_choice(rows, y, keep=512):
+    """The features with the largest log-odds in these rows."""
+    total, seen = [sum(v == 0 for v in y), sum(v == 1 for v in y)], [Counter(), Counter()]
+    for r, v in zip(rows, y):
+        seen[v].update(set(r))
+    if not all(total):
+        return []
+    least, rank = 3 if total[1] >= 60 else 2, {}
+    for f, n in seen[1].items():
+        odds = math.log((n + 0.25) / (total[1] + 0.5)) - math.log((seen[0][f] + 0.25) / (total[0] + 0.5))
+        if n >= least and odds > 1.5:
+            rank[f] = odds * math.sqrt(min(n, 50))
+    assert len(rank) <= keep
+    return sorted(rank)
+
+
+def plain_logistic(x, y, l2=2e-4):
+    """The same objective, by Newton's method."""
+    z = np.concatenate([x, np.ones((len(x), 1))], 1)
+    weight, w = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y), np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(z @ w)))
+        w -= np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + l2 * np.eye(len(w)), z.T @ (weight * (p - y)) + l2 * w)
+    return lambda x: 1 / (1 + np.exp(-(np.concatenate([x, np.ones((len(x), 1))], 1) @ w)))
+
+
+def plain_chain(train, test, fold_of, ys):
+    """Probabilities for test rows; every model, that of a fold too, chooses its features from its own rows."""
+    seen, asked = np.zeros((len(train), 0)), np.zeros((len(test), 0))
+    dense = lambda rows, f: np.array([[math.log1p(r[x]) for x in f] for r in rows]).reshape(len(rows), -1)
+
+    def model(k, use):
+        y = np.array([ys[i][k] for i in use])
+        if y.min() == y.max():
+            return lambda rows, before: np.full(len(rows), float(y[0]))
+        f = plain_choice([train[i] for i in use], y.tolist())
+        m = plain_logistic(np.concatenate([dense([train[i] for i in use], f), seen[use]], 1), y)
+        return lambda rows, before: m(np.concatenate([dense(rows, f), before], 1))
+
+    for k in range(len(ys[0])):
+        everything = model(k, list(range(len(train))))
+        unseen = np.zeros(len(train))
+        for fold in range(toxicity.FOLDS):
+            mine = [i for i in range(len(train)) if fold_of[i] == fold]
+            if mine:
+                unseen[mine] = model(k, [i for i in range(len(train)) if fold_of[i] != fold])([train[i] for i in mine], seen[mine])
+        asked, seen = np.concatenate([asked, everything(test, asked)[:, None]], 1), np.concatenate([seen, unseen[:, None]], 1)
+    return asked
+
+
+def test_chain_against_a_plain_one(spark, monkeypatch):
+    """Two marks that overlap but are no functions of each other; words tell of them with noise."""
+    r = random.Random(5)
+    rows, marks = [], []
+    for i in range(240):
+        a, b = r.random() < 0.35, r.random() < 0.3
+        w = [f"plain{r.randrange(12)}" for _ in range(r.randrange(3, 12))]
+        w += ["Nasty", "nastier"][: r.randrange(3)] if a and r.random() < 0.9 else []
+        w += [r.choice(["vile", "vilest!"])] if (a and b) or r.random() < 0.05 else []
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(a), int(a and b or r.random() < 0.05)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, rude int, toxic int").where("doc_id < 200")
+    fold = {x["doc_id"]: x["f"] for x in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    fit, many = toxicity.Logistic.fit, []
+    monkeypatch.setattr(toxicity.Logistic, "fit", lambda self, x, y, steps=20_000: (many.append(len(y)), fit(self, x, y, steps))[1])
+    chain = toxicity.fit(docs, labels, {"rude": "rude = 1", "toxic": "toxic = 1"})
+    assert len(many) == 2 + toxicity.FOLDS
+    got = {x["doc_id"]: (x["p_rude"], x["p_toxic"]) for x in toxicity.score(docs, chain).collect()}
+    features = [plain_features(t) for _, t in rows]
+    want = plain_chain(features[:200], features, [fold[i] for i in range(200)], [m[1:] for m in marks[:200]])
+    assert np.abs(np.array([got[i] for i in range(240)]) - want).max() < 0.02
 
 
 def test_letters_fold():
