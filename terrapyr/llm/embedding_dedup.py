@@ -1,36 +1,41 @@
 """Operator 9, embedding near-dedup over a robust-pruned flat graph.
 
-Vectors with one label are dealt to cluster shards: each goes to the shards of its `overlap`
-nearest centres, so shards overlap. In every shard a flat graph is built by robust pruning
-(Subramanya and others, "DiskANN", 2019); a vector's adjacency lists from its shards are
-united. Every vector is then searched for in each of its shards: greedy beam search from the
-shard's medoid and from the vector's own node, then range expansion, which follows the edges
-of everything found within range until nothing new is. What is found is verified by cosine
-in double precision. `audit` measures recall against brute force.
-
-Centres are vectors picked by hash, about one for `shard_rows` vectors and `max_centres` in
-all, less those that lie close to one kept before: a group of near copies keeps one centre
-and its shard is cut into blocks, of which every pair is searched in a group of bounded
-size. Groups return a count and a root for each vector, never pairs, so a group of near
-copies costs rows in proportion to its size. A pair that meets in several shards counts in
-the first that both have.
-
-Equal vectors of one label are one class with a count; they need no search. Null, empty or
-zero vectors, those with null or non-finite components, and null labels link with nothing;
-vectors of other lengths neither. Repeated rows are vectors of their own.
+Vectors with one label are dealt to regions of at most `region_rows`: each goes to those of its
+`overlap` nearest centres, so regions overlap. A task holds one region. There vectors are dealt
+again to overlapping cluster shards of some hundreds; in every shard a flat graph is built by
+robust pruning (Subramanya and others, "DiskANN", 2019), and a vector's adjacency lists from
+all its shards are united. Every vector is then searched for through the whole region: greedy
+beam search from the nearest shards' medoids and from its own node, then range expansion, which
+follows the edges of everything found within range until nothing new is; where a good part of
+the region is in range, the rest is looked at directly. What is found is verified by cosine in
+double precision, counts both ways, and in the first region that both vectors have. `audit`
+measures recall against brute force.
+
+Centres are vectors picked by hash, about one for `spacing` vectors and `max_centres` in all,
+less those that lie close to one kept before. A region that is still too large is split on
+the executors by centres of its own, and again, as long as it has centres that lie apart. What
+then is too large is a group of near copies: it is cut into blocks, of which every pair is one
+bounded task. Tasks return a count and a root for each vector, never pairs, so a group of near
+copies costs rows in proportion to its size, and time with the square of it.
+
+Equal vectors of one label are one class with a count; they need no search. Classes are told
+apart by 64-bit hashes. Null, empty or zero vectors, those with null or non-finite components,
+and null labels link with nothing; vectors of other lengths neither, however long they are.
+Repeated rows are vectors of their own; ties in the order of a search go by class hash, so
+reruns agree. An empty table gives no rows. Other columns may have any names; they are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
 from .components import components, forest
 
-BLOCK = 512
+#: Rows of a shard, and of a step of the search.
+SHARD, STEP = 256, 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,70 +45,131 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def robust_prune(x: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Adjacency (boolean, both ways) of unit vectors: each keeps near neighbours that no kept one is `alpha` times closer to."""
-    far = np.maximum(0, 2 - 2 * (x @ x.T)).astype(np.float32)
+def robust_prune(x: np.ndarray, degree: int, alpha: float, near: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of unit vectors: each keeps those of its `near` nearest neighbours that no kept one is `alpha` times closer to."""
+    n = len(x)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    far = np.maximum(0, 2 - 2 * (x @ x.T))
     np.fill_diagonal(far, np.inf)
-    alive, out, rows = far.copy(), np.zeros(far.shape, bool), np.arange(len(x))
-    for _ in range(min(degree, len(x) - 1)):
-        pick = alive.argmin(1)
-        good = np.isfinite(alive[rows, pick])
-        if not good.any():
+    near, rows = min(near, n - 1), np.arange(n)
+    cand = np.argpartition(far, near - 1, 1)[:, :near] if near < n - 1 else np.argsort(far, 1)[:, :near]
+    alive, out = np.take_along_axis(far, cand, 1), []
+    own = alive.copy()
+    for _ in range(min(degree, near)):
+        best = alive.argmin(1)
+        good = np.flatnonzero(np.isfinite(alive[rows, best]))
+        if not len(good):
             break
-        out[rows[good], pick[good]] = True
+        pick = cand[rows, best]
+        out.append((rows[good], pick[good]))
         # Squared distances: alpha counts twice.
-        alive[(alpha * alpha * far[pick] <= far) | (rows[None, :] == pick[:, None])] = np.inf
-    return out | out.T
-
-
-def _neighbours(start: np.ndarray, ends: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry of node: (its index repeated, positions of its neighbours in the flat list)."""
-    many = ends[node] - start[node]
-    which = np.repeat(np.arange(len(node)), many)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + start[node][which]
-
-
-def range_search(q: np.ndarray, own: np.ndarray, x: np.ndarray, start: np.ndarray, flat: np.ndarray, limit: float, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with a cosine of `limit` or more that the graph (start, flat) leads to. own: a query's own node, or -1."""
-    n, ends = len(x), start[1:]
-    seen, sims = np.zeros((len(q), n), bool), np.full((len(q), n), -2.0)
-
-    def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Computes the pairs not seen before and returns which these are, each once."""
-        new = np.unique((a * n + b)[~seen[a, b]])
-        a, b = new // n, new % n
-        seen[a, b] = True
-        for i in range(0, len(a), 65_536):
-            s = slice(i, i + 65_536)
-            sims[a[s], b[s]] = (q[a[s]] * x[b[s]]).sum(1)
-        return new
-
-    rows = np.arange(len(q))
-    medoid = int((x @ x.mean(0)).argmax())
-    look(rows, np.full(len(q), medoid))
-    have = np.flatnonzero(own >= 0)
-    look(have, own[have])
-    open_, score = seen.copy(), sims.copy()
-    for _ in range(n):
-        # The best `beam` nodes seen; the best of them that is still open is expanded.
-        floor = np.partition(sims, n - min(beam, n), 1)[:, n - min(beam, n)]
-        score = np.where(open_ & (sims >= floor[:, None]), sims, -3.0)
-        pick = score.argmax(1)
-        live = np.flatnonzero(score[rows, pick] > -3)
-        if not len(live):
-            break
-        open_[live, pick[live]] = False
-        which, at = _neighbours(start, ends, pick[live])
-        new = look(live[which], flat[at])
-        open_[new // n, new % n] = True
-    done = seen & ~open_
-    front = np.argwhere((sims >= limit) & ~done)
-    while len(front):
-        done[front[:, 0], front[:, 1]] = True
-        which, at = _neighbours(start, ends, front[:, 1])
-        look(front[which, 0], flat[at])
-        front = np.argwhere((sims >= limit) & ~done)
-    return np.nonzero(sims >= limit)
+        alive[alpha * alpha * far[pick[:, None], cand] <= own] = np.inf
+        alive[rows, best] = np.inf
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def spread_out(x: np.ndarray, apart: float) -> np.ndarray:
+    """Rows, in order, that are less similar than `apart` to all kept before."""
+    kept, many, out = np.empty_like(x), 0, []
+    for i in range(len(x)):
+        if not many or (kept[:many] @ x[i]).max() < apart:
+            kept[many] = x[i]
+            many += 1
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray, many: int) -> np.ndarray:
+    """The `many` nearest centres of each row."""
+    many = min(many, len(centres))
+    out = np.empty((len(x), many), np.int64)
+    for i in range(0, len(x), 4096):
+        out[i : i + 4096] = np.argpartition(-(x[i : i + 4096] @ centres.T), many - 1, 1)[:, :many]
+    return np.sort(out, 1)
+
+
+class Graph:
+    """The united adjacency lists of overlapping shards, and their medoids."""
+
+    def __init__(self, x: np.ndarray, degree: int, alpha: float, overlap: int, apart: float):
+        n = len(x)
+        shards = [np.arange(n)]
+        if n > 2 * SHARD:
+            centres = x[np.linspace(0, n - 1, n // SHARD).astype(np.int64)]
+            home = nearest(x, centres[spread_out(centres, apart)], overlap)
+            order = np.argsort(home.ravel(), kind="stable")
+            ends = np.searchsorted(home.ravel()[order], np.arange(home.max() + 2))
+            # A shard of near copies is cut; its parts' medoids are all starts.
+            shards = [part for a, b in zip(ends[:-1], ends[1:]) if b > a for part in np.array_split(order[a:b] // home.shape[1], -(-(b - a) // (2 * SHARD)))]
+        edges, self.medoids = [], []
+        for rows in shards:
+            a, b = robust_prune(x[rows], degree, alpha)
+            edges += [rows[a] * n + rows[b], rows[b] * n + rows[a]]
+            self.medoids.append(rows[(x[rows] @ x[rows].mean(0)).argmax()])
+        edges = np.unique(np.concatenate(edges))
+        self.x, self.medoids = x, np.unique(self.medoids)
+        self.flat, self.start = edges % n, np.searchsorted(edges // n, np.arange(n + 1))
+
+    def around(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into node, neighbour) of all neighbours."""
+        many = self.start[node + 1] - self.start[node]
+        which = np.repeat(np.arange(len(node)), many)
+        return which, self.flat[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + self.start[node][which]]
+
+    def search(self, asked: np.ndarray, limit: float, beam: int = 8, wide: float = 0.1) -> np.ndarray:
+        """Similarities (asked nodes x all nodes) as far as the search came across them, -2 elsewhere."""
+        x, n, m = self.x, len(self.x), len(asked)
+        q, rows = x[asked], np.arange(m)
+        sims, done = np.full((m, n), -2, x.dtype), np.zeros((m, n), bool)
+
+        def look(row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = np.unique((row * n + node)[sims[row, node] == -2])
+            row, node = key // n, key % n
+            for i in range(0, len(key), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                sims[row[s], node[s]] = np.einsum("ij,ij->i", q[row[s]], x[node[s]])
+            return row, node
+
+        sims[:, self.medoids] = q @ x[self.medoids].T
+        sims[rows, asked] = 1
+        some = np.unique(np.concatenate([self.medoids, asked]))
+        top = np.argsort(-sims[:, some], 1, kind="stable")[:, :beam]
+        best = some[top]
+        while True:
+            score = np.take_along_axis(sims, best, 1)
+            open_ = ~np.take_along_axis(done, best, 1) & (score > -2)
+            r, c = np.nonzero(open_)
+            if not len(r):
+                break
+            node = best[r, c]
+            done[r, node] = True
+            which, to = self.around(node)
+            row, new = look(r[which], to)
+            if not len(row):
+                continue
+            # The best seen so far: the old ones and what is new, one padded row each.
+            many = np.bincount(row, minlength=m)
+            pad = np.full((m, many.max()), -1)
+            pad[row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)] = new
+            pool = np.concatenate([best, pad], 1)
+            value = np.where(pool >= 0, np.take_along_axis(sims, np.maximum(pool, 0), 1), -3)
+            keep = np.argpartition(-value, beam - 1, 1)[:, :beam] if pool.shape[1] > beam else np.tile(np.arange(pool.shape[1]), (m, 1))
+            best = np.take_along_axis(pool, keep, 1)
+            best = np.where(best < 0, asked[:, None], best)
+        while True:
+            front = (sims >= limit) & ~done
+            full = np.flatnonzero(front.any(1) & ((sims >= limit).sum(1) > max(wide * n, 4 * beam)))
+            if len(full):
+                sims[full] = q[full] @ x.T
+                done[full] = True
+                front[full] = False
+            r, node = np.nonzero(front)
+            if not len(r):
+                return sims
+            done[r, node] = True
+            which, to = self.around(node)
+            look(r[which], to)
 
 
 def _valid(label: str, vector: str):
@@ -120,114 +186,155 @@ def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return rows.where("ok").groupBy("cls").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("first_id")), rows.select("vec_id", "cls")
 
 
-def _centres(found: DataFrame, shard_rows: int, max_centres: int, apart: float) -> dict[str, np.ndarray]:
-    """Unit centres of every label that needs more than one shard; max_centres bounds them all."""
+def _pick(share) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(3), "cls"), 11).cast("double") / F.lit(float(2**53)) < share
+
+
+def _centres(found: DataFrame, spacing: int, region_rows: int, max_centres: int, apart: float) -> dict[str, np.ndarray]:
+    """Unit centres of every label that needs more than one region; max_centres bounds them all."""
     sizes = found.groupBy("label").agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    rows = max(shard_rows, -(-total // max_centres))
-    large = sizes.where(F.col("size") > rows).select("label", (F.lit(1.0) / rows).alias("part"))
-    picked = found.join(large, "label").where(F.shiftrightunsigned(F.xxhash64(F.lit(3), "cls"), 11).cast("double") / float(2**53) < F.col("part"))
+    rows = max(spacing, -(-total // max_centres))
+    large = sizes.where(F.col("size") > max(region_rows, rows)).select("label", (F.lit(1.0) / rows).alias("part"))
     out: dict[str, list] = {}
-    for r in sorted(picked.select("label", "cls", "vector").collect(), key=lambda r: (r["label"], r["cls"])):
-        v, kept = unit(np.array([r["vector"]]))[0], out.setdefault(r["label"], [])
-        if not kept or (np.array(kept) @ v).max() < apart:
-            kept.append(v)
-    return {k: np.array(v) for k, v in out.items()}
+    for r in sorted(found.join(large, "label").where(_pick(F.col("part"))).select("label", "cls", "vector").collect(), key=lambda r: (r["label"], r["cls"])):
+        out.setdefault(r["label"], []).append(r["vector"])
+    got = {}
+    for label, v in out.items():
+        v = unit(np.array(v))
+        got[label] = v[spread_out(v, apart)]
+    return got
+
+
+def _matrix(column) -> np.ndarray:
+    """Unit vectors of an Arrow list column whose lists are equally long."""
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
 
 
-def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = 0.93, overlap: int = 3, degree: int = 12, alpha: float = 1.2, shard_rows: int = 300, max_centres: int = 16_384, apart: float = 0.7) -> DataFrame:
+def _lists(rows: np.ndarray):
+    """An Arrow list column of the rows of a matrix."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.int64()))
+
+
+def _split(routed: DataFrame, region_rows: int, fan: int, overlap: int, apart: float) -> DataFrame | None:
+    """The same rows with regions beyond region_rows split by centres of their own; None if there is nothing to split."""
+    sizes = routed.select("label", F.explode("homes").alias("region")).groupBy("label", "region").agg(F.count("*").alias("size"))
+    big = settle(sizes.where(F.col("size") > region_rows), "large-regions")
+    if not big.limit(1).count():
+        return None
+    parts = F.ceil(F.col("size") / region_rows)
+    inside = routed.select("cls", "label", "vector", F.explode("homes").alias("region")).join(big, ["label", "region"])
+    members = inside.withColumn("part", F.pmod(F.xxhash64(F.lit(11), "cls"), parts)).drop("size")
+    picked = settle(inside.where(_pick(fan / F.col("size"))).select("label", "region", "cls", "vector", parts.alias("parts")), "centres")
+    picked = picked.select("label", "region", "cls", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    def deal(mine, centres):
+        import pyarrow as pa
+
+        region = mine.column("region")
+        homes = np.array(region)[:, None]
+        if len(centres) > 1 and len(mine):
+            v = _matrix(centres.sort_by("cls").column("vector"))
+            v = v[spread_out(v, apart)]
+            if len(v) > 1:
+                # A part's name follows from the region's and the centre's number.
+                with np.errstate(over="ignore"):
+                    homes = (homes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + nearest(_matrix(mine.column("vector")), v, overlap).astype(np.uint64) + np.uint64(1)).view(np.int64)
+        return pa.table({"cls": mine.column("cls"), "label": mine.column("label"), "region": region, "parts": _lists(homes)})
+
+    dealt = members.groupBy("label", "region", "part").cogroup(picked.groupBy("label", "region", "part")).applyInArrow(deal, "cls long, label string, region long, parts array<long>")
+    dealt = settle(dealt, "dealt")
+    if not dealt.where((F.size("parts") > 1) | (F.get("parts", F.lit(0)) != F.col("region"))).limit(1).count():
+        return None
+    moved = dealt.groupBy("cls").agg(F.flatten(F.collect_list("parts")).alias("parts"), F.collect_list("region").alias("left"))
+    new = routed.join(moved, "cls", "left")
+    homes = F.array_sort(F.array_distinct(F.concat(F.array_except("homes", F.coalesce("left", F.array().cast("array<long>"))), F.coalesce("parts", F.array().cast("array<long>")))))
+    return settle(new.select("cls", "label", "n", "vector", homes.alias("homes")), "routed")
+
+
+def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = 0.93, overlap: int = 3, degree: int = 12, alpha: float = 1.2, region_rows: int = 8192, spacing: int = 1500, max_centres: int = 16_384, fan: int = 256, apart: float = 0.7, levels: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     found, members = classes(vectors, id_col, vector_col, label_col)
     found = settle(found, "classes")
-    centres = _centres(found, shard_rows, max_centres, apart)
-
+    centres = _centres(found, spacing, region_rows, max_centres, apart)
     kind = found.schema["vector"].dataType.simpleString()
-    single = kind == "array<float>"
 
     def route(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         for batch in batches:
-            pdf = batch.to_pandas()
-            for label, part in pdf.groupby("label", sort=False):
+            for label in pc.unique(batch.column("label")).to_pylist():
+                part = batch.filter(pc.equal(batch.column("label"), label))
                 c = centres.get(label)
-                if c is None or len(c) < 2:
-                    shards = np.zeros((len(part), 1), np.int32)
-                else:
-                    k = min(overlap, len(c))
-                    shards = np.argpartition(-(unit(np.stack(part["vector"])) @ c.T), k - 1, 1)[:, :k].astype(np.int32)
-                    shards.sort(1)
-                yield _batch(pd.DataFrame({"cls": part["cls"], "label": label, "n": part["n"], "vector": part["vector"], "shards": list(shards)}), shards.shape[1])
-
-    def _batch(pdf, many):
+                homes = nearest(_matrix(part.column("vector")), c, overlap) if c is not None and len(c) > 1 else np.zeros((part.num_rows, 1), np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(homes)], ["cls", "label", "n", "vector", "homes"])
+
+    routed = settle(found.select("cls", "label", "n", "vector").mapInArrow(route, f"cls long, label string, n long, vector {kind}, homes array<long>"), "routed")
+    for _ in range(levels):
+        again = _split(routed, region_rows, fan, overlap, apart)
+        if again is None:
+            break
+        routed = again
+    half = region_rows // 2
+    sizes = routed.select("label", F.explode("homes").alias("region")).groupBy("label", "region").agg(F.count("*").alias("size"))
+    # Regions with one block are the rule; the table of those with more stays small.
+    many = settle(sizes.where(F.col("size") > region_rows).select("label", "region", F.ceil(F.col("size") / half).alias("blocks")), "blocks")
+    spread = routed.select("*", F.explode("homes").alias("region")).join(many, ["label", "region"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64(F.lit(9), "cls"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    grouped = spread.select("label", "region", "block", "cls", "n", "vector", "homes", other.alias("with")).select("label", "region", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "cls", "n", "vector", "homes")
+
+    def search(group):
         import pyarrow as pa
 
-        return pa.RecordBatch.from_arrays([pa.array(pdf["cls"], pa.int64()), pa.array(pdf["label"], pa.string()), pa.array(pdf["n"], pa.int64()), pa.array(pdf["vector"], pa.list_(pa.float32() if single else pa.float64())), pa.array(pdf["shards"], pa.list_(pa.int32()))], ["cls", "label", "n", "vector", "shards"])
-
-    routed = found.select("cls", "label", "n", "vector").mapInArrow(route, f"cls long, label string, n long, vector {kind}, shards array<int>")
-    routed = settle(routed, "routed")
-    placed = routed.select("cls", "label", F.explode("shards").alias("shard"))
-    blocks = settle(placed.groupBy("label", "shard").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
-    # Labels and shards with one block are the rule; the table of those with more stays small.
-    many = blocks.where("blocks > 1")
-    spread = routed.select("*", F.explode("shards").alias("shard")).join(many, ["label", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64(F.lit(9), "cls"), F.col("blocks")))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = robust_prune(unit(np.stack(pdf["vector"])), degree, alpha)
-        ids = pdf["cls"].to_numpy()
-        return pd.DataFrame({"cls": ids, "nbrs": [ids[row] for row in links]})
-
-    lists = spread.select("label", "shard", "block", "cls", "vector").groupBy("label", "shard", "block").applyInPandas(build, "cls long, nbrs array<long>")
-    united = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cls", ignore_index=True)
-        ids, block, n = pdf["cls"].to_numpy(), pdf["block"].to_numpy(), pdf["n"].to_numpy()
-        shard = int(pdf["shard"].iloc[0])
-        x = unit(np.stack(pdf["vector"]))
-        home = np.full((len(pdf), max(len(s) for s in pdf["shards"])), -1)
-        for i, s in enumerate(pdf["shards"]):
-            home[i, : len(s)] = s
-        sides, a, b = np.unique(block), [], []
-        for nodes_of in sides:
-            for asked_by in sides:
-                if len(sides) > 1 and nodes_of == asked_by:
-                    continue
-                nodes, asks = np.flatnonzero(block == nodes_of), np.flatnonzero(block == asked_by)
-                local = np.full(len(pdf), -1)
-                local[nodes] = np.arange(len(nodes))
-                sizes = [len(pdf["nbrs"].iloc[i]) for i in nodes]
-                far = np.concatenate([np.zeros(0, np.int64), *[pdf["nbrs"].iloc[i] for i in nodes]]).astype(np.int64)
-                owner = np.repeat(np.arange(len(nodes)), sizes)
-                at = np.minimum(np.searchsorted(ids, far), len(ids) - 1)
-                to = np.where(ids[at] == far, local[at], -1)
-                owner, to = owner[to >= 0], to[to >= 0]
-                start = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(nodes)))])
-                for i in range(0, len(asks), 256):
-                    part = asks[i : i + 256]
-                    p, r = range_search(x[part], local[part], x[nodes], start, to, limit)
-                    a.append(part[p])
-                    b.append(nodes[r])
-        a, b = np.concatenate(a), np.concatenate(b)
-        apart_ = a != b
-        a, b = np.concatenate([a[apart_], b[apart_]]), np.concatenate([b[apart_], a[apart_]])
-        pairs = np.unique(a * len(pdf) + b)
-        a, b = pairs // max(len(pdf), 1), pairs % max(len(pdf), 1)
-        # Verified, and counted in the first shard that both have.
-        true = (x[a] * x[b]).sum(1) >= limit
-        a, b = a[true], b[true]
-        common = (home[a][:, :, None] == home[b][:, None, :]).any(2) & (home[a] >= 0)
-        first = np.where(common, home[a], np.iinfo(np.int64).max).min(1) if len(a) else np.zeros(0)
-        links = np.bincount(a, weights=np.where(first == shard, n[b], 0), minlength=len(pdf)).astype(np.int64)
+        group = group.sort_by("cls")
+        ids, n, block = (group.column(c).to_numpy() for c in ("cls", "n", "block"))
+        region, sides = group.column("region")[0].as_py(), group.column("low")[0].as_py() != group.column("high")[0].as_py()
+        x = _matrix(group.column("vector"))
+        lists = group.column("homes").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        home = np.full((len(ids), size.max()), -1)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        held = np.zeros((len(ids), size.max()), bool)
+        home[np.repeat(np.arange(len(ids)), size), at] = lists.flatten().to_numpy()
+        held[np.repeat(np.arange(len(ids)), size), at] = True
+        near = np.zeros((len(ids), len(ids)), bool)
+        graph = Graph(x.astype(np.float32), degree, alpha, overlap, apart)
+        for i in range(0, len(ids), STEP):
+            asked = np.arange(i, min(i + STEP, len(ids)))
+            a, b = np.nonzero(graph.search(asked, limit - 1e-5) >= limit - 1e-5)
+            for k in range(0, len(a), 1 << 16):  # verified, in double precision
+                p, r = asked[a[k : k + (1 << 16)]], b[k : k + (1 << 16)]
+                true = (np.einsum("ij,ij->i", x[p], x[r]) >= limit) & (p != r)
+                near[p[true], r[true]] = near[r[true], p[true]] = True
+        links, ea, eb = np.zeros(len(ids), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for i in range(0, len(ids), STEP):
+            a, b = np.nonzero(near[i : i + STEP])
+            a += i
+            if sides:
+                cross = block[a] != block[b]
+                a, b = a[cross], b[cross]
+            if not len(a):
+                continue
+            x_, y_ = forest(np.concatenate([ea, ids[a]]), np.concatenate([eb, ids[b]]))
+            ea, eb = x_, y_
+            for k in range(0, len(a), 1 << 18):
+                p, r = a[k : k + (1 << 18)], b[k : k + (1 << 18)]
+                first = np.full(len(p), np.iinfo(np.int64).max)
+                for j in range(home.shape[1]):  # the smallest region that both have
+                    both = held[p, j] & ((home[r] == home[p, j][:, None]) & held[r]).any(1)
+                    first = np.where(both, np.minimum(first, home[p, j]), first)
+                mine = first == region
+                links += np.bincount(p[mine], weights=n[r[mine]], minlength=len(ids)).astype(np.int64)
         root = ids.copy()
-        if len(a):
-            node, low = forest(ids[a], ids[b])
-            root[np.searchsorted(ids, node)] = low
-        keep = np.isin(np.arange(len(pdf)), a)
-        return pd.DataFrame({"cls": ids[keep], "links": links[keep], "root": root[keep]})
+        root[np.searchsorted(ids, ea)] = eb
+        keep = (links > 0) | (root != ids) | np.isin(ids, eb)
+        return pa.table({"cls": ids[keep], "links": links[keep], "root": root[keep]})
 
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    grouped = spread.join(united, "cls").select("label", "shard", "block", "cls", "n", "vector", "shards", "nbrs", other.alias("with")).select("*", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    got = grouped.groupBy("label", "shard", "low", "high").applyInPandas(search, "cls long, links long, root long")
-    got = settle(got, "links")
+    got = settle(grouped.groupBy("label", "region", "low", "high").applyInArrow(search, "cls long, links long, root long"), "links")
     joined = components(got.select("cls", "root"), "cls", "root")
     total = got.groupBy("cls").agg(F.sum("links").alias("links"))
     info = found.select("cls", "n", "first_id").join(total, "cls", "left").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -239,9 +346,10 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def audit(vectors: DataFrame, result: DataFrame, part: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = 0.93) -> float:
-    """Links found over links there are, of the rows whose id is divisible by `part`, each compared with all rows in blocks."""
-    asked = [(r[0], r[1], np.array(r[2], float)) for r in vectors.where((F.col(id_col) % part == 0) & _valid(label_col, vector_col)).select(id_col, label_col, vector_col).collect()]
+def audit(vectors: DataFrame, result: DataFrame, part: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = 0.93, at_most: int = 4000) -> float:
+    """Links found over links there are, of the rows whose id is divisible by `part` (of more than `at_most`, those first by a hash), each compared with all rows in blocks."""
+    asked = vectors.where((F.col(id_col) % part == 0) & _valid(label_col, vector_col)).select(id_col, label_col, vector_col).orderBy(F.xxhash64(F.lit(29), id_col)).limit(at_most)
+    asked = [(r[0], r[1], np.array(r[2], float)) for r in asked.collect()]
     by_label: dict = {}
     for i, label, v in asked:
         by_label.setdefault((label, len(v)), []).append((i, v))

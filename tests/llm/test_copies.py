@@ -107,15 +107,23 @@ def vectors(seed=5, n=900):
     return x.astype(np.float32), r.integers(0, 2, n)
 
 
-def test_vector_links_against_brute_force(spark, monkeypatch):
-    x, label = vectors()
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
-    df = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(len(x))], "vec_id long, embedding array<float>, label int")
+def plain_links(x, label):
     u = embedding_dedup.unit(x.astype(float))
     near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
-    comp = classes(len(x), zip(*np.nonzero(near)))
-    for rows in (60, 10_000):
-        out = embedding_dedup.near_links(df, shard_rows=rows)
+    return near, classes(len(x), zip(*np.nonzero(near)))
+
+
+def frame(spark, x, label):
+    return spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(len(x))], "vec_id long, embedding array<float>, label int")
+
+
+def test_vector_links_against_brute_force(spark):
+    """Small regions, split ones, groups of near copies in blocks, and everything in one region."""
+    x, label = vectors()
+    df = frame(spark, x, label)
+    near, comp = plain_links(x, label)
+    for options in ({"region_rows": 90, "spacing": 60, "max_centres": 4}, {"region_rows": 200, "spacing": 60}, {}):
+        out = embedding_dedup.near_links(df, **options)
         got = {r["vec_id"]: r for r in out.collect()}
         assert len(got) == len(x)
         assert all(got[i]["n_links"] <= near[i].sum() for i in got)
@@ -125,9 +133,38 @@ def test_vector_links_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.audit(df, out, part=10) >= 0.98
 
 
+def test_vector_recall_at_the_limit_over_hundreds_of_centres(spark):
+    """Lone pairs with a cosine just above the limit, in random directions: the hardest to bring together."""
+    r = np.random.default_rng(12)
+    x = embedding_dedup.unit(r.normal(size=(6000, 64)))
+    for i in range(0, 1200, 2):
+        away = r.normal(size=64)
+        away -= (away @ x[i]) * x[i]
+        c = r.uniform(0.931, 0.96)
+        x[i + 1] = c * x[i] + (1 - c * c) ** 0.5 * away / np.linalg.norm(away)
+    label = np.zeros(len(x), int)
+    near, _ = plain_links(x.astype(np.float32), label)
+    assert near.sum() >= 1190
+    out = embedding_dedup.near_links(frame(spark, x.astype(np.float32), label), spacing=20, region_rows=400)
+    got = {r["vec_id"]: r["n_links"] for r in out.collect()}
+    assert all(got[i] <= near[i].sum() for i in got)
+    assert sum(got.values()) >= 0.9 * near.sum()
+
+
 def test_vector_recall_on_the_given_tables(spark):
-    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    assert embedding_dedup.audit(v, embedding_dedup.near_links(v), part=20) >= 0.9
+    for sf in ("sf0.1", "check_s"):
+        v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        assert embedding_dedup.audit(v, embedding_dedup.near_links(v), part=20) >= 0.95
+
+
+def test_pruned_graph_keeps_near_and_drops_hidden_neighbours():
+    """Points on a circle: each keeps the next on both sides, and none behind them."""
+    at = np.linspace(0, 1.2, 40)
+    x = np.stack([np.cos(at), np.sin(at)], 1)
+    a, b = embedding_dedup.robust_prune(x, 12, 1.2)
+    kept = {(i, j) for i, j in zip(a.tolist(), b.tolist())}
+    assert {(i, i + 1) for i in range(39)} | {(i + 1, i) for i in range(39)} <= kept
+    assert not any(1 < abs(i - j) < 5 for i, j in kept)
 
 
 def test_vector_odd_input(spark):
