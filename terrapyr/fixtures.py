@@ -37,14 +37,17 @@ LISTS: dict[str, tuple[str, list[str]]] = {
         "case when s_suppkey % 2 = 0 then 'Building' else 'Forest' end as kind", "cast(5 + s_suppkey % 20 as double) as hgt",
     ]),
     "machine": ("nation", ["n_name as hostname", "cast(1 + n_nationkey % 4 as int) as processes", "'/cache/' || cast(n_regionkey as string) as cache"]),
-    "rev": ("part", ["p_partkey as k", "'f' || cast(p_partkey % 97 as string) as file_name", "case when p_partkey % 2 = 0 then 'IMAGE' else 'HEIGHT_FIELD' end as source_type", "cast(p_size as int) as size"]),
-    "occupied": ("part", ["cast((p_partkey * 37) % 64 as int) as x", "cast((p_partkey * 53) % 32 as int) as y", "p_partkey as k"]),
+    "rev": ("part", [
+        "p_partkey as k", "'f' || cast(p_partkey - p_partkey % 3 as string) as file_name", "case when p_partkey % 2 = 0 then 'IMAGE' else 'HEIGHT_FIELD' end as source_type", "cast(p_size as int) as size",
+        "p_size % 3 <> 0 as in_old", "p_size % 5 <> 0 as in_new", "cast(p_size + case when p_size % 7 = 0 then 1 else 0 end as int) as new_size",
+    ]),
     "point": ("lineitem", [f"(cast(l_quantity as bigint) % 32) * {Q} as cx", f"((l_linenumber * 5) % 32) * {Q} as cy", "l_orderkey as point_group", "cast(l_linenumber as int) as n"]),
 }
 
-#: 5 x 2 tiles of 9 x 9 posts that share borders and disagree on them.
-DEM_SPARK = "select cast(tx as int) tx, cast(ty as int) ty, cast(c as int) c, cast(r as int) r, 8 * tx + c as gx, 8 * ty + r as gy, cast(((8 * tx + c) * 7 + (8 * ty + r) * 13 + tx * 31 + ty * 17) % 512 as double) h from (select explode(sequence(0L, 4L)) tx) lateral view explode(sequence(0L, 1L)) as ty lateral view explode(sequence(0L, 8L)) as c lateral view explode(sequence(0L, 8L)) as r"
-DEM_SQL = "dem as (select cast(tx as int) tx, cast(ty as int) ty, cast(c as int) c, cast(r as int) r, 8 * tx + c as gx, 8 * ty + r as gy, cast(((8 * tx + c) * 7 + (8 * ty + r) * 13 + tx * 31 + ty * 17) % 512 as double) h from range(0, 5) a(tx), range(0, 2) b(ty), range(0, 9) x(c), range(0, 9) y(r))"
+#: Rows of five tiles, a tile for every supplier, of 9 x 9 posts that share borders and disagree on them.
+_POST = "cast(tx as int) tx, cast(ty as int) ty, cast(c as int) c, cast(r as int) r, 8 * tx + c as gx, 8 * ty + r as gy, cast(((8 * tx + c) * 7 + (8 * ty + r) * 13 + tx * 31 + ty * 17) % 512 as double) h"
+DEM_SPARK = "select " + _POST + " from (select s_suppkey % 5 as tx, s_suppkey div 5 as ty from {supplier}) lateral view explode(sequence(0L, 8L)) as c lateral view explode(sequence(0L, 8L)) as r"
+DEM_SQL = "dem as (select " + _POST + " from (select s_suppkey % 5 as tx, s_suppkey // 5 as ty from supplier), range(0, 9) x(c), range(0, 9) y(r))"
 #: 8 x 8 rasters of embeddings; values below zero are no data.
 CELL_SPARK = "select vec_id as source_id, cast(p % 8 as int) as c, cast(p div 8 as int) as r, cast(v as double) as v, label as band from (select vec_id, label, posexplode(embedding) as (p, v) from {embeddings})"
 CELL_SQL = "cell as (select vec_id as source_id, cast((p - 1) % 8 as int) as c, cast((p - 1) // 8 as int) as r, cast(embedding[p] as double) as v, label as band from (select vec_id, label, embedding, unnest(range(1, 65)) as p from embeddings))"
@@ -67,8 +70,8 @@ def cte(*names: str) -> str:
     return "with " + ", ".join(parts) + " "
 
 
-def dem(spark: SparkSession) -> DataFrame:
-    return spark.sql(DEM_SPARK)
+def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(DEM_SPARK, supplier=table(spark, sf_dir, "supplier"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

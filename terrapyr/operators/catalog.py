@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..fixtures import cte, fixture, table
 from ..functions import extents as E
@@ -13,10 +14,10 @@ from ..registry import query
 S = cte("source")
 
 
-@query("P1_flatten_layers", S + "select 'terrain' || (source_id % 100) as terrain, cast(row_number() over (partition by source_id % 100 order by source_id) - 1 as int) as position, source_id, layer, set_name, min_level, max_level from source")
+@query("P1_flatten_layers", S + "select 'terrain' || (source_id // 8) as terrain, cast(row_number() over (partition by source_id // 8 order by source_id) - 1 as int) as position, source_id, layer, set_name, min_level, max_level from source")
 def flatten_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fixture(spark, sf_dir, "source")
-    nested = s.groupBy(F.concat(F.lit("terrain"), F.col("source_id") % 100).alias("terrain")).agg(F.array_sort(F.collect_list(F.struct("source_id", "layer", "set_name", "min_level", "max_level"))).alias("layers"))
+    nested = s.groupBy(F.concat(F.lit("terrain"), F.floor(F.col("source_id") / 8)).alias("terrain")).agg(F.array_sort(F.collect_list(F.struct("source_id", "layer", "set_name", "min_level", "max_level"))).alias("layers"))
     return flatten(nested)
 
 
@@ -92,11 +93,9 @@ def resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("P7_sort_value", S + f"select source_id, layer, round({_P6}, 12) as sort_value, cast(row_number() over (partition by layer order by round({_P6}, 12) desc, source_id) as int) as draw_order from source")
 def sort_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within a layer the coarsest is drawn first; the id breaks ties."""
-    from pyspark.sql import Window as W
-
+    """Within a layer the coarsest is drawn first; the id breaks ties. Layers are few and large, so places come from a parallel sort."""
     s = fixture(spark, sf_dir, "source").select("source_id", "layer", F.round(E.post_resolution(), 12).alias("sort_value"))
-    return s.withColumn("draw_order", F.row_number().over(W.partitionBy("layer").orderBy(F.desc("sort_value"), "source_id")))
+    return positions(s, [F.desc("sort_value"), F.col("source_id")], ["layer"]).withColumnRenamed("position", "draw_order").withColumn("draw_order", F.col("draw_order").cast("int"))
 
 
 @query("P9_grid_shape", "select w, h, case when w >= h then n else 1 end as columns, case when w >= h then 1 else n end as rows from (select w, h, cast(case when r < sqrt(floor(r) * ceil(r)) then floor(r) else ceil(r) end as int) n from (select w::double w, h::double h, greatest(w, h) / least(w, h)::double r from range(1, 41) a(w), range(1, 41) b(h)))")
@@ -131,13 +130,13 @@ def mask_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_mask(text: Column) -> Column:
     """0x hexadecimal, 0 octal, else decimal."""
-    return F.when(F.lower(text).startswith("0x"), F.conv(F.substring(text, 3, 32), 16, 10)).when(text.startswith("0") & (F.length(text) > 1), F.conv(text, 8, 10)).otherwise(text).cast("long")
+    return F.when(F.lower(text).startswith("0x"), F.conv(F.substr(text, F.lit(3)), 16, 10)).when(text.startswith("0") & (F.length(text) > 1), F.conv(text, 8, 10)).otherwise(text).cast("long")
 
 
-@query("P23_date_parse", "select o_orderkey, o_orderdate::timestamp as parsed, strftime(o_orderdate, '%Y/%-m/%-d %-H:%-M:%-S') as text from orders where o_orderkey < 2000")
+@query("P23_date_parse", "select o_orderkey, o_orderdate::timestamp as parsed, strftime(o_orderdate, '%Y/%-m/%-d %-H:%-M:%-S') as text from orders")
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """y/m/d h:m:s, single digits allowed."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", F.date_format("o_orderdate", "yyyy/M/d H:m:s").alias("text"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy/M/d H:m:s").alias("text"))
     return o.select("o_orderkey", F.to_timestamp("text", "y/M/d H:m:s").alias("parsed"), "text")
 
 
@@ -150,7 +149,7 @@ def prefix_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attribute(attrs: Column, name: str) -> Column:
     """The value of the first entry `name value`; a longer name does not match."""
     hit = F.filter(attrs, lambda a: a.startswith(name + " "))
-    return F.when(F.size(hit) > 0, F.substring(F.get(hit, F.lit(0)), len(name) + 2, 1_000))
+    return F.when(F.size(hit) > 0, F.substr(F.get(hit, F.lit(0)), F.lit(len(name) + 2)))
 
 
 @query("P25_presets", S + "select source_id, preset, x0 as g0, (x1 - x0) / num_x as g1, 90.0::double as g3, -180.0::double / num_y as g5 from (select *, case source_id % 3 when 0 then 'whole' when 1 then 'east' else 'west' end preset, case when source_id % 3 = 1 then 0.0::double else -180.0::double end x0, case when source_id % 3 = 2 then 0.0::double else 180.0::double end x1 from source)")
@@ -209,13 +208,14 @@ def spherical_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- filters ---------------------------------------------------------------------------
 
-_NEAR = "greatest(x_min{d}, 170.0) <= least(x_max{d}, 190.0)"
+_NEAR = "greatest(x_min * 1.5::double{d}, 170.0) <= least(x_max * 1.5::double{d}, 190.0)"
 
 
 @query("F1_intersects", S + f"select source_id from source where ({' or '.join(_NEAR.format(d=d) for d in ('', ' + 360', ' - 360'))}) and greatest(y_min, -20) <= least(y_max, 20)")
 def intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a box across the date line."""
-    return fixture(spark, sf_dir, "source").where(E.intersects(E.BOX, (170.0, -20.0, 190.0, 20.0))).select("source_id")
+    """sources stretched beyond the date line on either side, and a box across it."""
+    wide = (F.col("x_min") * 1.5, F.col("y_min"), F.col("x_max") * 1.5, F.col("y_max"))
+    return fixture(spark, sf_dir, "source").where(E.intersects(wide, (170.0, -20.0, 190.0, 20.0))).select("source_id")
 
 
 @query("F2_intersection", S + "select source_id, greatest(x_min + 10, 0) as ix_min, greatest(y_min, 0) as iy_min, least(x_max + 10, 40) as ix_max, least(y_max, 40) as iy_max from source where greatest(x_min + 10, 0) < least(x_max + 10, 40) and greatest(y_min, 0) < least(y_max, 40)")
@@ -264,12 +264,12 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], value: str | None = No
     return j.select(*keys, F.when(F.col("in0").isNull(), "ADDED").when(F.col("in1").isNull(), "REMOVED").when(same, "UNCHANGED").otherwise("MODIFIED").alias("patch_status"))
 
 
-R = cte("rev")[:-1] + ", o as (select distinct file_name, source_type from rev where k < 60 and k % 3 <> 0), n as (select distinct file_name, source_type from rev where k < 60 and k % 5 <> 0), d as (select coalesce(o.file_name, n.file_name) as file_name, coalesce(o.source_type, n.source_type) as source_type, case when o.file_name is null then 'ADDED' when n.file_name is null then 'REMOVED' else 'UNCHANGED' end as patch_status from o full join n on o.file_name = n.file_name and o.source_type = n.source_type) "
+R = cte("rev")[:-1] + ", o as (select distinct file_name, source_type from rev where in_old), n as (select distinct file_name, source_type from rev where in_new), d as (select coalesce(o.file_name, n.file_name) as file_name, coalesce(o.source_type, n.source_type) as source_type, case when o.file_name is null then 'ADDED' when n.file_name is null then 'REMOVED' else 'UNCHANGED' end as patch_status from o full join n on o.file_name = n.file_name and o.source_type = n.source_type) "
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    r = fixture(spark, sf_dir, "rev").where("k < 60")
-    return r.where("k % 3 <> 0"), r.where("k % 5 <> 0")
+    r = fixture(spark, sf_dir, "rev")
+    return r.where("in_old"), r.where("in_new").withColumn("size", F.col("new_size"))
 
 
 @query("J6_revision_diff", R + "select * from d")
@@ -287,20 +287,25 @@ def altered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revision_diff(spark, sf_dir).agg(F.count_if(F.col("patch_status") != "UNCHANGED").alias("altered"), F.count("*").alias("sources"))
 
 
-@query("U1_catalog_union", cte("rev") + "select file_name, source_type, 0 as revision from rev where k < 60 and k % 3 <> 0 union all select file_name, source_type, 1 from rev where k < 60 and k % 5 <> 0")
+@query("U1_catalog_union", cte("rev") + "select file_name, source_type, 0 as revision from rev where in_old union all select file_name, source_type, 1 from rev where in_new")
 def catalog_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = revisions(spark, sf_dir)
     both = old.withColumn("revision", F.lit(0)).unionByName(new.withColumn("revision", F.lit(1)))
     return both.select("file_name", "source_type", "revision")
 
 
-@query("U2_layer_operations", cte("rev") + "select distinct file_name, 'kept' as op from rev where k < 60 and file_name not in (select file_name from rev where k < 30) union select distinct file_name, 'added' from rev where k between 60 and 80 and file_name not in (select file_name from rev where k < 60)")
+@query("U2_layer_operations", cte("rev")[:-1] + ", o as (select file_name, max(size) as size from rev where in_old group by 1), n as (select file_name, max(new_size) as size from rev where in_new group by 1), gone as (select distinct file_name from rev where size % 11 = 0) select file_name, coalesce(n.size, o.size) as size, case when o.file_name is null then 'added' when n.file_name is not null and n.size <> o.size then 'modified' else 'kept' end as op from o full join n using (file_name) where file_name not in (select file_name from gone)")
 def layer_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Add and remove layers by file name."""
+    """Layers added, changed and removed by file name."""
     r = fixture(spark, sf_dir, "rev")
-    names = lambda cond: r.where(cond).select("file_name").distinct()
-    kept = names("k < 60").join(names("k < 30"), "file_name", "left_anti").withColumn("op", F.lit("kept"))
-    return kept.union(names("k between 60 and 80").join(names("k < 60"), "file_name", "left_anti").withColumn("op", F.lit("added")))
+    side = lambda cond, size: r.where(cond).groupBy("file_name").agg(F.max(size).alias("size"))
+    return edit_layers(side("in_old", "size"), side("in_new", "new_size"), r.where("size % 11 = 0").select("file_name"))
+
+
+def edit_layers(old: DataFrame, new: DataFrame, removed: DataFrame) -> DataFrame:
+    """(file_name, size, op) after `new` is put over `old` and `removed` is taken out."""
+    j = old.select("file_name", F.col("size").alias("was")).join(new.select("file_name", F.col("size").alias("is")), "file_name", "full_outer").join(removed, "file_name", "left_anti")
+    return j.select("file_name", F.coalesce("is", "was").alias("size"), F.when(F.col("was").isNull(), "added").when(F.col("is") != F.col("was"), "modified").otherwise("kept").alias("op"))
 
 
 @query("U3_optional_sets", S + "select source_id, case when source_id % 3 = 0 then ['day', 'night', 'x'] else ['day', 'x'] end as inserted, case when source_id % 3 = 0 then ['night'] else [] end as erased, source_id % 3 = 0 as has_night from source")
@@ -309,12 +314,12 @@ def optional_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "source").select("source_id", F.sort_array(F.array_union(base, F.array(F.lit("x")))).alias("inserted"), F.array_except(base, F.array(F.lit("day"))).alias("erased"), F.array_contains(base, "night").alias("has_night"))
 
 
-@query("U4_file_list_append", cte("rev") + "select distinct 'added' as change, file_name as path from rev where k < 40 union select distinct 'added', file_name from rev where k between 30 and 70 union select distinct 'removed', file_name from rev where k % 10 = 0 and k < 100")
+@query("U4_file_list_append", cte("rev") + "select distinct 'added' as change, file_name as path from rev where in_old union select distinct 'added', file_name from rev where in_new union select distinct 'removed', file_name from rev where not in_new")
 def file_list_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U4, K8: lists of a revision grow by what tasks report; each path once a change."""
     r = fixture(spark, sf_dir, "rev")
     part = lambda cond, change: r.where(cond).select(F.lit(change).alias("change"), F.col("file_name").alias("path"))
-    return part("k < 40", "added").union(part("k between 30 and 70", "added")).union(part("k % 10 = 0 and k < 100", "removed")).distinct()
+    return part("in_old", "added").union(part("in_new", "added")).union(part("not in_new", "removed")).distinct()
 
 
 @query("U5_dedupe_details", cte("variant") + "select original, host, cast(round(ratio * 1000000) as bigint) as ratio_key, count(*) as n from variant group by all")
@@ -330,26 +335,34 @@ def dedupe_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2: a global order as positions. Ranges are sorted in parallel; each row's position is its partition's offset plus its place."""
     s = fixture(spark, sf_dir, "source").select("source_id", "source_type", "file_name", "layer", F.round(E.post_resolution(), 12).alias("sort_value"))
-    return positions(s, [F.col("source_type"), F.col("file_name"), F.col("layer"), F.desc("sort_value"), F.col("source_id")]).select("source_id", "position")
+    return positions(s, [F.col("source_type"), F.col("file_name"), F.col("layer"), F.desc("sort_value"), F.col("source_id")]).select("source_id", F.col("position").cast("int").alias("position"))
 
 
-def positions(df: DataFrame, order: list[Column]) -> DataFrame:
+def positions(df: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """`position` (a long, from 1) in an order, within groups if `by` names their columns. Rows are dealt by ranges of groups and order, so neither a large group nor the whole table meets in one task; a place is its range's offset and the row's place in it. The sorted ranges are kept on the executors' disks, so offsets and rows come from one sort; what is lost is made again from the shuffle."""
     from pyspark.sql import Window as W
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-    ranked = cut.withColumn("_place", F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranked.join(F.broadcast(base), "_part").withColumn("position", (F.col("_base") + F.col("_place") + 1).cast("int")).drop("_part", "_row", "_place", "_base")
+    by, n = by or [], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*map(F.col, by), *order]
+    cut = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
+    ranked = cut.withColumn("__place", F.col("__row") - F.shiftleft(F.col("__part").cast("long"), 33) + 1).persist(StorageLevel.DISK_ONLY)
+    # A row for every range and group in it: as many as ranges and groups, not rows.
+    sizes = ranked.groupBy("__part", *by).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+    before = F.coalesce(F.sum("__n").over((W.partitionBy(*by) if by else W.partitionBy()).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select(F.col("__part").alias("__in"), *[F.col(c).alias(f"__{c}") for c in by], (before - F.col("__first") + 1).alias("__base"))
+    same = F.col("__part") == F.col("__in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return ranked.join(base, same).select(*df.columns, (F.col("__base") + F.col("__place")).alias("position"))
 
 
 @query("O3_resolution_pairs", S + "select source_id, res_x, res_y, cast(rank() over (partition by layer order by least(res_x, res_y)) as int) as rank from (select *, (x_max - x_min) / num_x as res_x, (y_max - y_min) / num_y * 2 as res_y from source)")
 def resolution_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
+    """O3: the rank is the place of the first of equal pairs, found by a sort and an aggregate."""
     s = fixture(spark, sf_dir, "source").withColumns({"res_x": (F.col("x_max") - F.col("x_min")) / F.col("num_x"), "res_y": (F.col("y_max") - F.col("y_min")) / F.col("num_y") * 2})
-    return s.select("source_id", "res_x", "res_y", F.rank().over(W.partitionBy("layer").orderBy(F.least("res_x", "res_y"))).alias("rank"))
+    placed = positions(s.select("source_id", "layer", "res_x", "res_y", F.least("res_x", "res_y").alias("least")), [F.col("least"), F.col("source_id")], ["layer"])
+    first = placed.groupBy("layer", "least").agg(F.min("position").cast("int").alias("rank"))
+    return placed.join(first, ["layer", "least"]).select("source_id", "res_x", "res_y", "rank")
 
 
 @query("A1_extents_union", S + "select source_type, min(greatest(x_min, -180)) as x_min, min(greatest(y_min, -90)) as y_min, max(least(x_max, 180)) as x_max, max(least(y_max, 90)) as y_max from source group by 1")

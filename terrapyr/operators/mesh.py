@@ -11,33 +11,36 @@ from ..fixtures import cte, dem, fixture
 from ..functions import extents as E
 from ..options import BuildOptions
 from ..registry import query
+from . import tiling
 from .raster import bilinear, equalize
 
 D, FE = cte("dem"), cte("feature")
 O = BuildOptions()
 A, B = O.equator_radius, O.polar_radius
-_LL = "select tx, ty, c, r, h, gy * 1.0::double as lat, gx * 1.0::double as lon from dem"
+#: Degrees between the posts of the query's grids.
+STEP = 0.005
+_LL = "select tx, ty, c, r, h, gy * 0.005::double as lat, gx * 0.005::double as lon from dem"
 _N = f"({A} / sqrt(1 - (1 - ({B}::double ** 2) / ({A}::double ** 2)) * sin(radians(lat)) ** 2))"
 _XYZ = f"({_N} + h) * cos(radians(lat)) * cos(radians(lon)) as x, ({_N} + h) * cos(radians(lat)) * sin(radians(lon)) as y, ({_N} * (({B}::double ** 2) / ({A}::double ** 2)) + h) * sin(radians(lat)) as z"
 
 
 def _globe(posts: DataFrame) -> DataFrame:
-    x, y, z = E.geocentric(F.col("gy").cast("double"), F.col("gx").cast("double"), F.col("h"), A, B)
+    x, y, z = E.geocentric(F.col("gy") * STEP, F.col("gx") * STEP, F.col("h"), A, B)
     return posts.withColumns({"x": x, "y": y, "z": z})
 
 
 @query("P14_geocentric", D + f"select tx, ty, c, r, round(x, 3) as x, round(y, 3) as y, round(z, 3) as z from (select *, {_XYZ} from ({_LL}))")
 def geocentric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _globe(dem(spark)).select("tx", "ty", "c", "r", *[F.round(a, 3).alias(a) for a in "xyz"])
+    return _globe(dem(spark, sf_dir)).select("tx", "ty", "c", "r", *[F.round(a, 3).alias(a) for a in "xyz"])
 
 
 @query("P15_local_frame", D + f"select tx, ty, c, r, round(-sin(l) * (x - ox) + cos(l) * (y - oy), 3) + 0.0::double as east, round(-sin(p) * cos(l) * (x - ox) - sin(p) * sin(l) * (y - oy) + cos(p) * (z - oz), 3) + 0.0::double as north, round(cos(p) * cos(l) * (x - ox) + cos(p) * sin(l) * (y - oy) + sin(p) * (z - oz), 3) + 0.0::double as up from (select *, {_XYZ} from ({_LL})) join (select tx, ty, x as ox, y as oy, z as oz, radians(lat) as p, radians(lon) as l from (select *, {_XYZ} from (select * replace (0.0::double as h) from ({_LL}) where c = 4 and r = 4))) using (tx, ty)")
 def local_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """East, north and up at the tile's centre; its transpose leads back."""
-    posts = _globe(dem(spark))
-    mid = _globe(dem(spark).where("c = 4 and r = 4").withColumn("h", F.lit(0.0))).select("tx", "ty", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.radians("gy").alias("p"), F.radians("gx").alias("l"))
+    posts = _globe(dem(spark, sf_dir))
+    mid = _globe(dem(spark, sf_dir).where("c = 4 and r = 4").withColumn("h", F.lit(0.0))).select("tx", "ty", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.radians(F.col("gy") * STEP).alias("phi"), F.radians(F.col("gx") * STEP).alias("lam"))
     j = posts.join(mid, ["tx", "ty"])
-    dx, dy, dz, p, l = F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), F.col("z") - F.col("oz"), F.col("p"), F.col("l")
+    dx, dy, dz, p, l = F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), F.col("z") - F.col("oz"), F.col("phi"), F.col("lam")
     east = -F.sin(l) * dx + F.cos(l) * dy
     north = -F.sin(p) * F.cos(l) * dx - F.sin(p) * F.sin(l) * dy + F.cos(p) * dz
     up = F.cos(p) * F.cos(l) * dx + F.cos(p) * F.sin(l) * dy + F.sin(p) * dz
@@ -51,7 +54,7 @@ _DELTA = "e as (select tx, ty, c, r, gx, gy, avg(h) over (partition by gx, gy) a
 def vertex_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P20: slopes from both sides, from one at an edge."""
     across, along = W.partitionBy("tx", "ty", "r").orderBy("c"), W.partitionBy("tx", "ty", "c").orderBy("r")
-    e = equalize(dem(spark))
+    e = equalize(dem(spark, sf_dir))
     h = F.col("h")
     e = e.withColumns({"dr": F.lead("h").over(across) - h, "dl": h - F.lag("h").over(across), "du": F.lead("h").over(along) - h, "dd": h - F.lag("h").over(along)})
     both = lambda a, b: (F.coalesce(a, b) + F.coalesce(b, a)) / 2
@@ -60,17 +63,17 @@ def vertex_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("tx", "ty", "c", "r", (F.round(-F.col("sx") / n, 9) + 0.0).alias("nx"), (F.round(-F.col("sy") / n, 9) + 0.0).alias("ny"), F.round(1 / n, 9).alias("nz"))
 
 
-@query("P34_skirt_length", D + "select tx, ty, round(sqrt((max(gx) - min(gx)) ** 2 + (max(gy) - min(gy)) ** 2) / 2 * 0.02, 9) as skirt, round(2 * 6378137.0 * sin(radians((max(gx) - min(gx)) / 2)) * 0.02, 3) as round_skirt from dem group by all")
+@query("P34_skirt_length", D + "select tx, ty, round(sqrt((max(gx) - min(gx)) ** 2 + (max(gy) - min(gy)) ** 2) / 2 * 0.02, 9) as skirt, round(2 * 6378137.0 * sin(radians((max(gx) - min(gx)) * 0.005::double / 2)) * 0.02, 3) as round_skirt from dem group by all")
 def skirt_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A share of the tile's radius; on the globe, of a chord."""
     w, h = F.max("gx") - F.min("gx"), F.max("gy") - F.min("gy")
-    return dem(spark).groupBy("tx", "ty").agg(F.round(F.sqrt(w * w + h * h) / 2 * O.skirt_ratio, 9).alias("skirt"), F.round(2 * F.lit(A) * F.sin(F.radians(w / 2)) * O.skirt_ratio, 3).alias("round_skirt"))
+    return dem(spark, sf_dir).groupBy("tx", "ty").agg(F.round(F.sqrt(w * w + h * h) / 2 * O.skirt_ratio, 9).alias("skirt"), F.round(2 * F.lit(A) * F.sin(F.radians(w * STEP / 2)) * O.skirt_ratio, 3).alias("round_skirt"))
 
 
 @query("A15_culling_cone", D[:-1] + f", v as (select *, {_XYZ} from ({_LL})), m as (select tx, ty, avg(x) as ax, avg(y) as ay, avg(z) as az from v group by all), u as (select v.*, ax / sqrt(ax * ax + ay * ay + az * az) as cx, ay / sqrt(ax * ax + ay * ay + az * az) as cy, az / sqrt(ax * ax + ay * ay + az * az) as cz, sqrt(x * x + y * y + z * z) as len from v join m using (tx, ty)) select tx, ty, round(min((x * cx + y * cy + z * cz) / len), 9) as min_dot, max(h) as max_height, round(max(len), 3) as max_radius, bool_or((x * cx + y * cy + z * cz) / len < 0) as wraps from u group by all")
 def culling_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cone of directions that a tile covers; useless if it wraps around."""
-    v = _globe(dem(spark))
+    v = _globe(dem(spark, sf_dir))
     m = v.groupBy("tx", "ty").agg(*[F.avg(a).alias("a" + a) for a in "xyz"])
     n = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") + F.col("az") * F.col("az"))
     u = v.join(m, ["tx", "ty"]).withColumn("len", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
@@ -82,7 +85,7 @@ def culling_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cell is cut along the diagonal with the smaller difference in height."""
     across, along = W.partitionBy("tx", "ty", "r").orderBy("c"), W.partitionBy("tx", "ty", "c").orderBy("r")
-    q = dem(spark).withColumns({"b": F.lead("h").over(across), "d": F.lead("h").over(along)}).withColumn("e", F.lead("d").over(across)).where("b is not null and d is not null")
+    q = dem(spark, sf_dir).withColumns({"b": F.lead("h").over(across), "d": F.lead("h").over(along)}).withColumn("e", F.lead("d").over(across)).where("b is not null and d is not null")
     i = F.col("r") * 9 + F.col("c")
     a, b, d, e = i, i + 1, i + 9, i + 10
     tri = lambda v0, v1, v2, half: F.struct(v0.alias("v0"), v1.alias("v1"), v2.alias("v2"), F.lit(half).alias("half"))
@@ -92,7 +95,7 @@ def grid_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("G6_grid_vertices", D + "select tx, ty, r * 9 + c as v, gx * 1.0::double as x, gy * 1.0::double as y, h as z, c / 8.0::double as s, r / 8.0::double as t from dem")
 def grid_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dem(spark).select("tx", "ty", (F.col("r") * 9 + F.col("c")).alias("v"), F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"), F.col("h").alias("z"), (F.col("c") / 8).alias("s"), (F.col("r") / 8).alias("t"))
+    return dem(spark, sf_dir).select("tx", "ty", (F.col("r") * 9 + F.col("c")).alias("v"), F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"), F.col("h").alias("z"), (F.col("c") / 8).alias("s"), (F.col("r") / 8).alias("t"))
 
 
 @query("G7_skirt_ring", D + "select tx, ty, cast(case when r = 0 then c when c = 8 then 8 + r when r = 8 then 24 - c else 32 - r end as int) as ordinal, gx, gy, h - 2.5::double as z from dem where r in (0, 8) or c in (0, 8)")
@@ -100,14 +103,14 @@ def skirt_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Border posts in order around the tile, dropped."""
     c, r = F.col("c"), F.col("r")
     at = F.when(r == 0, c).when(c == 8, 8 + r).when(r == 8, 24 - c).otherwise(32 - r)
-    return dem(spark).where("r in (0, 8) or c in (0, 8)").select("tx", "ty", at.alias("ordinal"), "gx", "gy", (F.col("h") - 2.5).alias("z"))
+    return dem(spark, sf_dir).where("r in (0, 8) or c in (0, 8)").select("tx", "ty", at.alias("ordinal"), "gx", "gy", (F.col("h") - 2.5).alias("z"))
 
 
 @query("G8_grid_decimation", D[:-1] + ", s as (select *, lag(h) over (partition by tx, ty, r order by c) as a, lead(h) over (partition by tx, ty, r order by c) as b from dem) select tx, ty, count(*) as posts, count(*) filter (where a is null or b is null or r in (0, 8) or abs(h - (a + b) / 2) > 3) as kept from s group by all")
 def grid_decimation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts that the line between their neighbours stands for may go; borders stay."""
     w = W.partitionBy("tx", "ty", "r").orderBy("c")
-    s = dem(spark).withColumns({"a": F.lag("h").over(w), "b": F.lead("h").over(w)})
+    s = dem(spark, sf_dir).withColumns({"a": F.lag("h").over(w), "b": F.lead("h").over(w)})
     keep = F.col("a").isNull() | F.col("b").isNull() | F.col("r").isin(0, 8) | (F.abs(F.col("h") - (F.col("a") + F.col("b")) / 2) > 3)
     return s.groupBy("tx", "ty").agg(F.count("*").alias("posts"), F.count_if(keep).alias("kept"))
 
@@ -116,16 +119,27 @@ def grid_decimation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def default_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 flat posts where there is no terrain."""
     side = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))
-    g = dem(spark).select("tx", "ty").distinct().withColumn("c", side).withColumn("r", side)
+    g = dem(spark, sf_dir).select("tx", "ty").distinct().withColumn("c", side).withColumn("r", side)
     return g.select("tx", "ty", "c", "r", (F.col("tx") * 8 + F.col("c") * F.lit(8.0) / 7).alias("x"), (F.col("ty") * 8 + F.col("r") * F.lit(8.0) / 7).alias("y"), F.lit(0.0).alias("h"))
 
 
-@query("G9_scene_manifest", cte("occupied")[:-1] + ", t as (select distinct x, y from occupied where k < 900) select x >> 1 as px, y >> 1 as py, count(*) as children, string_agg('t_' || x || '_' || y, ',' order by x, y) as files, 0.0::double as near, 1e10::double as far from t group by 1, 2")
+@query("G9_scene_manifest", tiling.SRC + tiling.TILES + f", b as (select *, {tiling.TILE_BOX} from tiles), d as (select *, sqrt((tx1 - tx0) ** 2 + (ty1 - ty0) ** 2) * 0.5 * 7.0 as own from b), c as (select level - 1 as level, case when level = 1 then 0 else tile_x >> 1 end as tile_x, case when level = 1 then 0 else tile_y >> 1 end as tile_y, count(*) as children, max(own) as far, string_agg('world_L' || level || '_X' || tile_x || '_Y' || tile_y, ',' order by tile_x, tile_y) as files from d where level > 0 group by all) select d.level, d.tile_x, d.tile_y, coalesce(children, 0) as children, files, case when children is null then 'LEAF' else 'PAGED' end as node, case when children is null then 0.0::double else round(greatest(c.far, own / 2), 6) end as near, case when d.level = 0 then 1e10::double else 1e30::double end as far from d left join c using (level, tile_x, tile_y)")
 def scene_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a paged level lists: its children's files and the distances between which they show."""
-    t = fixture(spark, sf_dir, "occupied").where("k < 900").select("x", "y").distinct()
-    g = t.groupBy(F.shiftright("x", 1).alias("px"), F.shiftright("y", 1).alias("py")).agg(F.count("*").alias("children"), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("c"))
-    return g.select("px", "py", "children", F.array_join(F.transform("c", lambda t: F.format_string("t_%d_%d", t["x"], t["y"])), ",").alias("files"), F.lit(0.0).alias("near"), F.lit(O.top_distance).alias("far"))
+    return manifest(tiling.all_tiles(spark, sf_dir))
+
+
+def manifest(tiles: DataFrame, o: BuildOptions = O) -> DataFrame:
+    """A row for each tile: a leaf, always shown, or a paged level that gives way to its children's files nearer than the cut-off. That is the farthest of the children's own distances (A20), but no less than half the tile's. A tile has four children at most (C1 x R1 under the root), so their list is bounded."""
+    key = tiling.KEY
+    t = tiles.select(*key).withColumns(tiling.tile_box())
+    dx, dy = F.col("tx1") - F.col("tx0"), F.col("ty1") - F.col("ty0")
+    t = t.select(*key, (F.sqrt(dx * dx + dy * dy) * 0.5 * o.distance_ratio).alias("own"))
+    up = [tiling._half("tile_x"), tiling._half("tile_y")]
+    kids = t.where("level > 0").select((F.col("level") - 1).alias("level"), *up, F.struct("tile_x", "tile_y", F.format_string("world_L%d_X%d_Y%d", *key).alias("file")).alias("kid"), "own")
+    kids = kids.groupBy(*key).agg(F.count("*").alias("children"), F.max("own").alias("away"), F.array_join(F.transform(F.array_sort(F.collect_list("kid")), lambda k: k["file"]), ",").alias("files"))
+    j = t.join(kids, key, "left")
+    leaf = F.col("children").isNull()
+    return j.select(*key, F.coalesce("children", F.lit(0)).alias("children"), "files", F.when(leaf, "LEAF").otherwise("PAGED").alias("node"), F.when(leaf, 0.0).otherwise(F.round(F.greatest("away", F.col("own") / 2), 6)).alias("near"), F.when(F.col("level") == 0, o.top_distance).otherwise(1e30).alias("far"))
 
 
 # --- features ------------------------------------------------------------------------------
@@ -166,7 +180,7 @@ def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J8_drape", "with " + D[5:-1] + ", " + FE[5:-1] + f", {_POSTS}, {_DRAPED} select feature_id, i, round(z, 9) as z from draped")
 def drape_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drape(_vertices(spark, sf_dir), ["feature_id", "i"], dem(spark)).withColumn("z", F.round("z", 9))
+    return drape(_vertices(spark, sf_dir), ["feature_id", "i"], dem(spark, sf_dir)).withColumn("z", F.round("z", 9))
 
 
 @query("G11_convexity", FE + "select feature_id, feature_id % 5 <> 0 as convex, case when feature_id % 3 = 0 then -1 else 1 end as turn from feature")
@@ -208,7 +222,7 @@ def extrude_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap, attributes, drape and extrusion in one plan."""
     v = _vertices(spark, sf_dir)
-    z = drape(v, ["feature_id", "i"], dem(spark))
+    z = drape(v, ["feature_id", "i"], dem(spark, sf_dir))
     j = v.join(z, ["feature_id", "i"]).where("z is not null and x between 4 and 36 and y between 0 and 12")
     return j.groupBy("feature_id", "kind").agg(F.count("*").alias("vertices"), F.round(F.min("z"), 6).alias("ground"), F.round(F.max("z") + F.coalesce(F.first("hgt"), F.lit(10.0)), 6).alias("top"))
 
@@ -225,7 +239,7 @@ def reproject_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outline_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that bound one triangle only are the outline."""
     i = F.col("r") * 9 + F.col("c")
-    cells_ = dem(spark).where("c < 8 and r < 8").select("tx", "ty", F.explode(F.array(F.array(i, i + 1, i + 9), F.array(i + 1, i + 10, i + 9))).alias("t"))
+    cells_ = dem(spark, sf_dir).where("c < 8 and r < 8").select("tx", "ty", F.explode(F.array(F.array(i, i + 1, i + 9), F.array(i + 1, i + 10, i + 9))).alias("t"))
     pair = lambda a, b: F.struct(F.least(F.col("t")[a], F.col("t")[b]).alias("u"), F.greatest(F.col("t")[a], F.col("t")[b]).alias("v"))
     return cells_.select("tx", "ty", F.explode(F.array(pair(0, 1), pair(1, 2), pair(0, 2))).alias("e")).select("tx", "ty", "e.*").groupBy("tx", "ty", "u", "v").agg(F.count("*").alias("n")).where("n = 1").drop("n")
 

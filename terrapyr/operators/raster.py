@@ -27,18 +27,18 @@ def value_or_null(v: Column, no_data: Column | float = NO_DATA) -> Column:
     return F.when((v == no_data) | (v < -32000.0) | (v > 3.4028234663852886e38) | F.isnan(v), None).otherwise(v)
 
 
-@query("P30_no_data", C + "select source_id, c, r, case when v < 0 then null else v end as v from (select * from cell where source_id < 200)")
+@query("P30_no_data", C + "select source_id, c, r, case when v < 0 then null else v end as v from cell")
 def no_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = cells(spark, sf_dir).where("source_id < 200")
+    x = cells(spark, sf_dir)
     raw = F.when(F.col("v") < 0, NO_DATA).otherwise(F.col("v"))
     return x.select("source_id", "c", "r", value_or_null(raw).alias("v"))
 
 
-@query("P28_band_expansion", C + "select source_id, c, r, case source_id % 3 when 0 then i when 1 then i else i end as red, case source_id % 3 when 0 then i when 1 then 255 - i else i end as green, case source_id % 3 when 0 then i when 1 then (i * 7) % 256 else 0 end as blue, case source_id % 3 when 2 then 128 else 255 end as alpha from (select *, cast(floor(abs(v) * 1000) as int) % 256 as i from cell where source_id < 300)")
+@query("P28_band_expansion", C + "select source_id, c, r, case source_id % 3 when 0 then i when 1 then i else i end as red, case source_id % 3 when 0 then i when 1 then 255 - i else i end as green, case source_id % 3 when 0 then i when 1 then (i * 7) % 256 else 0 end as blue, case source_id % 3 when 2 then 128 else 255 end as alpha from (select *, cast(floor(abs(v) * 1000) as int) % 256 as i from cell)")
 def band_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grey, colour table and RGBA sources all become four channels. A palette has 256 rows at most."""
     palette = spark.range(256).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("p_r"), (255 - F.col("id")).cast("int").alias("p_g"), (F.col("id") * 7 % 256).cast("int").alias("p_b"))
-    x = cells(spark, sf_dir).where("source_id < 300").withColumn("i", F.floor(F.abs("v") * 1000).cast("int") % 256).join(F.broadcast(palette), "i", "left")
+    x = cells(spark, sf_dir).withColumn("i", F.floor(F.abs("v") * 1000).cast("int") % 256).join(F.broadcast(palette), "i", "left")
     kind = F.col("source_id") % 3
     pick = lambda p, own: F.when(kind == 0, F.col("i")).when(kind == 1, F.col(p)).otherwise(own)
     return x.select("source_id", "c", "r", pick("p_r", F.col("i")).alias("red"), pick("p_g", F.col("i")).alias("green"), pick("p_b", F.lit(0)).alias("blue"), F.when(kind == 2, 128).otherwise(255).alias("alpha"))
@@ -109,20 +109,20 @@ def composite_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corners(points: DataFrame, x: str, y: str) -> DataFrame:
     """The four posts around every point, with bilinear weights; an equi-join on them follows."""
     fx, fy = F.col(x) - F.floor(x), F.col(y) - F.floor(y)
-    at = lambda dx, dy, w: F.struct((F.floor(x) + dx).cast("int").alias("c"), (F.floor(y) + dy).cast("int").alias("r"), w.alias("w"))
-    return points.withColumn("q", F.explode(F.array(at(0, 0, (1 - fx) * (1 - fy)), at(1, 0, fx * (1 - fy)), at(0, 1, (1 - fx) * fy), at(1, 1, fx * fy)))).select("*", "q.*").drop("q")
+    at = lambda dx, dy, w: F.struct((F.floor(x) + dx).cast("int").alias("c"), (F.floor(y) + dy).cast("int").alias("r"), w.alias("__w"))
+    return points.withColumn("__q", F.explode(F.array(at(0, 0, (1 - fx) * (1 - fy)), at(1, 0, fx * (1 - fy)), at(0, 1, (1 - fx) * fy), at(1, 1, fx * fy)))).select("*", "__q.*").drop("__q")
 
 
 def bilinear(points: DataFrame, keys: list[str], x: str, y: str, grid: DataFrame, on: list[str], value: str) -> DataFrame:
     """Weights of missing corners are shared out among the others; null if none is there."""
-    j = corners(points, x, y).where("w > 0").join(grid, on, "left")
-    return j.groupBy(*keys).agg((F.sum(F.when(F.col(value).isNotNull(), F.col("w") * F.col(value))) / F.nullif(F.sum(F.when(F.col(value).isNotNull(), F.col("w"))), F.lit(0.0))).alias("sampled"))
+    j = corners(points, x, y).where("__w > 0").join(grid, on, "left")
+    return j.groupBy(*keys).agg((F.sum(F.when(F.col(value).isNotNull(), F.col("__w") * F.col(value))) / F.nullif(F.sum(F.when(F.col(value).isNotNull(), F.col("__w"))), F.lit(0.0))).alias("sampled"))
 
 
-@query("R3_nearest_sample", C + "select source_id, i, j, 5.0 + 2.0 * v as h from (select source_id, x.i, y.j, cast(floor(x.i * 7.0 / 15 + 0.5) as int) as c, cast(floor(y.j * 7.0 / 15 + 0.5) as int) as r from (select distinct source_id from cell where source_id < 60), range(0, 16) x(i), range(0, 16) y(j)) join cell using (source_id, c, r) where v >= 0".replace("7.0 / 15", "7.0::double / 15").replace("5.0 + 2.0 * v", "5.0::double + 2.0::double * v"))
+@query("R3_nearest_sample", C + "select source_id, i, j, 5.0 + 2.0 * v as h from (select source_id, x.i, y.j, cast(floor(x.i * 7.0 / 15 + 0.5) as int) as c, cast(floor(y.j * 7.0 / 15 + 0.5) as int) as r from (select distinct source_id from cell), range(0, 16) x(i), range(0, 16) y(j)) join cell using (source_id, c, r) where v >= 0".replace("7.0 / 15", "7.0::double / 15").replace("5.0 + 2.0 * v", "5.0::double + 2.0::double * v"))
 def nearest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest cell; no data is skipped; offset + h * scale."""
-    g = cells(spark, sf_dir).where("source_id < 60")
+    g = cells(spark, sf_dir)
     near = lambda i: F.floor(F.col(i) * F.lit(7.0) / 15 + 0.5).cast("int")
     return _posts(g).withColumns({"c": near("i"), "r": near("j")}).join(g, ["source_id", "c", "r"]).where("v >= 0").select("source_id", "i", "j", (5.0 + F.col("v") * 2.0).alias("h"))
 
@@ -132,13 +132,13 @@ def _posts(g: DataFrame) -> DataFrame:
     return g.select("source_id").distinct().withColumn("i", side).withColumn("j", side)
 
 
-_BIL = "w as (select p.source_id, p.i, p.j, q.c, q.r, q.w from (select source_id, i, j, i * 7.0::double / 15 as x, j * 7.0::double / 15 as y from (select distinct source_id from cell where source_id < 60), range(0, 16) a(i), range(0, 16) b(j)) p, lateral (select cast(floor(x) as int) + dx as c, cast(floor(y) as int) + dy as r, (case when dx = 0 then 1 - (x - floor(x)) else x - floor(x) end) * (case when dy = 0 then 1 - (y - floor(y)) else y - floor(y) end) as w from (values (0, 0), (1, 0), (0, 1), (1, 1)) v(dx, dy)) q where q.w > 0)"
+_BIL = "w as (select p.source_id, p.i, p.j, q.c, q.r, q.w from (select source_id, i, j, i * 7.0::double / 15 as x, j * 7.0::double / 15 as y from (select distinct source_id from cell), range(0, 16) a(i), range(0, 16) b(j)) p, lateral (select cast(floor(x) as int) + dx as c, cast(floor(y) as int) + dy as r, (case when dx = 0 then 1 - (x - floor(x)) else x - floor(x) end) * (case when dy = 0 then 1 - (y - floor(y)) else y - floor(y) end) as w from (values (0, 0), (1, 0), (0, 1), (1, 1)) v(dx, dy)) q where q.w > 0)"
 
 
 @query("R2_bilinear_resample", C[:-1] + f", {_BIL} select w.source_id, i, j, round(sum(w * v) / sum(case when v is not null then w end), 9) as v from w left join cell on w.source_id = cell.source_id and w.c = cell.c and w.r = cell.r group by all")
 def bilinear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: up-sampling from 8 to 16 posts."""
-    g = cells(spark, sf_dir).where("source_id < 60")
+    g = cells(spark, sf_dir)
     p = _posts(g).withColumns({"x": F.col("i") * F.lit(7.0) / 15, "y": F.col("j") * F.lit(7.0) / 15})
     return bilinear(p, ["source_id", "i", "j"], "x", "y", g.select("source_id", "c", "r", "v"), ["source_id", "c", "r"], "v").select("source_id", "i", "j", F.round("sampled", 9).alias("v"))
 
@@ -146,18 +146,18 @@ def bilinear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("R4_dem_bilinear", C[:-1] + f", {_BIL} select w.source_id, i, j, round(5.0::double + 2.0::double * sum(w * coalesce(case when v >= 0 then v end, 0.5::double)) / sum(w), 9) as h from w left join cell on w.source_id = cell.source_id and w.c = cell.c and w.r = cell.r group by all")
 def dem_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners without data take the existing height, here 6, undone by offset and scale."""
-    g = cells(spark, sf_dir).where("source_id < 60")
+    g = cells(spark, sf_dir)
     existing = (6.0 - 5.0) / 2.0
     p = _posts(g).withColumns({"x": F.col("i") * F.lit(7.0) / 15, "y": F.col("j") * F.lit(7.0) / 15})
-    j = corners(p, "x", "y").where("w > 0").join(g.select("source_id", "c", "r", F.when(F.col("v") >= 0, F.col("v")).alias("v")), ["source_id", "c", "r"], "left")
-    s = j.groupBy("source_id", "i", "j").agg((F.sum(F.col("w") * F.coalesce("v", F.lit(existing))) / F.sum("w")).alias("s"))
+    j = corners(p, "x", "y").where("__w > 0").join(g.select("source_id", "c", "r", F.when(F.col("v") >= 0, F.col("v")).alias("v")), ["source_id", "c", "r"], "left")
+    s = j.groupBy("source_id", "i", "j").agg((F.sum(F.col("__w") * F.coalesce("v", F.lit(existing))) / F.sum("__w")).alias("s"))
     return s.select("source_id", "i", "j", F.round(5.0 + 2.0 * F.col("s"), 9).alias("h"))
 
 
-@query("G16_raster_warp", C + "select source_id, i, j, v from (select s.source_id, i, j, cast(floor(degrees(2 * atan(exp(radians(90.0::double / 16 * (j + 0.5::double)))) - pi() / 2) / 90 * 8) as int) as r, cast(floor(i / 2.0::double) as int) as c from (select distinct source_id from cell where source_id < 60) s, range(0, 16) a(i), range(0, 16) b(j)) join cell using (source_id, c, r)")
+@query("G16_raster_warp", C + "select source_id, i, j, v from (select s.source_id, i, j, cast(floor(degrees(2 * atan(exp(radians(90.0::double / 16 * (j + 0.5::double)))) - pi() / 2) / 90 * 8) as int) as r, cast(floor(i / 2.0::double) as int) as c from (select distinct source_id from cell) s, range(0, 16) a(i), range(0, 16) b(j)) join cell using (source_id, c, r)")
 def raster_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every target cell asks the source for what lies under its centre; rows of a Mercator grid map to latitudes."""
-    g = cells(spark, sf_dir).where("source_id < 60")
+    g = cells(spark, sf_dir)
     my = F.lit(90.0) / 16 * (F.col("j") + 0.5)
     lat = F.degrees(2 * F.atan(F.exp(F.radians(my))) - F.lit(3.141592653589793) / 2)
     p = _posts(g).withColumns({"r": F.floor(lat / 90 * 8).cast("int"), "c": F.floor(F.col("i") / 2.0).cast("int")})
@@ -176,23 +176,23 @@ def equalize(posts: DataFrame, whole: bool = False) -> DataFrame:
 
 @query("A7a_corner_equalization", D + "select tx, ty, c, r, avg(h) over (partition by gx, gy) as h from dem qualify c in (0, 8) and r in (0, 8)")
 def corner_equalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return equalize(dem(spark).where("c in (0, 8) and r in (0, 8)")).select("tx", "ty", "c", "r", "h")
+    return equalize(dem(spark, sf_dir).where("c in (0, 8) and r in (0, 8)")).select("tx", "ty", "c", "r", "h")
 
 
 @query("A7b_edge_equalization", D + "select tx, ty, c, r, avg(h) over (partition by gx, gy) as h from dem where (c in (0, 8)) <> (r in (0, 8))")
 def edge_equalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return equalize(dem(spark).where("(c in (0, 8)) <> (r in (0, 8))")).select("tx", "ty", "c", "r", "h")
+    return equalize(dem(spark, sf_dir).where("(c in (0, 8)) <> (r in (0, 8))")).select("tx", "ty", "c", "r", "h")
 
 
 @query("A7_equalized_bytes", D + "select tx, ty, c, r, floor(avg(h % 256) over (partition by gx, gy)) as h from dem")
 def equalized_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return equalize(dem(spark).withColumn("h", F.col("h") % 256), whole=True).select("tx", "ty", "c", "r", F.col("h").cast("double").alias("h"))
+    return equalize(dem(spark, sf_dir).withColumn("h", F.col("h") % 256), whole=True).select("tx", "ty", "c", "r", F.col("h").cast("double").alias("h"))
 
 
 @query("A6_flat_tiles", D[:-1] + ", f as (select tx, ty, c, r, case when (tx + ty) % 2 = 0 then 7.0::double else h end as h from dem), s as (select tx, ty, min(h) lo, max(h) hi from f group by all) select tx, ty, lo = hi as flat, case when lo = hi then 8 else 9 end as columns, case when lo = hi then 8 else 9 end as rows, case when lo = hi then lo end as height from s")
 def flat_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tile of one height needs 8 x 8 posts, more along its longer side."""
-    g = dem(spark).withColumn("h", F.when((F.col("tx") + F.col("ty")) % 2 == 0, 7.0).otherwise(F.col("h")))
+    g = dem(spark, sf_dir).withColumn("h", F.when((F.col("tx") + F.col("ty")) % 2 == 0, 7.0).otherwise(F.col("h")))
     s = g.groupBy("tx", "ty").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), (F.max("r") - F.min("r")).alias("height_"), (F.max("c") - F.min("c")).alias("width_"), (F.max("c") + 1).alias("nc"), (F.max("r") + 1).alias("nr"))
     flat, ratio = F.col("lo") == F.col("hi"), F.col("height_") / F.col("width_")
     cols = F.when(ratio < 0.8, F.ceil(8 / ratio)).otherwise(8)
@@ -203,7 +203,7 @@ def flat_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("R10_height_deltas", D[:-1] + ", e as (select tx, ty, c, r, avg(h) over (partition by gx, gy) as h from dem) select tx, ty, c, r, lead(h) over (partition by tx, ty, r order by c) - h as dx, lead(h) over (partition by tx, ty, c order by r) - h as dy from e")
 def height_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finite differences after all heights are equal at borders."""
-    e = equalize(dem(spark))
+    e = equalize(dem(spark, sf_dir))
     return e.select("tx", "ty", "c", "r", (F.lead("h").over(W.partitionBy("tx", "ty", "r").orderBy("c")) - F.col("h")).alias("dx"), (F.lead("h").over(W.partitionBy("tx", "ty", "c").orderBy("r")) - F.col("h")).alias("dy"))
 
 
@@ -242,16 +242,16 @@ def quantize(v: Column, bits: int) -> Column:
     return F.floor(v * top + 0.499999) / top
 
 
-@query("P16_quantize", C + "select source_id, c, r, floor(least(abs(v), 1) * 15.0::double + 0.499999::double) / 15.0::double as q4, floor(least(abs(v), 1) * 3.0::double + 0.499999::double) / 3.0::double as q2, least(abs(v), 1) as q8 from cell where source_id < 200")
+@query("P16_quantize", C + "select source_id, c, r, floor(least(abs(v), 1) * 15.0::double + 0.499999::double) / 15.0::double as q4, floor(least(abs(v), 1) * 3.0::double + 0.499999::double) / 3.0::double as q2, least(abs(v), 1) as q8 from cell")
 def quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.least(F.abs("v"), F.lit(1.0))
-    return cells(spark, sf_dir).where("source_id < 200").select("source_id", "c", "r", quantize(v, 4).alias("q4"), quantize(v, 2).alias("q2"), quantize(v, 8).alias("q8"))
+    return cells(spark, sf_dir).select("source_id", "c", "r", quantize(v, 4).alias("q4"), quantize(v, 2).alias("q2"), quantize(v, 8).alias("q8"))
 
 
-@query("P18_pack_565", C + "select source_id, c, r, ((i >> 3) << 11) | (((255 - i) >> 2) << 5) | (((i * 7) % 256) >> 3) as rgb565, ((i >> 3) << 11) | (((255 - i) >> 3) << 6) | ((((i * 7) % 256) >> 3) << 1) | case when i >= 128 then 1 else 0 end as rgba5551 from (select *, cast(floor(abs(v) * 1000) as int) % 256 as i from cell where source_id < 200)")
+@query("P18_pack_565", C + "select source_id, c, r, ((i >> 3) << 11) | (((255 - i) >> 2) << 5) | (((i * 7) % 256) >> 3) as rgb565, ((i >> 3) << 11) | (((255 - i) >> 3) << 6) | ((((i * 7) % 256) >> 3) << 1) | case when i >= 128 then 1 else 0 end as rgba5551 from (select *, cast(floor(abs(v) * 1000) as int) % 256 as i from cell)")
 def pack_565(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("i")
-    x = cells(spark, sf_dir).where("source_id < 200").withColumn("i", F.floor(F.abs("v") * 1000).cast("int") % 256)
+    x = cells(spark, sf_dir).withColumn("i", F.floor(F.abs("v") * 1000).cast("int") % 256)
     five = lambda v, s: F.shiftleft(F.shiftright(v, 3), s)
     r, g, b = i, 255 - i, i * 7 % 256
     return x.select("source_id", "c", "r", five(r, 11).bitwiseOR(F.shiftleft(F.shiftright(g, 2), 5)).bitwiseOR(F.shiftright(b, 3)).alias("rgb565"), five(r, 11).bitwiseOR(five(g, 6)).bitwiseOR(five(b, 1)).bitwiseOR(F.when(i >= 128, 1).otherwise(0)).alias("rgba5551"))
@@ -282,10 +282,10 @@ def inherit_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layers(spark, sf_dir).withColumn("image", F.coalesce(F.last("image", True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first("image", True).over(w.rowsBetween(0, W.unboundedFollowing))))
 
 
-@query("R7_inherit_on_read", cte("source") + "select t.t as target, source_id, layer from source, (values (0), (1), (2)) t(t) where source_id < 500 and case source_id % 3 when 0 then true when 1 then t.t >= layer else t.t = layer end")
+@query("R7_inherit_on_read", cte("source") + "select t.t as target, source_id, layer from source, (values (0), (1), (2)) t(t) where case source_id % 3 when 0 then true when 1 then t.t >= layer else t.t = layer end")
 def inherit_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layer is drawn into all targets, into later ones, or into its own."""
-    s = fixture(spark, sf_dir, "source").where("source_id < 500")
+    s = fixture(spark, sf_dir, "source")
     k = F.col("source_id") % 3
     targets = F.when(k == 0, F.sequence(F.lit(0), F.lit(2))).when(k == 1, F.sequence(F.col("layer"), F.lit(2))).otherwise(F.array("layer"))
     return s.select(F.explode(targets).alias("target"), "source_id", "layer")
@@ -294,12 +294,12 @@ def inherit_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("R8_row_order", D + "select ty, r, count(*) as posts, sum(h) as total from dem group by all")
 def row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No sliding rows here; a shuffle on the row key gives each row to one task."""
-    return dem(spark).groupBy("ty", "r").agg(F.count("*").alias("posts"), F.sum("h").alias("total"))
+    return dem(spark, sf_dir).groupBy("ty", "r").agg(F.count("*").alias("posts"), F.sum("h").alias("total"))
 
 
 @query("S12_height_window", D + "select tx, ty, c, r, gx * 0.25::double as x, gy * 0.25::double as y, 1.5::double + h * 2.0::double as h from dem where gx between 6 and 20 and gy between 3 and 12")
 def height_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dem(spark).where("gx between 6 and 20 and gy between 3 and 12").select("tx", "ty", "c", "r", (F.col("gx") * 0.25).alias("x"), (F.col("gy") * 0.25).alias("y"), (1.5 + F.col("h") * 2.0).alias("h"))
+    return dem(spark, sf_dir).where("gx between 6 and 20 and gy between 3 and 12").select("tx", "ty", "c", "r", (F.col("gx") * 0.25).alias("x"), (F.col("gy") * 0.25).alias("y"), (1.5 + F.col("h") * 2.0).alias("h"))
 
 
 @query("F10_feature_overlap", cte("feature") + "select feature_id from feature where (greatest(x0, 4) <= least(x0 + w, 12) and greatest(y0, 2) <= least(y0 + h, 8)) and sqrt((x0 + w / 2 - 8) ** 2 + (y0 + h / 2 - 5) ** 2) <= 5 + sqrt(w * w + h * h) / 2")

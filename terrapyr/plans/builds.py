@@ -83,14 +83,13 @@ def highest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revision_discovery(spark, sf_dir).select(F.regexp_extract("base", "[0-9]+", 0).cast("long").alias("base"), F.col("revision").cast("long").alias("revision"))
 
 
-@query("K4_archive_members", cte("source") + "select layer, list_sort(list(distinct file_name)) as members from source where source_type = 'IMAGE' group by 1")
+@query("K4_archive_members", cte("source") + "select distinct layer, file_name as member from source where source_type = 'IMAGE'")
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4: what an archive of each layer would hold; as a table that is one file per layer."""
-    s = fixture(spark, sf_dir, "source").where("source_type = 'IMAGE'")
-    return s.groupBy("layer").agg(F.sort_array(F.collect_set("file_name")).alias("members"))
+    """K4: what an archive of each layer would hold, a row for each member; a table's partition of a layer is its archive."""
+    return fixture(spark, sf_dir, "source").where("source_type = 'IMAGE'").select("layer", F.col("file_name").alias("member")).distinct()
 
 
-@query("K11_mirror_list", cte("variant")[:-1] + ", f as (select *, original * 10 + variant_id % 7 as file_key from variant) select host, count(*) as files from (select file_key, arg_min(host, (host <> 0)::int * 1e12 + host * 1e10 + variant_id) as host from f where file_key not in (select file_key from f where host = 3) group by 1) group by 1")
+@query("K11_mirror_list", cte("variant")[:-1] + ", f as (select *, original * 1000 + variant_id % 997 as file_key from variant) select host, count(*) as files from (select file_key, arg_min(host, (host <> 0)::int * 1e12 + host * 1e10 + variant_id) as host from f where file_key not in (select file_key from f where host = 3) group by 1) group by 1")
 def mirror_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fixture(spark, sf_dir, "variant")
     chosen = ops.mirror(spark, sf_dir).join(v.select("variant_id", "host"), "variant_id")
@@ -115,4 +114,4 @@ def extension_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..fixtures import dem
 
     summary = lambda d: d.groupBy("tx", "ty").agg(F.round(F.avg("h"), 6).alias("mean"), F.max("h").alias("top"))
-    return apply_stages(dem(spark), raster.equalize, summary)
+    return apply_stages(dem(spark, sf_dir), raster.equalize, summary)

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixtures import cte, fixture, table
+from ..operators.catalog import positions
 from ..registry import query
 
 
 def raster_metadata(catalog: DataFrame) -> DataFrame:
-    """Size and affine terms of each source; identity where a file has none. Posts step from the top left, down."""
+    """Size and affine terms of each source; identity where a file has none (column georeferenced, if there is one). Posts step from the top left, down."""
     less = F.when(F.col("data_type") == "VECTOR", 1).otherwise(0)
-    none = F.col("source_id") % 16 == 1
+    none = ~F.coalesce(F.col("georeferenced"), F.lit(True)) if "georeferenced" in catalog.columns else F.lit(False)
     return catalog.select(
         "source_id", "num_x", "num_y", "data_type",
         F.when(none, 0.0).otherwise(F.col("x_min")).alias("g0"),
@@ -28,12 +28,12 @@ _META = "select source_id, num_x, num_y, data_type, case when source_id % 16 = 1
 
 @query("S1_raster_metadata", cte("source") + _META)
 def raster_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster_metadata(fixture(spark, sf_dir, "source"))
+    return raster_metadata(fixture(spark, sf_dir, "source").withColumn("georeferenced", F.col("source_id") % 16 != 1))
 
 
 @query("S2_height_field_scan", cte("source") + f"select source_id, g0 as origin_x, g3 as origin_y, g1 as step_x, g5 as step_y from ({_META}) where data_type = 'VECTOR'")
 def height_field_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster_metadata(fixture(spark, sf_dir, "source").where("data_type = 'VECTOR'")).selectExpr("source_id", "g0 as origin_x", "g3 as origin_y", "g1 as step_x", "g5 as step_y")
+    return raster_metadata(fixture(spark, sf_dir, "source").where("data_type = 'VECTOR'").withColumn("georeferenced", F.col("source_id") % 16 != 1)).selectExpr("source_id", "g0 as origin_x", "g3 as origin_y", "g1 as step_x", "g5 as step_y")
 
 
 def fit_affine(points: DataFrame, key: str) -> DataFrame:
@@ -110,13 +110,14 @@ def metadata_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def handle_pool(handles: DataFrame, cap: int, newest: bool = False) -> DataFrame:
-    """Which open handles to close so that `cap` stay; only unreferenced ones may go. The count is a window over a table bounded by open handles."""
-    order = F.col("last_access").desc() if newest else F.col("last_access").asc()
-    ranked = handles.withColumn("over", F.count("*").over(W.partitionBy()) - cap).withColumn("rank", F.row_number().over(W.partitionBy("referenced").orderBy(order, "handle")))
-    return ranked.withColumn("evict", ~F.col("referenced") & (F.col("rank") <= F.col("over"))).drop("over", "rank")
+    """Which open handles to close so that `cap` stay; only unreferenced ones may go. Places come from a parallel sort, the number to close from one count."""
+    order = [F.col("last_access").desc() if newest else F.col("last_access").asc(), F.col("handle")]
+    over = handles.agg((F.count("*") - cap).alias("__over"))
+    free = positions(handles.where("not referenced"), order).join(F.broadcast(over), F.col("position") <= F.col("__over"), "left_semi").select("handle", F.lit(True).alias("evict"))
+    return handles.join(free, "handle", "left").withColumn("evict", F.coalesce("evict", F.lit(False)))
 
 
-_POOL = "h as (select user_id as handle, max(ts) as last_access, bool_or(event_type = 'purchase') as referenced from events where user_id % 2 = 0 and event_id % 5 = 0 group by 1)"
+_POOL = "h as (select user_id as handle, max(ts) as last_access, arg_max(event_type, event_id) = 'purchase' as referenced from events group by 1)"
 
 
 @query("S9_handle_pool", f"with {_POOL} select handle, referenced, not referenced and rank <= over_ as evict from (select *, count(*) over () - 40 as over_, row_number() over (partition by referenced order by last_access, handle) as rank from h)")
@@ -130,8 +131,7 @@ def handle_pool_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id % 2 = 0 and event_id % 5 = 0")
-    return e.groupBy(F.col("user_id").alias("handle")).agg(F.max("ts").alias("last_access"), F.bool_or(F.col("event_type") == "purchase").alias("referenced"))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("handle")).agg(F.max("ts").alias("last_access"), (F.max_by("event_type", "event_id") == "purchase").alias("referenced"))
 
 
 @query("S11_pixel_window", cte("source") + "select source_id, cast(floor((wx0 - x_min) / dx) as int) as px, cast(floor((y_max - wy1) / dy) as int) as py, cast(ceil((wx1 - x_min) / dx) - floor((wx0 - x_min) / dx) as int) as width, cast(ceil((y_max - wy0) / dy) - floor((y_max - wy1) / dy) as int) as height from (select *, greatest(x_min, 0) as wx0, least(x_max, 45) as wx1, greatest(y_min, 0) as wy0, least(y_max, 45) as wy1, (x_max - x_min) / num_x as dx, (y_max - y_min) / num_y as dy from source where source_type = 'IMAGE') where wx0 < wx1 and wy0 < wy1")
@@ -200,10 +200,10 @@ def read_cache(texts: DataFrame, column: str) -> DataFrame:
     return b.select(field(F.col("b"), "hostname").alias("hostname"), field(F.col("b"), "original").alias("original_file"), field(F.col("b"), "file").alias("file"), *[size[i].cast("int").alias(n) for i, n in enumerate(("size_x", "size_y", "size_z"))])
 
 
-@query("S15_task_file", "select set_id as task_set, 'osgdem --task t' || set_id || '_' || n as command, n as position from range(0, 6) a(set_id), range(0, 4) b(n) where n <= set_id")
+@query("S15_task_file", "select set_id as task_set, 'build --task t' || set_id || '_' || n as command, n as position from range(0, 6) a(set_id), range(0, 4) b(n) where n <= set_id")
 def task_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task sets in file order; a set is a barrier."""
-    lines = F.transform(F.sequence(F.lit(0), F.least("id", F.lit(3))), lambda n: F.concat(F.lit("  exec { osgdem --task t"), F.col("id"), F.lit("_"), n, F.lit(" }")))
+    lines = F.transform(F.sequence(F.lit(0), F.least("id", F.lit(3))), lambda n: F.concat(F.lit("  exec { build --task t"), F.col("id"), F.lit("_"), n, F.lit(" }")))
     text = spark.range(6).select("id", F.concat(F.lit("Tasks {\n"), F.array_join(lines, "\n"), F.lit("\n}\n")).alias("body"))
     return read_tasks(text, "id", "body")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import cte, fixture, table
+from ..operators import tiling
+from ..operators.tiling import PLACED, SRC, covered_sql
 from ..options import BuildOptions
 from ..registry import query
 
@@ -21,24 +23,33 @@ def tile_changes(tiles: DataFrame, before: DataFrame, keys: list[str]) -> DataFr
     return tiles.select(*keys).distinct().join(had, keys, "left").select(*keys, F.when(F.col("had"), "modified").otherwise("added").alias("change"))
 
 
-@query("K1_tile_manifest", cte("occupied") + "select distinct a.x, a.y, case when b.x is null then 'added' else 'modified' end as change from (select distinct x, y from occupied where k < 900) a left join (select distinct x, y from occupied where k < 1200 and k % 3 = 0) b on a.x = b.x and a.y = b.y")
+#: Tiles of two revisions of a catalog.
+_TWO = SRC + PLACED + ", o as (select distinct level, tile_x, tile_y from (" + covered_sql("select *, cast(unnest(range(0, k + 1)) as int) as level from placed where source_id % 3 <> 0") + ")), n as (select distinct level, tile_x, tile_y from (" + covered_sql("select *, cast(unnest(range(0, k + 1)) as int) as level from placed where source_id % 5 <> 0") + "))"
+
+
+@query("K1_tile_manifest", _TWO + " select n.level, n.tile_x, n.tile_y, case when o.level is null then 'added' else 'modified' end as change from n left join o using (level, tile_x, tile_y)")
 def tile_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fixture(spark, sf_dir, "occupied")
-    return tile_changes(o.where("k < 900"), o.where("k < 1200 and k % 3 = 0"), ["x", "y"])
+    s = fixture(spark, sf_dir, "source")
+    tiles = lambda cond: tiling.tile_sources(s.where(cond)).select(*tiling.KEY).distinct()
+    return tile_changes(tiles("source_id % 5 <> 0"), tiles("source_id % 3 <> 0"), tiling.KEY)
 
 
 def simple_path(path: Column) -> Column:
-    """K2: without empty and `.` parts, and with `name/..` taken out (twice, so two levels deep)."""
-    p = F.regexp_replace(F.regexp_replace(path, r"/(\./)+", "/"), r"/{2,}", "/")
-    for _ in range(2):
-        p = F.regexp_replace(p, r"/(?!\.\./)[^/]+/\.\./", "/")
-    return p
+    """K2: without empty and `.` parts, and with `name/..` taken out, however deep; a `..` with nothing before it stays."""
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        up = (part == "..") & (F.size(done) > 0) & (last != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.array_append(done, part))
+
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"))
 
 
 @query("K2_image_paths", "select n_nationkey as id, '/out/L' || n_regionkey || '/t_' || n_nationkey || '.dds' as path from nation")
 def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
-    raw = F.concat(F.lit("/out/./tmp/..//L"), "n_regionkey", F.lit("/a/b/../.././t_"), "n_nationkey", F.lit(".dds"))
+    raw = F.concat(F.lit("/out/./tmp/..//L"), "n_regionkey", F.lit("/a/b/c/../../../d/../.././L"), "n_regionkey", F.lit("/t_"), "n_nationkey", F.lit(".dds"))
     return n.select(F.col("n_nationkey").alias("id"), simple_path(raw).alias("path"))
 
 
@@ -82,10 +93,14 @@ def property_lines(props: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(props)), lambda e: F.concat(e["key"], F.lit(" : "), e["value"])), "\n")
 
 
-@query("K8_revision_lists", cte("occupied") + "select 1 as revision, case when b.x is null then 'added' else 'modified' end as change, count(*) as files, min('t_' || a.x || '_' || a.y) as first_path from (select distinct x, y from occupied where k < 900) a left join (select distinct x, y from occupied where k < 1200 and k % 3 = 0) b on a.x = b.x and a.y = b.y group by 2")
+@query("K8_revision_lists", _TWO + " select 1 as revision, case when n.level is null then 'removed' when o.level is null then 'added' else 'modified' end as change, count(*) as files, min('world_L' || level || '_X' || tile_x || '_Y' || tile_y) as first_path from n full join o using (level, tile_x, tile_y) group by 2")
 def revision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tile_manifest(spark, sf_dir).withColumn("path", F.format_string("t_%d_%d", "x", "y"))
-    return c.groupBy(F.lit(1).alias("revision"), "change").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
+    """K8: what each list of a revision holds; tiles that no source touches any more are removed."""
+    s = fixture(spark, sf_dir, "source")
+    tiles = lambda cond: tiling.tile_sources(s.where(cond)).select(*tiling.KEY).distinct()
+    now, before = tiles("source_id % 5 <> 0"), tiles("source_id % 3 <> 0")
+    lists = tile_changes(now, before, tiling.KEY).unionByName(before.join(now, tiling.KEY, "left_anti").withColumn("change", F.lit("removed")))
+    return lists.withColumn("path", F.format_string("world_L%d_X%d_Y%d", *tiling.KEY)).groupBy(F.lit(1).alias("revision"), "change").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
 
 
 @query("K9_intermediate_catalog", cte("source") + "select source_id, source_type, layer, set_name, file_name, 'PREFER_FILE_SETTINGS' as policy from source where source_type <> 'SHAPEFILE'")

@@ -7,6 +7,7 @@ events in tumbling windows with a watermark and is an addition of this library.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,14 @@ from ..operators import tiling
 from ..registry import query
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder where driver and executors both see it: under spark.checkpoint.dir, or a temporary one if all run in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp()
+
+
 def watch(spark: SparkSession, catalog_dir: str, schema: StructType, out_dir: str, checkpoint_dir: str, files_per_batch: int = 64):
     """A stream that appends the tiles touched by each batch of new sources, tagged with the batch; a repeated batch overwrites its own."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(catalog_dir)
@@ -43,7 +52,7 @@ def batch_touch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_touch_counts(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """The same as a stream of a folder of event files, run to its end; complete mode keeps every window."""
-    folder = folder or tempfile.mkdtemp()
+    folder = folder or shared_folder(spark, "touch-counts")
     schema = spark.read.parquet(path).schema
     stream = touch_counts(spark.readStream.schema(schema).parquet(str(Path(path).parent) if path.endswith(".parquet") and Path(path).is_file() else path))
     name = f"touch_{abs(hash(folder))}"

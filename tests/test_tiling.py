@@ -118,7 +118,7 @@ def test_plan_has_no_nested_loop(spark):
 
 
 def test_equalization_is_idempotent_and_agrees(spark):
-    once = raster.equalize(dem(spark))
+    once = raster.equalize(dem(spark, SF))
     twice = raster.equalize(once)
     assert once.join(twice.withColumnRenamed("h", "again"), ["tx", "ty", "c", "r", "gx", "gy"]).where("h <> again").count() == 0
     assert once.groupBy("gx", "gy").agg(F.count_distinct("h").alias("n")).where("n > 1").count() == 0
@@ -131,7 +131,7 @@ def test_overview_keeps_the_mean(spark):
 
 
 def test_diff_of_equal_revisions(spark):
-    r = fixture(spark, SF, "rev").where("k < 60")
+    r = fixture(spark, SF, "rev")
     assert [x["patch_status"] for x in catalog.diff(r, r, ["file_name", "source_type"]).select("patch_status").distinct().collect()] == ["UNCHANGED"]
     changed = catalog.diff(r, r.withColumn("size", F.col("size") + 1), ["file_name", "source_type"], "size")
     assert {x[0] for x in changed.select("patch_status").distinct().collect()} == {"MODIFIED"}
