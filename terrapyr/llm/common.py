@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is made only where the session names none."""
+    """The folder that driver and executors share. One is made only where the session names none and all runs in one process; a cluster must name one."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         own = tempfile.mkdtemp(prefix="terrapyr-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
@@ -34,10 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new folder in the shared one; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/terrapyr-{what}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     atexit.register(_remove, spark, path)
     return path
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Removes, at its end, all folders that were made inside it."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,11 +82,16 @@ def discard(*settled: DataFrame) -> None:
         _remove(df.sparkSession, df._settled)
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], spread: Column, salts: int = 32) -> DataFrame:
-    """Left join with a table that has one row a key. A hot key on the left is dealt over `salts` tasks, with `right` repeated as often; adaptive execution splits what is still too large."""
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, salts: int = 32) -> DataFrame:
+    """Left join with a table that has one row a key; weight: its column with the key's rows on the left. A key with more than a thousandth of all these rows, of which there are fewer than a thousand, is dealt over `salts` tasks, with its row in `right` repeated as often."""
+    right = settle(right, "lookup")
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > F.lit(max(total // 1000, salts))
+    keys = right.where(hot).select(F.col(key).alias("_hot"))
+    left = left.join(F.broadcast(keys), F.col(key) == F.col("_hot"), "left")
+    left = left.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    right = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(weight)
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -14,8 +14,11 @@ share a segment, as near copies do) is cut into blocks of members and of askers;
 blocks are compared in bounded groups that return a spanning forest instead of pairs. No
 link is lost, no partner capped.
 
-Null texts are empty. Null ids do not count for a component's smallest id unless it has no
-other. Repeated rows come back as often as given.
+Null texts are empty, like those without words. Very long texts are hashed some thousand
+shingles at a time. Null ids do not count for a component's smallest id unless it has no other.
+Ties (a bit set in just half the hashes) leave the bit 0. Repeated rows come back as often as
+given; `dedup` keeps one of them. An empty table gives no rows. Other columns may have any
+names: `group` does not read them, `dedup` returns them.
 """
 
 from __future__ import annotations

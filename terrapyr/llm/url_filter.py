@@ -1,15 +1,19 @@
 """Operator 8, URL filters: host-suffix and path-prefix expressions against a rule list.
 
-Every URL is expanded into the expressions that a rule could have: the last labels of its
-host (as many as the longest rule has) times the prefixes of its path (of the lengths that
-rules have). Expressions and rules meet in an equi-join on a short hash prefix; the full
-SHA-256 digest confirms a match, and precedence picks one. All of it is native.
+Every URL is expanded into its host suffixes (as many as the longest rule host has), and these
+meet the rules' hosts in an equi-join on a short hash prefix, confirmed by the full SHA-256
+digest. A suffix that is some rule's host is then expanded by the path prefixes of the lengths
+that this host's rules have; these expressions meet the rules the same way, and precedence
+picks one. So a long list with paths of many lengths costs only the URLs under its hosts. All
+of it is native.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, with A-Z in lower case. Path:
 then up to `?`, `#` or the end. A null URL, or one without `://`, has an empty host and
-path. Repeated rows are judged row by row. An empty rule list gives every URL the default.
-Of several rules that fit, the longest host plus path wins, then the longer host, then
-`block`. Null rules and rules without a host are left out: they fit nothing.
+path; a very long one is expanded like any other, its prefixes are only as long as rules.
+Repeated rows are judged row by row. An empty rule list gives every URL the default, an empty
+table of URLs no rows. Ties: of several rules that fit, the longest host plus path wins, then
+the longer host, then `block`. Null rules and rules without a host are left out: they fit
+nothing. Other columns of both tables may have any names; they are not read.
 """
 
 from __future__ import annotations
@@ -35,26 +39,32 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", salts: int = 16) -> DataFrame:
     """urls with (id, host, path, rule, verdict). rules: verdict, host, path."""
     rules = rules.select("verdict", F.col("host").alias("r_host"), F.col("path").alias("r_path")).where("verdict is not null and r_host <> '' and r_path is not null").dropDuplicates()
-    shape = rules.agg(F.max(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"), F.count("*").alias("n")).first()
+    shape = rules.agg(F.max(F.size(F.split("r_host", r"\."))).alias("labels"), F.count("*").alias("n")).first()
     host, path = split_url(F.col("_url"))
     base = urls.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).select("_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("_row"))
     if not shape["n"]:
         return base.select(F.col("_id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    key = lambda h, p: F.sha2(F.concat(h, F.lit("\n"), p), 256)
-    known = rules.select("*", key(F.col("r_host"), F.col("r_path")).alias("digest"))
-    known = known.select("verdict", "r_host", "r_path", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long").alias("short"), F.col("digest").alias("r_digest"))
-    lengths = F.array(*[F.lit(int(x)) for x in sorted(shape["lengths"])])
+    small = shape["n"] <= BROADCAST_RULES
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Left join on (digest) by its first 32 bits; right has one row a digest, or few."""
+        short = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("long")
+        left, right = left.withColumn("short", short(F.col("digest"))), right.withColumn("short", short(F.col("r_digest")))
+        if small:
+            return left.join(F.broadcast(right), "short", "left").drop("short")
+        left = left.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row"), F.lit(salts)).cast("int"))
+        return left.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["short", "_salt"], "left").drop("short", "_salt")
+
+    hosts = rules.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths")).select(F.sha2("r_host", 256).alias("r_digest"), "lengths")
+    known = rules.select("verdict", "r_host", "r_path", F.sha2(F.concat("r_host", F.lit("\n"), "r_path"), 256).alias("r_digest"))
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(int(shape["labels"])))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
-    heads = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    wide = met(base.select("*", F.explode_outer(tails).alias("tail")).withColumn("digest", F.sha2("tail", 256)), hosts)
     # Rows whose host or path can carry no rule still come out of the outer explode.
-    wide = base.select("*", F.explode_outer(F.flatten(F.transform(tails, lambda h: F.transform(heads, lambda p: F.concat(h, F.lit("\n"), p))))).alias("expression"))
-    wide = wide.select("*", F.sha2("expression", 256).alias("digest")).withColumn("short", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"))
-    if shape["n"] <= BROADCAST_RULES:
-        joined = wide.join(F.broadcast(known), "short", "left")
-    else:
-        wide = wide.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row"), F.lit(salts)).cast("int"))
-        joined = wide.join(known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["short", "_salt"], "left")
+    heads = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    heads = F.when(F.col("r_digest") == F.col("digest"), heads)
+    wide = wide.select("_id", "_row", "host", "path", "tail", F.explode_outer(heads).alias("head"))
+    joined = met(wide.withColumn("digest", F.sha2(F.concat("tail", F.lit("\n"), "head"), 256)), known)
     fits = F.col("r_digest") == F.col("digest")
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("total"), F.length("r_host").alias("host_length"), (F.col("verdict") == "block").alias("block"))
     best = joined.groupBy("_id", "_row").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(fits, F.struct(rank.alias("rank"), F.concat("r_host", "r_path").alias("rule"), "verdict"))).alias("best"))

@@ -11,12 +11,13 @@ Payload: the html in UTF-8, a null one empty. Of records with equal payloads of
 `revisit_from` bytes, those with the smallest id are responses; all others are revisits that
 name it and store the HTTP header only. Rows that repeat the smallest id are responses too.
 Null ids sort as absent: a group of null ids only has no response to name, so all are
-responses. Empty tables give an empty index.
+responses. Ties do not arise: equal payloads are told apart by id alone. Empty tables give an
+empty index and no bundle. Other columns may have any names; they are not read.
 
 A frame holds whole records and a writer holds one frame, so memory is bounded by the frame
-size or the largest record. Bundles get names of their own for every attempt, under a
-temporary name until complete; the index names what the successful attempt wrote. Copies of
-one payload are spread over tasks by a salt.
+size or the largest record; a very long payload has a frame of its own. Bundles get names of their own for every attempt, under a
+temporary name until complete; the index names what the successful attempt wrote. Payloads
+with very many copies are spread over tasks by a salt.
 """
 
 from __future__ import annotations
@@ -134,8 +135,8 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     """Writes the bundles and returns their index, itself a table in the shared folder."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b"")).alias("html"))
     base = base.withColumn("digest", F.sha1("html"))
-    groups = base.where(F.octet_length("html") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = salted_lookup(base, groups, ["digest"], F.col("page_id"))
+    groups = base.where(F.octet_length("html") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    rows = salted_lookup(base, groups, "digest", "n", F.col("page_id"))
     rows = rows.select("page_id", "url", "html", "digest", F.when((F.octet_length("html") >= revisit_from) & ~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("refers_to"))
 
     def write(batches):
