@@ -1,16 +1,19 @@
 """Operator 10, quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages of 64 words (white-space words; the last may be shorter; a
-text without words is one empty passage). Every passage is encoded from its bytes and words;
-gated attention (Ilse, Tomczak, Welling 2018) weighs the passages, and a logistic unit
-scores the weighted sum. Document labels alone train it.
+text without words is one empty passage). Every passage is encoded: twelve measures of its
+bytes and words, and the learned embeddings of its words and pairs of words, hashed to 4096
+buckets, go through one layer. Gated attention (Ilse, Tomczak, Welling 2018) weighs the
+passages, and a logistic unit scores the weighted sum. Document labels alone train all of it.
 
 The fit takes at most `sample` labelled documents, those that come first by a hash of their
-id, and only ids whose crc32 modulo 5 is not 0; the rest is held out. Rows with a null label
-are not used, the larger of conflicting labels counts. With labels of one kind, or none, all
-scores are their mean, or 0.5. Null texts are empty ones. Repeated rows get equal scores.
-Whole texts are scored, a few MB at a time. Neither labels, lang, source nor doc_id is an
-input of a score.
+id (ties by id), with at most `sample_bytes` characters and one text more, and only ids whose
+crc32 modulo 5 is not 0; the rest is held out. Rows with a null label are not used, the larger
+of conflicting labels counts. With labels of one kind, or none, all scores are their mean, or
+0.5. Null texts are empty ones. Very long texts are scored whole, a batch of 1 MB or one text
+at a time. Repeated rows get equal scores. Empty tables give no rows. Neither labels, lang,
+source nor doc_id is an input of a score; other columns may have any names, and come back where
+they are asked for.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Spans, arrow_bytes, fold, keep_where, settle, slices, table, words
+from .common import _ODD, Spans, arrow_bytes, fold, keep_where, mix, settle, slices, table, words
 
 PASSAGE = 64
-HASHED = 16
-WIDTH = 12 + HASHED
+WIDTH = 12
+#: Buckets of words and pairs of words, as a power of two.
+BITS = 12
 _CLASS = np.zeros((5, 256), np.uint8)
 _CLASS[0, 65:91] = 1  # upper case
 _CLASS[1, [*range(65, 91), *range(97, 123), *range(128, 256)]] = 1  # letters
@@ -33,36 +37,71 @@ _CLASS[3, [x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in "
 _CLASS[4, 10] = 1  # line ends
 
 
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features for every passage, and n+1 offsets of the documents' passages."""
+class Bags:
+    """Passages of some documents: measures x, n+1 offsets of the documents' passages, and the buckets of each passage (n+1 offsets too)."""
+
+    def __init__(self, x: np.ndarray, base: np.ndarray, bucket: np.ndarray, start: np.ndarray):
+        self.x, self.base, self.bucket, self.start = x, base, bucket, start
+
+    @staticmethod
+    def join(parts: list[Bags]) -> Bags:
+        run = lambda k: np.concatenate([[0], *[getattr(p, k)[1:] + add for p, add in zip(parts, np.cumsum([0, *[getattr(q, k)[-1] for q in parts[:-1]]]))]])
+        return Bags(np.concatenate([p.x for p in parts]), run("base").astype(np.int64), np.concatenate([p.bucket for p in parts]), run("start").astype(np.int64))
+
+    def pooled(self, table_: np.ndarray) -> np.ndarray:
+        """The sum of each passage's rows of the table, over the root of their number."""
+        out, many = np.zeros((len(self.x), table_.shape[1]), table_.dtype), np.diff(self.start)
+        some = np.flatnonzero(many)
+        for i in range(0, len(some), 256):  # rows are looked up a bounded part at a time
+            part = some[i : i + 256]
+            a, b = self.start[part[0]], self.start[part[-1] + 1]
+            out[part] = np.add.reduceat(table_[self.bucket[a:b]], self.start[part] - a, axis=0)
+        return out / np.sqrt(np.maximum(many, 1))[:, None].astype(table_.dtype)
+
+    def spread(self, grad: np.ndarray, rows: int) -> np.ndarray:
+        """The gradient of the table, of that of what was pooled."""
+        many = np.diff(self.start)
+        each = (grad / np.sqrt(np.maximum(many, 1))[:, None]).astype(np.float32)
+        order = np.argsort(self.bucket, kind="stable")
+        of = np.repeat(np.arange(len(many)), many)[order]
+        hit, first = np.unique(self.bucket[order], return_index=True)
+        out = np.zeros((rows, grad.shape[1]), np.float32)
+        if len(hit):
+            out[hit] = np.add.reduceat(each[of], first, axis=0)
+        return out
+
+
+def passages(data: np.ndarray, offsets: np.ndarray) -> Bags:
     docs = len(offsets) - 1
     start, end, doc = words(data, offsets, solid=True)
     count = np.bincount(doc, minlength=docs)
     per_doc = np.maximum(1, -(-count // PASSAGE))
     base = np.concatenate([[0], np.cumsum(per_doc)])
-    x = np.zeros((base[-1], WIDTH), np.float32)
+    x, n = np.zeros((base[-1], WIDTH), np.float32), int(base[-1])
     if not len(start):
-        return x, base
+        return Bags(x, base, np.zeros(0, np.uint16), np.zeros(n + 1, np.int64))
     rank = np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
     at = base[doc] + rank // PASSAGE
-    n = len(x)
     size = np.bincount(at, minlength=n).astype(np.float32)
     some = np.maximum(size, 1)
-    low = fold(data)
-    h = Spans(low).hash(start, end)
+    h = Spans(fold(data)).hash(start, end)
     last, first = data[end - 1], data[start]
-    # Bytes of a passage: from its first word to the next passage's.
+    # Bytes of a passage: from its first word to the next passage's, or the text's end.
     filled = np.flatnonzero(size)
-    lead = start[np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])]
+    head = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    lead = start[head]
+    past = np.minimum(np.concatenate([lead[1:], [len(data)]]), offsets[doc[head] + 1])
     tally = np.zeros((5, n), np.float32)
     for k in range(5):
-        tally[k, filled] = np.add.reduceat(_CLASS[k][data], lead, dtype=np.int64)
+        seen = np.concatenate([[0], np.cumsum(_CLASS[k][data], dtype=np.int64)])
+        tally[k, filled] = seen[past] - seen[lead]
     span = np.zeros(n, np.float32)
-    span[filled] = np.diff(np.concatenate([lead, [len(data)]]))
+    span[filled] = past - lead
     span = np.maximum(span, 1)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (at[1:] == at[:-1])
-    order = np.lexsort((h, at)) if len(h) < 2 else np.argsort(h, kind="stable")[np.argsort(at[np.argsort(h, kind="stable")], kind="stable")]
+    by_hash = np.argsort(h, kind="stable")
+    order = by_hash[np.argsort(at[by_hash], kind="stable")]
     hs, as_ = h[order], at[order]
     new = np.ones(len(hs), bool)
     new[1:] = (hs[1:] != hs[:-1]) | (as_[1:] != as_[:-1])
@@ -79,10 +118,14 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     x[:, 9] = mean(_CLASS[3][last])
     x[:, 10] = mean((end - start == 1) & (_CLASS[3][first] > 0))
     x[:, 11] = mean(np.isin(last, np.frombuffer(b".,;:?!", np.uint8)))
-    slot = (h >> np.uint64(60)).astype(np.int64)
-    sign = 1.0 - 2.0 * ((h >> np.uint64(59)) & np.uint64(1)).astype(np.float64)
-    x[:, 12:] = (np.bincount(at * HASHED + slot, weights=sign, minlength=n * HASHED).reshape(n, HASHED) / some[:, None]).astype(np.float32)
-    return x, base
+    shift = np.uint64(64 - BITS)
+    grams, there = np.zeros((len(h), 2), np.uint16), np.ones((len(h), 2), bool)
+    with np.errstate(over="ignore"):
+        grams[:, 0] = h >> shift
+        grams[:-1, 1] = mix(h[:-1] * _ODD + h[1:]) >> shift
+    there[:-1, 1], there[-1, 1] = at[1:] == at[:-1], False
+    many = np.bincount(np.repeat(at, 2)[there.ravel()], minlength=n)
+    return Bags(x, base, grams[there], np.concatenate([[0], np.cumsum(many)]))
 
 
 def _sigmoid(v):
@@ -92,15 +135,17 @@ def _sigmoid(v):
 class AttentionMIL:
     """tanh encoding, gated attention, logistic score; trained by Adam."""
 
-    def __init__(self, width: int, hidden: int = 24, gate: int = 12, seed: int = 7):
+    def __init__(self, width: int = WIDTH, hidden: int = 24, gate: int = 12, buckets: int = 1 << BITS, seed: int = 7):
         r = np.random.default_rng(seed)
         draw = lambda *s: r.normal(0, 1 / np.sqrt(s[0]), s)
         self.p = {"W": draw(width, hidden), "b": np.zeros(hidden), "V": draw(hidden, gate), "U": draw(hidden, gate), "w": draw(gate), "c": draw(hidden), "d": np.zeros(1)}
+        self.p["E"] = r.normal(0, 0.05, (buckets, hidden)).astype(np.float32)
         self.mean, self.scale, self.constant = np.zeros(width), np.ones(width), None
 
-    def _forward(self, x, base):
-        p = self.p
-        h = np.tanh(x @ p["W"] + p["b"])
+    def _forward(self, x: np.ndarray, bags: Bags):
+        """x: the measures, scaled."""
+        p, base = self.p, bags.base
+        h = np.tanh(x @ p["W"] + bags.pooled(p["E"]) + p["b"])
         t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         a = (t * s) @ p["w"]
         starts, bag = base[:-1], np.repeat(np.arange(len(base) - 1), np.diff(base))
@@ -109,48 +154,53 @@ class AttentionMIL:
         z = np.add.reduceat(e[:, None] * h, starts, axis=0)
         return h, t, s, e, z, bag, z @ p["c"] + p["d"][0]
 
-    def score(self, x: np.ndarray, base: np.ndarray) -> np.ndarray:
+    def score(self, bags: Bags) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(base) - 1, self.constant)
-        if len(base) < 2:
+            return np.full(len(bags.base) - 1, self.constant)
+        if len(bags.base) < 2:
             return np.zeros(0)
-        return _sigmoid(self._forward((x - self.mean) / self.scale, base)[-1])
-
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> AttentionMIL:
+        return _sigmoid(self._forward((bags.x - self.mean) / self.scale, bags)[-1])
+
+    def gradients(self, x: np.ndarray, bags: Bags, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted log-loss, by parameter."""
+        p, g = self.p, {}
+        h, t, s, e, z, bag, out = self._forward(x, bags)
+        do = weight * (_sigmoid(out) - y)
+        g["c"], g["d"] = z.T @ do, np.array([do.sum()])
+        dz = do[:, None] * p["c"]
+        de = (dz[bag] * h).sum(1)
+        da = e * (de - np.add.reduceat(e * de, bags.base[:-1])[bag])
+        dh = e[:, None] * dz[bag]
+        g["w"] = (t * s).T @ da
+        dts = da[:, None] * p["w"]
+        dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
+        g["V"], g["U"] = h.T @ dt, h.T @ ds
+        dh = (dh + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+        g["W"], g["b"], g["E"] = x.T @ dh, dh.sum(0), bags.spread(dh, len(p["E"]))
+        return g
+
+    def fit(self, bags: list[Bags], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> AttentionMIL:
+        """bags: one for each document."""
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
-        whole = np.concatenate(bags)
+        whole = np.concatenate([b.x for b in bags]).astype(np.float64)
         self.mean, self.scale = whole.mean(0), whole.std(0) + 1e-3
-        bags = [(b - self.mean) / self.scale for b in bags]
         r, m, v, step = np.random.default_rng(seed), {k: 0 * a for k, a in self.p.items()}, {k: 0 * a for k, a in self.p.items()}, 0
         weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         for epoch in range(epochs):
             order = r.permutation(len(y))
             for i in range(0, len(y), batch):
                 pick = order[i : i + batch]
-                x, base = np.concatenate([bags[k] for k in pick]), np.concatenate([[0], np.cumsum([len(bags[k]) for k in pick])])
-                h, t, s, e, z, bag, out = self._forward(x, base)
-                p, g = self.p, {}
-                do = weight[pick] * (_sigmoid(out) - y[pick]) / len(pick)
-                g["c"], g["d"] = z.T @ do, np.array([do.sum()])
-                dz = do[:, None] * p["c"]
-                de = (dz[bag] * h).sum(1)
-                da = e * (de - np.add.reduceat(e * de, base[:-1])[bag])
-                dh = e[:, None] * dz[bag]
-                g["w"] = (t * s).T @ da
-                dts = da[:, None] * p["w"]
-                dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
-                g["V"], g["U"] = h.T @ dt, h.T @ ds
-                dh = (dh + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-                g["W"], g["b"] = x.T @ dh, dh.sum(0)
+                part = Bags.join([bags[k] for k in pick])
+                g = self.gradients((part.x - self.mean) / self.scale, part, y[pick], weight[pick] / len(pick))
                 step += 1
                 at = rate * (1 - 0.9 * epoch / epochs)
-                for k in p:
-                    grad = g[k] + decay * p[k]
+                for k, p in self.p.items():
+                    grad = g[k] + decay * p
                     m[k] = 0.9 * m[k] + 0.1 * grad
                     v[k] = 0.999 * v[k] + 0.001 * grad**2
-                    p[k] = p[k] - at * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                    self.p[k] = (p - at * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(p.dtype)
         return self
 
 
@@ -183,12 +233,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "qu
 
         for batch in batches:
             for part in slices(batch):
-                x, base = passages(*arrow_bytes(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("y"), pa.array([x[a:b].tobytes() for a, b in zip(base[:-1], base[1:])], pa.binary())], ["_id", "y", "bag"])
+                bags = passages(*arrow_bytes(part.column("text")))
+                many = np.diff(bags.start).astype(np.int32)
+                ends = list(zip(bags.base[:-1], bags.base[1:]))
+                pack = lambda parts: pa.array([x.tobytes() for x in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("y"), pack(bags.x[a:b] for a, b in ends), pack(many[a:b] for a, b in ends), pack(bags.bucket[bags.start[a] : bags.start[b]] for a, b in ends)], ["_id", "y", "x", "many", "bucket"])
+
+    rows = labelled_sample(docs, labels, [label], sample, sample_bytes, lambda i: ~held_out(i)).mapInArrow(encode, "_id long, y array<int>, x binary, many binary, bucket binary").collect()
+    rows = sorted(rows, key=lambda r: (r["_id"], bytes(r["x"]), bytes(r["bucket"])))
+
+    def bag(r) -> Bags:
+        x, many = np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH), np.frombuffer(r["many"], np.int32)
+        return Bags(x, np.array([0, len(x)]), np.frombuffer(r["bucket"], np.uint16), np.concatenate([[0], np.cumsum(many)]))
 
-    rows = labelled_sample(docs, labels, [label], sample, sample_bytes, lambda i: ~held_out(i)).mapInArrow(encode, "_id long, y array<int>, bag binary").collect()
-    rows = sorted(rows, key=lambda r: (r["_id"], bytes(r["bag"])))
-    return AttentionMIL(WIDTH).fit([np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows], np.array([float(r["y"][0] > 0) for r in rows]))
+    return AttentionMIL().fit([bag(r) for r in rows], np.array([float(r["y"][0] > 0) for r in rows]))
 
 
 def score(docs: DataFrame, model: AttentionMIL, keep: list[str] | None = None) -> DataFrame:
@@ -202,19 +260,17 @@ def score(docs: DataFrame, model: AttentionMIL, keep: list[str] | None = None) -
 
         for batch in batches:
             for part in slices(batch):
-                x, base = passages(*arrow_bytes(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(model.score(x.astype(np.float64), base), pa.float64())], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(model.score(passages(*arrow_bytes(part.column("text")))), pa.float64())], [*[f"_k{i}" for i in range(len(keep))], "_score"])
 
-    schema = ", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in kinds) + ", score double"
-    return given.mapInArrow(work, schema)
+    schema = ", ".join(f"_k{i} {k.dataType.simpleString()}" for i, k in enumerate(kinds)) + ", _score double"
+    return given.mapInArrow(work, schema).toDF(*keep, "score")
 
 
 def accept(docs: DataFrame, model: AttentionMIL, least: float = 0.3) -> DataFrame:
     """The documents with a score of `least` or more."""
 
     def wanted(data, offsets):
-        x, base = passages(data, offsets)
-        return model.score(x.astype(np.float64), base) >= least
+        return model.score(passages(data, offsets)) >= least
 
     return keep_where(docs, wanted)
 

@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrapyr.llm import decontaminate, mixing, quality, simhash, toxicity
+from terrapyr.llm import decontaminate, mixing, quality, toxicity
 from terrapyr.llm.common import arrow_bytes, fold_letters
 
+from .test_near_copies import survivors
+
 SF = "/root/testdata/sf0.1"
 
 
@@ -29,24 +31,84 @@ def test_quality_on_held_out_labels(spark, labelled):
     assert got.score.between(0, 1).all()
 
 
-def test_quality_gradients():
+def random_bags(r, sizes, width=5, buckets=8):
+    out = []
+    for n in sizes:
+        many = r.integers(0, 4, n)
+        out.append(quality.Bags(r.normal(size=(n, width)), np.array([0, n]), r.integers(0, buckets, many.sum()).astype(np.uint16), np.concatenate([[0], np.cumsum(many)])))
+    return out
+
+
+def test_quality_gradients_and_fit():
     r = np.random.default_rng(0)
-    m = quality.AttentionMIL(5, hidden=4, gate=3)
-    bags, y = [r.normal(size=(n, 5)) for n in (1, 4, 3)], np.array([1.0, 0.0, 1.0])
-    before = np.abs(m.score(np.concatenate(bags), np.array([0, 1, 5, 8])) - y).sum()
+    m = quality.AttentionMIL(5, hidden=4, gate=3, buckets=8)
+    m.p["E"] = m.p["E"].astype(np.float64) * 10
+    bags, y = random_bags(r, (1, 4, 3)), np.array([1.0, 0.0, 1.0])
+    whole, weight = quality.Bags.join(bags), np.array([0.3, 0.5, 0.2])
+    g = m.gradients(whole.x, whole, y, weight)
+    for k, p in m.p.items():
+        for at in list(np.ndindex(p.shape))[:12]:
+            loss = []
+            for d in (1e-5, -1e-5):
+                p[at] += d
+                out = m.score(whole)
+                loss.append(-(weight * (y * np.log(out) + (1 - y) * np.log(1 - out))).sum())
+                p[at] -= d
+            assert abs((loss[0] - loss[1]) / 2e-5 - g[k][at]) < 1e-4
+    before = np.abs(m.score(whole) - y).sum()
     m.fit(bags, y, epochs=200)
-    after = np.abs(m.score(np.concatenate(bags), np.array([0, 1, 5, 8])) - y).sum()
-    assert after < 0.1 < before
+    assert np.abs(m.score(whole) - y).sum() < 0.1 < before
 
 
 def test_passages_do_not_depend_on_neighbours():
     import pyarrow as pa
 
-    texts = ["a b c " * 90, "", "Zürich !!! " * 3, "x", None, "one two"]
-    x, base = quality.passages(*arrow_bytes(pa.array(texts)))
+    texts = ["a b c " * 90, "", "Zürich !!! " * 3, "  \n x", None, "one two", "\n\n"]
+    whole = quality.passages(*arrow_bytes(pa.array(texts)))
     for i, t in enumerate(texts):
-        alone, b = quality.passages(*arrow_bytes(pa.array([t], pa.string())))
-        assert np.allclose(x[base[i] : base[i + 1]], alone, atol=1e-6)
+        alone = quality.passages(*arrow_bytes(pa.array([t], pa.string())))
+        a, b = whole.base[i], whole.base[i + 1]
+        assert np.allclose(whole.x[a:b], alone.x, atol=1e-6)
+        assert whole.bucket[whole.start[a] : whole.start[b]].tolist() == alone.bucket.tolist()
+
+
+def plain_score(m, text):
+    """A score by loops over words and passages, from the definitions."""
+    raw = (text or "").encode()
+    found = [(w.start(), w.end()) for w in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    groups = [found[i : i + 64] for i in range(0, len(found), 64)] or [[]]
+    symbol = {c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-?()"}
+    hidden, votes = [], []
+    for k, g in enumerate(groups):
+        x, seen, e = np.zeros(quality.WIDTH), set(), np.zeros(m.p["E"].shape[1])
+        if g:
+            body = raw[g[0][0] : groups[k + 1][0][0] if k + 1 < len(groups) else len(raw)]
+            w = [raw[a:b].lower() for a, b in g]
+            upper, digits = sum(65 <= c <= 90 for c in body), sum(48 <= c <= 57 for c in body)
+            letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in body)
+            n = len(g)
+            x = np.array([upper / max(letters, 1), letters / len(body), digits / len(body), (sum(c in symbol for c in body) / len(body)) ** 0.5, (body.count(10) / len(body)) ** 0.5, n / 64, sum(map(len, w)) / n / 10, sum(p == q for p, q in zip(w, w[1:])) / n, len(set(w)) / n, sum(v[-1] in symbol for v in w) / n, sum(len(v) == 1 and v[0] in symbol for v in w) / n, sum(v[-1] in b".,;:?!" for v in w) / n])
+            one = lambda v: int(quality.Spans(np.frombuffer(v, np.uint8)).hash(np.array([0]), np.array([len(v)]))[0])
+            h = [one(v) for v in w]
+            pair = lambda a, b: int(quality.mix(np.array([(a * int(quality._ODD) + b) % 2**64], np.uint64))[0])
+            buckets = [v >> 52 for v in h] + [pair(a, b) >> 52 for a, b in zip(h, h[1:])]
+            e = sum(m.p["E"][b].astype(float) for b in buckets) / len(buckets) ** 0.5
+        v = np.tanh((x - m.mean) / m.scale @ m.p["W"] + e + m.p["b"])
+        hidden.append(v)
+        votes.append(float((np.tanh(v @ m.p["V"]) / (1 + np.exp(-(v @ m.p["U"])))) @ m.p["w"]))
+    share = np.exp(np.array(votes) - max(votes))
+    z = (share[:, None] * np.array(hidden)).sum(0) / share.sum()
+    return 1 / (1 + math.exp(-(z @ m.p["c"] + m.p["d"][0])))
+
+
+def test_scores_against_a_plain_forward_pass(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.fit(docs, labels)
+    assert m.constant is None
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n"), (-4, "one"), (-5, "ÄÖ 5% !!! " * 400)], "doc_id long, text string")
+    texts = docs.select("doc_id", "text").union(odd)
+    got = {r["doc_id"]: r["score"] for r in quality.score(texts, m).collect()}
+    assert max(abs(got[r["doc_id"]] - plain_score(m, r["text"])) for r in texts.collect()) < 1e-4
 
 
 def test_models_take_odd_input(spark):
@@ -182,11 +244,28 @@ def test_pipeline_stages_against_plain_versions(spark, sf_dir):
     given, kept = ids[names[0]]
     assert len(bad & kept) <= 0.15 * len(bad) and len(given - kept) < 0.3 * len(given)
     given, kept = ids[names[2]]
-    comp = {r["doc_id"]: r["component_id"] for r in simhash.group(docs.where(F.col("doc_id").isin(list(given)))).collect()}
-    assert kept == {i for i in given if comp[i] == i}
+    assert kept == set(survivors([(r["doc_id"], r["text"]) for r in docs.where(F.col("doc_id").isin(list(given))).collect()]))
     given, kept = ids[names[3]]
     found = {r["_id"] for r in decontaminate.find(docs.where(F.col("doc_id").isin(list(given))), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     assert kept == given - found
     last = {tuple(r) for r in corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).collect()}
     assert last == {tuple(r) for r in mixing.mix(now).collect()}
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == last
+
+
+def test_pipeline_odd_input(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, columns that clash, and empty tables, through every stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(10**9 + i, t, "en", s, 0) for i, (t, s) in enumerate([(None, None), ("", "x"), (" \n", None), ("word " * 40_000, "x"), ("some short text of seven words", "x"), ("some short text of seven words", "x")])] + [(None, "a text without an id that is long enough", "en", "y", 0)] * 2
+    more = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars int").select("doc_id", "text", "lang", "source", F.col("n_chars").cast(docs.schema["n_chars"].dataType)))
+    clash = {c: F.lit(k) for k, c in enumerate(("score", "label", "_id", "_h", "h", "fp", "y", "hash", "pos", "component", "size"))}
+    more = more.withColumns(clash)
+    for given in (more, more.limit(0)):
+        now = given
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, sf_dir)
+            assert out.columns == given.columns
+            now = spark.createDataFrame(out.collect(), given.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).count() == now.count()
+        if given is more:
+            assert now.count() > 0 and now.where("text is null or trim(text) = ''").count() <= 1
