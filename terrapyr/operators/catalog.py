@@ -133,11 +133,24 @@ def parse_mask(text: Column) -> Column:
     return F.when(F.lower(text).startswith("0x"), F.conv(F.substr(text, F.lit(3)), 16, 10)).when(text.startswith("0") & (F.length(text) > 1), F.conv(text, 8, 10)).otherwise(text).cast("long")
 
 
-@query("P23_date_parse", "select o_orderkey, o_orderdate::timestamp as parsed, strftime(o_orderdate, '%Y/%-m/%-d %-H:%-M:%-S') as text from orders")
+@query("P23_date_parse", "select o_orderkey, o_orderdate::timestamp as parsed, year(o_orderdate) || '/' || (month(o_orderdate) - 1) || '/' || day(o_orderdate) || ' 0:0:' || (o_orderkey % 60) as text, (o_orderdate::timestamp + to_seconds(o_orderkey % 60)) as moment from orders")
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """y/m/d h:m:s, single digits allowed."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy/M/d H:m:s").alias("text"))
-    return o.select("o_orderkey", F.to_timestamp("text", "y/M/d H:m:s").alias("parsed"), "text")
+    """y/m/d h:m:s, where months count from zero and digits may be single."""
+    moment = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 60)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", date_text(moment).alias("text"))
+    return o.select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("parsed"), "text", parse_date(F.col("text")).alias("moment"))
+
+
+def date_text(moment: Column) -> Column:
+    """A moment as text."""
+    return F.concat_ws(" ", F.concat_ws("/", F.year(moment), F.month(moment) - 1, F.day(moment)), F.concat_ws(":", F.hour(moment), F.minute(moment), F.second(moment)))
+
+
+def parse_date(text: Column) -> Column:
+    """Text as a moment; parts beyond their range carry over (month 12 is next January), and a text without all six is null."""
+    part = [F.regexp_extract(text, r"^\s*(\d+)/(\d+)/(\d+)\s+(\d+):(\d+):(\d+)", k).try_cast("int") for k in range(1, 7)]
+    day = F.date_add(F.add_months(F.make_date(part[0], F.lit(1), F.lit(1)), part[1]), part[2] - 1)
+    return F.timestamp_seconds(F.unix_date(day).cast("long") * 86_400 + part[3] * 3600 + part[4] * 60 + part[5]).cast("timestamp_ntz")
 
 
 @query("P24_prefix_attribute", cte("feature") + "select feature_id, case when feature_id % 3 = 0 then null else cast(hgt as int) end as height, kind from feature")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +18,8 @@ O = BuildOptions()
 A, B = O.equator_radius, O.polar_radius
 #: Degrees between the posts of the query's grids.
 STEP = 0.005
+#: Posts along a side of a tile of the query's grids.
+SIDE = 9
 _LL = "select tx, ty, c, r, h, gy * 0.005::double as lat, gx * 0.005::double as lon from dem"
 _N = f"({A} / sqrt(1 - (1 - ({B}::double ** 2) / ({A}::double ** 2)) * sin(radians(lat)) ** 2))"
 _XYZ = f"({_N} + h) * cos(radians(lat)) * cos(radians(lon)) as x, ({_N} + h) * cos(radians(lat)) * sin(radians(lon)) as y, ({_N} * (({B}::double ** 2) / ({A}::double ** 2)) + h) * sin(radians(lat)) as z"
@@ -70,15 +71,15 @@ def skirt_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dem(spark, sf_dir).groupBy("tx", "ty").agg(F.round(F.sqrt(w * w + h * h) / 2 * O.skirt_ratio, 9).alias("skirt"), F.round(2 * F.lit(A) * F.sin(F.radians(w * STEP / 2)) * O.skirt_ratio, 3).alias("round_skirt"))
 
 
-@query("A15_culling_cone", D[:-1] + f", v as (select *, {_XYZ} from ({_LL})), m as (select tx, ty, avg(x) as ax, avg(y) as ay, avg(z) as az from v group by all), u as (select v.*, ax / sqrt(ax * ax + ay * ay + az * az) as cx, ay / sqrt(ax * ax + ay * ay + az * az) as cy, az / sqrt(ax * ax + ay * ay + az * az) as cz, sqrt(x * x + y * y + z * z) as len from v join m using (tx, ty)) select tx, ty, round(min((x * cx + y * cy + z * cz) / len), 9) as min_dot, max(h) as max_height, round(max(len), 3) as max_radius, bool_or((x * cx + y * cy + z * cz) / len < 0) as wraps from u group by all")
+@query("A15_culling_cone", D[:-1] + f", v as (select *, {_XYZ} from ({_LL})), m as (select tx, ty, avg(x) as ax, avg(y) as ay, avg(z) as az from v group by all), u as (select v.*, ax / sqrt(ax * ax + ay * ay + az * az) as cx, ay / sqrt(ax * ax + ay * ay + az * az) as cy, az / sqrt(ax * ax + ay * ay + az * az) as cz, sqrt(x * x + y * y + z * z) as len from v join m using (tx, ty)) select tx, ty, case when min((x * cx + y * cy + z * cz) / len) >= 0 then round(min((x * cx + y * cy + z * cz) / len), 9) end as min_dot, max(h) as max_height, round(max(len), 3) as max_radius, bool_or((x * cx + y * cy + z * cz) / len < 0) as wraps from u group by all")
 def culling_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cone of directions that a tile covers; useless if it wraps around."""
+    """The cone of directions that a tile covers; null if it wraps around."""
     v = _globe(dem(spark, sf_dir))
     m = v.groupBy("tx", "ty").agg(*[F.avg(a).alias("a" + a) for a in "xyz"])
     n = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") + F.col("az") * F.col("az"))
     u = v.join(m, ["tx", "ty"]).withColumn("len", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
     dot = (F.col("x") * F.col("ax") + F.col("y") * F.col("ay") + F.col("z") * F.col("az")) / n / F.col("len")
-    return u.withColumn("dot", dot).groupBy("tx", "ty").agg(F.round(F.min("dot"), 9).alias("min_dot"), F.max("h").alias("max_height"), F.round(F.max("len"), 3).alias("max_radius"), F.bool_or(F.col("dot") < 0).alias("wraps"))
+    return u.withColumn("dot", dot).groupBy("tx", "ty").agg(F.when(F.min("dot") >= 0, F.round(F.min("dot"), 9)).alias("min_dot"), F.max("h").alias("max_height"), F.round(F.max("len"), 3).alias("max_radius"), F.bool_or(F.col("dot") < 0).alias("wraps"))
 
 
 @query("G5_grid_triangles", D[:-1] + ", q as (select tx, ty, c, r, h as a, lead(h) over (partition by tx, ty, r order by c) as b, lead(h) over (partition by tx, ty, c order by r) as d from dem), s as (select *, lead(d) over (partition by tx, ty, r order by c) as e from q), t as (select tx, ty, c, r, abs(a - e) < abs(b - d) as up from s where b is not null and d is not null) select tx, ty, r * 9 + c as v0, case when up then r * 9 + c + 1 else r * 9 + c + 1 end as v1, case when up then (r + 1) * 9 + c + 1 else (r + 1) * 9 + c end as v2, 0 as half from t union all select tx, ty, case when up then r * 9 + c else r * 9 + c + 1 end, (r + 1) * 9 + c + 1, (r + 1) * 9 + c, 1 from t")
@@ -86,8 +87,8 @@ def grid_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cell is cut along the diagonal with the smaller difference in height."""
     across, along = W.partitionBy("tx", "ty", "r").orderBy("c"), W.partitionBy("tx", "ty", "c").orderBy("r")
     q = dem(spark, sf_dir).withColumns({"b": F.lead("h").over(across), "d": F.lead("h").over(along)}).withColumn("e", F.lead("d").over(across)).where("b is not null and d is not null")
-    i = F.col("r") * 9 + F.col("c")
-    a, b, d, e = i, i + 1, i + 9, i + 10
+    i = F.col("r") * SIDE + F.col("c")
+    a, b, d, e = i, i + 1, i + SIDE, i + SIDE + 1
     tri = lambda v0, v1, v2, half: F.struct(v0.alias("v0"), v1.alias("v1"), v2.alias("v2"), F.lit(half).alias("half"))
     cut = F.abs(F.col("h") - F.col("e")) < F.abs(F.col("b") - F.col("d"))
     return q.select("tx", "ty", F.explode(F.when(cut, F.array(tri(a, b, e, 0), tri(a, e, d, 1))).otherwise(F.array(tri(a, b, d, 0), tri(b, e, d, 1)))).alias("t")).select("tx", "ty", "t.*")
@@ -95,15 +96,16 @@ def grid_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("G6_grid_vertices", D + "select tx, ty, r * 9 + c as v, gx * 1.0::double as x, gy * 1.0::double as y, h as z, c / 8.0::double as s, r / 8.0::double as t from dem")
 def grid_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dem(spark, sf_dir).select("tx", "ty", (F.col("r") * 9 + F.col("c")).alias("v"), F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"), F.col("h").alias("z"), (F.col("c") / 8).alias("s"), (F.col("r") / 8).alias("t"))
+    return dem(spark, sf_dir).select("tx", "ty", (F.col("r") * SIDE + F.col("c")).alias("v"), F.col("gx").cast("double").alias("x"), F.col("gy").cast("double").alias("y"), F.col("h").alias("z"), (F.col("c") / (SIDE - 1)).alias("s"), (F.col("r") / (SIDE - 1)).alias("t"))
 
 
 @query("G7_skirt_ring", D + "select tx, ty, cast(case when r = 0 then c when c = 8 then 8 + r when r = 8 then 24 - c else 32 - r end as int) as ordinal, gx, gy, h - 2.5::double as z from dem where r in (0, 8) or c in (0, 8)")
 def skirt_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Border posts in order around the tile, dropped."""
     c, r = F.col("c"), F.col("r")
-    at = F.when(r == 0, c).when(c == 8, 8 + r).when(r == 8, 24 - c).otherwise(32 - r)
-    return dem(spark, sf_dir).where("r in (0, 8) or c in (0, 8)").select("tx", "ty", at.alias("ordinal"), "gx", "gy", (F.col("h") - 2.5).alias("z"))
+    e = SIDE - 1
+    at = F.when(r == 0, c).when(c == e, e + r).when(r == e, 3 * e - c).otherwise(4 * e - r)
+    return dem(spark, sf_dir).where(f"r in (0, {e}) or c in (0, {e})").select("tx", "ty", at.alias("ordinal"), "gx", "gy", (F.col("h") - 2.5).alias("z"))
 
 
 @query("G8_grid_decimation", D[:-1] + ", s as (select *, lag(h) over (partition by tx, ty, r order by c) as a, lead(h) over (partition by tx, ty, r order by c) as b from dem) select tx, ty, count(*) as posts, count(*) filter (where a is null or b is null or r in (0, 8) or abs(h - (a + b) / 2) > 3) as kept from s group by all")
@@ -201,26 +203,41 @@ def turns(ring: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: (at(i + 1)["x"] - at(i)["x"]) * (at(i + 2)["y"] - at(i + 1)["y"]) - (at(i + 1)["y"] - at(i)["y"]) * (at(i + 2)["x"] - at(i + 1)["x"]))
 
 
-@query("G13_extrude_buildings", FE + "select feature_id, i, case i % 4 when 0 then x0 when 1 then x0 + w when 2 then x0 + w else x0 end as x, case when i % 4 < 2 then y0 else y0 + h end as y, case when part = 'roof' or top then hgt else 0.0::double end as z, part from (select feature.*, 'roof' as part, false as top, t.i as i from feature, range(0, 4) t(i) where kind = 'Building' union all select feature.*, 'wall', t.j % 2 = 1, t.j // 2 from feature, range(0, 10) t(j) where kind = 'Building')")
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of four corners, and some of five with a dent."""
+    r = rings(spark, sf_dir)
+    dent = F.struct((F.col("ring")[3]["x"] + 0.5).alias("x"), (F.col("ring")[3]["y"] - 0.25).alias("y"), F.lit(0.0).alias("z"))
+    return r.withColumn("ring", F.when(F.col("feature_id") % 5 == 0, F.array_append("ring", dent)).otherwise(F.col("ring")))
+
+
+_SHAPES = FE[:-1] + ", vtx as (select feature_id, kind, hgt, 4 + (feature_id % 5 = 0)::int as n, i, case i when 0 then x0 when 1 then x0 + w when 2 then x0 + w when 3 then x0 else x0 + 0.5 end as x, case i when 0 then y0 when 1 then y0 when 2 then y0 + h when 3 then y0 + h else y0 + h - 0.25 end as y from feature, range(0, 5) t(i) where i < 4 + (feature_id % 5 = 0)::int)"
+
+
+def extrude(ring: Column, height: Column, merge: bool = False) -> Column:
+    """G13 for a ring of any size: the roof is the raised outline, walls are a closed strip of lower and upper vertices; merge keeps the outline below as a floor. An array of (part, i, x, y, z)."""
+    n = F.size(ring)
+    at = lambda part, i, k, up: F.struct(F.lit(part).alias("part"), i.cast("long").alias("i"), F.get(ring, k)["x"].alias("x"), F.get(ring, k)["y"].alias("y"), (F.get(ring, k)["z"] + up).alias("z"))
+    flat = lambda part, up: F.transform(F.sequence(F.lit(0), n - 1), lambda k: at(part, k, k, up))
+    wall = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda k: F.array(at("wall", k * 2, k % n, F.lit(0.0)), at("wall", k * 2 + 1, k % n, height))))
+    return F.concat(flat("roof", height), wall, *([flat("floor", F.lit(0.0))] if merge else []))
+
+
+@query("G13_extrude_buildings", _SHAPES + ", b as (select * from vtx where kind = 'Building') select feature_id, part, i, x, y, z from (select feature_id, 'roof' as part, i, x, y, hgt as z from b union all select feature_id, 'floor', i, x, y, 0.0::double from b union all select b.feature_id, 'wall', 2 * k + up, x, y, case when up = 1 then hgt else 0.0::double end from b, range(0, 6) s(k), (values (0), (1)) u(up) where k <= n and i = k % n)")
 def extrude_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The roof is the raised outline, walls are a closed strip of lower and upper vertices."""
-    r = rings(spark, sf_dir).where("kind = 'Building'")
-    v = lambda i, z, part: F.struct(i.cast("long").alias("i"), F.get("ring", i % 4)["x"].alias("x"), F.get("ring", i % 4)["y"].alias("y"), z.alias("z"), F.lit(part).alias("part"))
-    roof = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: v(i, F.col("hgt"), "roof"))
-    wall = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.array(v(i, F.lit(0.0), "wall"), v(i, F.col("hgt"), "wall"))))
-    return r.select("feature_id", F.explode(F.concat(roof, wall)).alias("v")).select("feature_id", "v.*")
+    r = shapes(spark, sf_dir).where("kind = 'Building'")
+    return r.select("feature_id", F.explode(extrude(F.col("ring"), F.col("hgt"), merge=True)).alias("v")).select("feature_id", "v.*")
 
 
-@query("G13_extrude_forest", FE + "select feature_id, i, top, case i when 0 then x0 when 1 then x0 + w when 2 then x0 + w else x0 end as x, case when i < 2 then y0 else y0 + h end as y, case when top then hgt else 0.0::double end as z from feature, range(0, 4) t(i), (values (false), (true)) b(top) where kind = 'Forest'")
+@query("G13_extrude_forest", _SHAPES + " select feature_id, i, top, x, y, case when top then hgt else 0.0::double end as z from vtx, (values (false), (true)) b(top) where kind = 'Forest'")
 def extrude_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vertex becomes an upright line."""
-    v = _vertices(spark, sf_dir).where("kind = 'Forest'").withColumn("top", F.explode(F.array(F.lit(False), F.lit(True))))
-    return v.select("feature_id", "i", "top", "x", "y", F.when(F.col("top"), F.col("hgt")).otherwise(0.0).alias("z"))
+    r = shapes(spark, sf_dir).where("kind = 'Forest'").select("feature_id", "hgt", F.posexplode("ring").alias("i", "v"))
+    return r.withColumn("top", F.explode(F.array(F.lit(False), F.lit(True)))).select("feature_id", F.col("i").cast("long").alias("i"), "top", "v.x", "v.y", F.when(F.col("top"), F.col("hgt")).otherwise(0.0).alias("z"))
 
 
 @query("G14_place_features", "with " + D[5:-1] + ", " + FE[5:-1] + f", {_POSTS}, {_DRAPED}, inside as (select * from draped where z is not null) select feature_id, kind, count(*) as vertices, round(min(z), 6) as ground, round(max(z) + coalesce(any_value(hgt), 10), 6) as top from inside where x between 4 and 36 and y between 0 and 12 group by 1, 2")
 def place_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap, attributes, drape and extrusion in one plan."""
+    """Overlap, attributes (a height of 10 where there is none), drape and the top of the extrusion in one plan."""
     v = _vertices(spark, sf_dir)
     z = drape(v, ["feature_id", "i"], dem(spark, sf_dir))
     j = v.join(z, ["feature_id", "i"]).where("z is not null and x between 4 and 36 and y between 0 and 12")
@@ -238,42 +255,51 @@ def reproject_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("G12_outline_edges", D[:-1] + ", tri as (select r * 9 + c as a, r * 9 + c + 1 as b, (r + 1) * 9 + c as d, tx, ty from dem where c < 8 and r < 8 union all select r * 9 + c + 1, (r + 1) * 9 + c + 1, (r + 1) * 9 + c, tx, ty from dem where c < 8 and r < 8), edge as (select tx, ty, least(a, b) u, greatest(a, b) v from tri union all select tx, ty, least(b, d), greatest(b, d) from tri union all select tx, ty, least(a, d), greatest(a, d) from tri) select tx, ty, u, v from edge group by all having count(*) = 1")
 def outline_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that bound one triangle only are the outline."""
-    i = F.col("r") * 9 + F.col("c")
-    cells_ = dem(spark, sf_dir).where("c < 8 and r < 8").select("tx", "ty", F.explode(F.array(F.array(i, i + 1, i + 9), F.array(i + 1, i + 10, i + 9))).alias("t"))
+    i = F.col("r") * SIDE + F.col("c")
+    cells_ = dem(spark, sf_dir).where(f"c < {SIDE - 1} and r < {SIDE - 1}").select("tx", "ty", F.explode(F.array(F.array(i, i + 1, i + SIDE), F.array(i + 1, i + SIDE + 1, i + SIDE))).alias("t"))
     pair = lambda a, b: F.struct(F.least(F.col("t")[a], F.col("t")[b]).alias("u"), F.greatest(F.col("t")[a], F.col("t")[b]).alias("v"))
     return cells_.select("tx", "ty", F.explode(F.array(pair(0, 1), pair(1, 2), pair(0, 2))).alias("e")).select("tx", "ty", "e.*").groupBy("tx", "ty", "u", "v").agg(F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def clip_ring(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
-    """The part of a polygon inside a box: it is cut at one side after the other."""
-    for axis, limit, keep_above in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
-        inside = lambda p: p[axis] >= limit if keep_above else p[axis] <= limit  # noqa: B023, E731
-        out = []
-        for p, q in zip(ring, ring[1:] + ring[:1]):
-            if inside(p):
-                out.append(p)
-            if inside(p) != inside(q):
-                t = (limit - p[axis]) / (q[axis] - p[axis])
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        ring = out
-    return ring
+def clip_ring(ring: Column, box: tuple) -> Column:
+    """The part of a ring inside a box, cut at one side after the other: a fold over the four sides."""
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    side = lambda along_x, limit, above: F.struct(F.lit(along_x).alias("along_x"), limit.cast("double").alias("limit"), F.lit(above).alias("above"))
+    sides = F.array(side(True, box[0], True), side(True, box[2], False), side(False, box[1], True), side(False, box[3], False))
+
+    def cut(r: Column, s: Column) -> Column:
+        on = lambda p: F.when(s["along_x"], p["x"]).otherwise(p["y"])
+        inside = lambda p: F.when(s["above"], on(p) >= s["limit"]).otherwise(on(p) <= s["limit"])
 
+        def edge(i: Column) -> Column:
+            p, q = F.get(r, i), F.get(r, (i + 1) % F.size(r))
+            t = (s["limit"] - on(p)) / F.nullif(on(q) - on(p), F.lit(0.0))
+            cross = F.struct(*[(p[a] + t * (q[a] - p[a])).alias(a) for a in "xy"])
+            return F.concat(F.when(inside(p), F.array(p)).otherwise(none), F.when(inside(p) != inside(q), F.array(cross)).otherwise(none))
 
-@query("G10_clip_polygons", FE + "select feature_id, tx, ty, round((least(x0 + w, tx * 8 + 8) - greatest(x0, tx * 8)) * (least(y0 + h, ty * 8 + 8) - greatest(y0, ty * 8)), 9) as area from feature, range(0, 5) a(tx), range(0, 3) b(ty) where greatest(x0, tx * 8) < least(x0 + w, tx * 8 + 8) and greatest(y0, ty * 8) < least(y0 + h, ty * 8 + 8)")
+        return F.when(F.size(r) == 0, r).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(r) - 1), edge)))
+
+    return F.aggregate(sides, ring.cast("array<struct<x:double,y:double>>"), cut)
+
+
+def ring_area(ring: Column) -> Column:
+    """The signed area of a ring."""
+    cross = F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: F.get(ring, i)["x"] * F.get(ring, (i + 1) % F.size(ring))["y"] - F.get(ring, (i + 1) % F.size(ring))["x"] * F.get(ring, i)["y"])
+    return F.when(F.size(ring) > 2, F.aggregate(cross, F.lit(0.0), lambda s, v: s + v) / 2).otherwise(0.0)
+
+
+def clip(features: DataFrame, size: float, last_x: int, last_y: int) -> DataFrame:
+    """Features (with `ring`) cut to the tiles of a grid that they touch: (.., tx, ty, ring). Tiles come from index ranges of the ring's bounds."""
+    at = lambda a: F.transform("ring", lambda p: p[a])
+    span = lambda a, last: F.sequence(F.greatest(F.floor(F.array_min(at(a)) / size), F.lit(0)), F.least(F.floor(F.array_max(at(a)) / size), F.lit(last)))
+    t = features.withColumn("ring", F.transform("ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    t = t.withColumn("tx", F.explode(span("x", last_x))).withColumn("ty", F.explode(span("y", last_y)))
+    box = (F.col("tx") * size, F.col("ty") * size, F.col("tx") * size + size, F.col("ty") * size + size)
+    t = t.withColumn("ring", clip_ring(F.col("ring"), box))
+    return t.where(F.abs(ring_area(F.col("ring"))) > 0)
+
+
+@query("G10_clip_polygons", FE + "select feature_id, tx, ty, round((least(x0 + w, tx * 8 + 8) - greatest(x0, tx * 8)) * (least(y0 + h, ty * 8 + 8) - greatest(y0, ty * 8)), 9) as area, greatest(x0, tx * 8)::double as x_min, least(y0 + h, ty * 8 + 8)::double as y_max from feature, range(0, 5) a(tx), range(0, 3) b(ty) where greatest(x0, tx * 8) < least(x0 + w, tx * 8 + 8) and greatest(y0, ty * 8) < least(y0 + h, ty * 8 + 8)")
 def clip_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features cut to the tiles that they touch. Tiles come from index ranges; the cut is a small kernel on batches."""
-    f = fixture(spark, sf_dir, "feature")
-    last = lambda v, n: F.least(F.floor(v / 8), F.lit(n))
-    t = f.select("feature_id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1")).withColumn("tx", F.explode(F.sequence(F.floor(F.col("x0") / 8), last(F.col("x1"), 4)))).withColumn("ty", F.explode(F.sequence(F.floor(F.col("y0") / 8), last(F.col("y1"), 2))))
-
-    def cut(batches):
-        for pdf in batches:
-            rows = []
-            for k, x0, y0, x1, y1, tx, ty in pdf.itertuples(index=False):
-                ring = clip_ring([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], (tx * 8, ty * 8, tx * 8 + 8, ty * 8 + 8))
-                area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])) / 2
-                if area > 0:
-                    rows.append((k, tx, ty, round(area, 9)))
-            yield pd.DataFrame(rows, columns=["feature_id", "tx", "ty", "area"])
-
-    return t.mapInPandas(cut, "feature_id long, tx long, ty long, area double")
+    c = clip(rings(spark, sf_dir).select("feature_id", "ring"), 8.0, 4, 2)
+    return c.select("feature_id", "tx", "ty", F.round(ring_area(F.col("ring")), 9).alias("area"), F.array_min(F.transform("ring", lambda p: p["x"])).alias("x_min"), F.array_max(F.transform("ring", lambda p: p["y"])).alias("y_max"))

@@ -36,6 +36,25 @@ def best_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_variant(_requests(v), v, 0)
 
 
+def best_in_crs(variants: DataFrame, crs: str, local: int) -> DataFrame:
+    """J7 by CRS: of the variants of each original in a CRS the finest, then the local host's, then the first id; null where an original has variants but none in it."""
+    rank = F.when(F.col("crs") == crs, F.struct("ratio", F.col("host") != local, "variant_id"))
+    return variants.groupBy("original").agg(F.min_by("variant_id", rank).alias("variant_id"))
+
+
+@query("J7_best_in_crs", V + "select o.original, variant_id from (select distinct original from variant) o left join (select original, variant_id from variant where crs = 'EPSG:4326' qualify row_number() over (partition by original order by ratio, host <> 1, variant_id) = 1) b on o.original = b.original")
+def best_variants_in_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_in_crs(fixture(spark, sf_dir, "variant"), "EPSG:4326", 1)
+
+
+def compatible(a: tuple, b: tuple, a_crs: Column, b_crs: Column, near: float = 1e-6) -> Column:
+    """Equal CRS and extents that differ by less than a millionth."""
+    same = a_crs.eqNullSafe(b_crs)
+    for x, y in zip(a, b):
+        same = same & (F.abs(F.col(x) - F.col(y)) < near)
+    return same
+
+
 @query("S10_optimum_variant_scan", V[:-1] + f", b as ({_RANKED.format(w='')}) select source_id, coalesce('v' || b.variant_id || '.tif', file_name) as file from (select p_partkey as source_id, 'src_' || (p_partkey % 1500) || '.tif' as file_name from part) s left join b on s.source_id = b.original")
 def optimum_variant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read instead of a source; the source itself where nothing is cached."""
@@ -68,13 +87,13 @@ def latest_modification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("source")).agg(F.max("o_orderdate").alias("modified"))
 
 
-@query("J16_out_of_date_tasks", T[:-1] + ", m as (select user_id as source, max(ts) as modified from events where event_type = 'signup' group by 1), t as (select event_id as task_id, user_id as source, ts as built from events where event_type = 'purchase') select task_id, t.source, modified > built as pending from t join m using (source)")
+@query("J16_out_of_date_tasks", T[:-1] + ", m as (select user_id as source, max(ts) as modified from events where event_type = 'signup' group by 1), t as (select event_id as task_id, user_id as source, ts as built from events where event_type = 'purchase') select task_id, t.source, coalesce(modified > built, false) as pending from t left join m using (source)")
 def out_of_date_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task is to run again if a source of its changed after it ran."""
     e = table(spark, sf_dir, "events")
     m = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("source")).agg(F.max("ts").alias("modified"))
     t = e.where("event_type = 'purchase'").select(F.col("event_id").alias("task_id"), F.col("user_id").alias("source"), F.col("ts").alias("built"))
-    return t.join(m, "source").select("task_id", "source", (F.col("modified") > F.col("built")).alias("pending"))
+    return t.join(m, "source", "left").select("task_id", "source", F.coalesce(F.col("modified") > F.col("built"), F.lit(False)).alias("pending"))
 
 
 # --- tasks -----------------------------------------------------------------------------------
@@ -134,11 +153,35 @@ def task_barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("task_set", "open", before.alias("open_before"), (F.coalesce(before, F.lit(0)) == 0).alias("may_start"))
 
 
-@query("C3_failure_policy", T + "select host, count(*) filter (where status = 'failed') as failures, count(*) filter (where status = 'failed') * 5 > count(*) as blacklisted, count(*) filter (where status = 'failed') as resubmitted from task group by 1")
+#: What a pool does when a task fails.
+POLICIES = ("IGNORE", "BLACKLIST_MACHINE_AND_RESUBMIT_TASK", "COMPLETE_RUNNING_TASKS_THEN_EXIT", "TERMINATE_RUNNING_TASKS_THEN_EXIT")
+
+
+def after_failures(tasks: DataFrame) -> DataFrame:
+    """For every policy and host, what follows from the failures there are: whether the host still takes tasks, which failed ones go again, and which pending and running ones are dropped. Both ways to exit end the whole pool once any host has a failure."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    hosts = tasks.groupBy("host").agg(n("failed").alias("failures"), n("pending").alias("waiting"), n("running").alias("busy"))
+    pool = tasks.agg((n("failed") > 0).alias("any"))
+    each = hosts.join(F.broadcast(pool)).withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES))))  # one row: no product
+    p, some = F.col("policy"), F.col("failures") > 0
+    ends = p.endswith("THEN_EXIT") & F.col("any")
+    return each.select(
+        "policy", "host", "failures",
+        (~ends & ~((p == POLICIES[1]) & some)).alias("active"),
+        F.when(p == POLICIES[1], F.col("failures")).otherwise(0).alias("resubmitted"),
+        F.when(ends, F.col("waiting")).otherwise(0).alias("removed"),
+        F.when(ends & p.startswith("TERMINATE"), F.col("busy")).otherwise(0).alias("terminated"),
+    )
+
+
+@query("C3_failure_policy", T[:-1] + ", h as (select host, count(*) filter (where status = 'failed') as f, count(*) filter (where status = 'pending') as w, count(*) filter (where status = 'running') as b, (select bool_or(status = 'failed') from task) as any_ from task group by 1) select policy, host, f as failures, case policy when 'IGNORE' then true when 'BLACKLIST_MACHINE_AND_RESUBMIT_TASK' then f = 0 else not any_ end as active, case when policy = 'BLACKLIST_MACHINE_AND_RESUBMIT_TASK' then f else 0 end as resubmitted, case when policy in ('COMPLETE_RUNNING_TASKS_THEN_EXIT', 'TERMINATE_RUNNING_TASKS_THEN_EXIT') and any_ then w else 0 end as removed, case when policy = 'TERMINATE_RUNNING_TASKS_THEN_EXIT' and any_ then b else 0 end as terminated from h, (values ('IGNORE'), ('BLACKLIST_MACHINE_AND_RESUBMIT_TASK'), ('COMPLETE_RUNNING_TASKS_THEN_EXIT'), ('TERMINATE_RUNNING_TASKS_THEN_EXIT')) p(policy)")
 def failure_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts that fail too often are left out and their tasks go again."""
-    failed = F.count_if(F.col("status") == "failed")
-    return fixture(spark, sf_dir, "task").groupBy("host").agg(failed.alias("failures"), (failed * 5 > F.count("*")).alias("blacklisted"), failed.alias("resubmitted"))
+    return after_failures(fixture(spark, sf_dir, "task"))
+
+
+def stop_run(spark: SparkSession, group: str) -> None:
+    """C4: what a signal does to a build: all jobs of its group are cancelled, the rest of the session goes on."""
+    spark.sparkContext.cancelJobGroup(group)
 
 
 @query("C6_operation_log", T + "select task_id, host, start_time, round(epoch(start_time - lag(start_time) over (partition by host order by start_time, task_id)), 3) as waited from task where status = 'completed'")

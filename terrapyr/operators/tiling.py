@@ -359,20 +359,22 @@ def tile_map_at_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tile_map(fixture(spark, sf_dir, "source"), 3)
 
 
-def split_levels(deepest: Column) -> tuple[Column, Column]:
-    """Where to split a build into tasks once or twice."""
-    primary = F.when(deepest < 10, F.floor(deepest / 2)).otherwise(F.floor(deepest / 3)).cast("int")
-    secondary = F.when(deepest < 10, 0).otherwise(F.floor(2 * deepest / 3)).cast("int")
-    primary = F.when(primary >= deepest, 0).otherwise(primary)
-    secondary = F.when((secondary >= deepest) | (secondary <= primary), 0).otherwise(secondary)
-    return primary, secondary
-
-
-@query("P33_split_levels", "select m as max_level, p as primary_split, case when s >= m or s <= p then 0 else s end as secondary_split from (select m, case when p >= m then 0 else p end p, s from (select cast(m as int) m, cast(case when m < 10 then m // 2 else m // 3 end as int) p, cast(case when m < 10 then 0 else 2 * m // 3 end as int) s from range(0, 31) r(m)))")
+def split_levels(deepest: Column, primary: Column | int = 0, secondary: Column | int = 0) -> tuple[Column, Column]:
+    """Where to split a build into tasks once or twice. Levels that are given (not 0) stay as far as they can be used; a missing one follows from the other or from the deepest level."""
+    p, s = (F.lit(x) if isinstance(x, int) else x for x in (primary, secondary))
+    deep = deepest >= 10
+    first = F.when(p != 0, p).when(s != 0, F.floor(s / 2)).when(deep, F.floor(deepest / 3)).otherwise(F.floor(deepest / 2))
+    second = F.when(s != 0, s).when(~deep, 0).when(p != 0, p + F.floor((deepest - p) / 2)).otherwise(F.floor(2 * deepest / 3))
+    first = F.when(first >= deepest, 0).otherwise(first).cast("int")
+    second = F.when((second >= deepest) | (second <= first), 0).otherwise(second).cast("int")
+    return first, second
+
+
+@query("P33_split_levels", "select m as max_level, gp as given_primary, gs as given_secondary, p as primary_split, case when s >= m or (s <> 0 and s <= p) then 0 else s end as secondary_split from (select m, gp, gs, case when p >= m then 0 else p end as p, s from (select m, gp, gs, case when gp <> 0 then gp when gs <> 0 then gs // 2 when m < 10 then m // 2 else m // 3 end as p, case when gp = 0 and gs = 0 then case when m < 10 then 0 else (2 * m) // 3 end when gp <> 0 and gs = 0 and m >= 10 then gp + (m - gp) // 2 else gs end as s from (select cast(m as int) as m, gp, gs from range(0, 31) r(m), (values (0), (2), (5)) a(gp), (values (0), (3), (9)) b(gs))))")
 def split_level_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.range(31).select(F.col("id").cast("int").alias("max_level"))
-    p, s = split_levels(F.col("max_level"))
-    return m.select("max_level", p.alias("primary_split"), s.alias("secondary_split"))
+    m = spark.range(31).select(F.col("id").cast("int").alias("max_level"), F.explode(F.array(*map(F.lit, (0, 2, 5)))).alias("given_primary")).withColumn("given_secondary", F.explode(F.array(*map(F.lit, (0, 3, 9)))))
+    p, s = split_levels(F.col("max_level"), F.col("given_primary"), F.col("given_secondary"))
+    return m.select("max_level", "given_primary", "given_secondary", p.alias("primary_split"), s.alias("secondary_split"))
 
 
 @query("F7_subtile_crop", SRC + TILES + " select level, tile_x, tile_y from tiles where case when level < 4 then tile_x = 5 >> (4 - level) and tile_y = 3 >> (4 - level) else tile_x >> (level - 4) = 5 and tile_y >> (level - 4) = 3 end")
@@ -402,8 +404,10 @@ def build_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(sources: DataFrame, primary: int, secondary: int) -> DataFrame:
-    """One task for the root, one for each tile above the splits; bottom tasks nest under their intermediate tile."""
+    """One task for the root, one for each tile above the splits; bottom tasks nest under their intermediate tile. Without a primary split the root's task is the whole build."""
     spark = sources.sparkSession
+    if not primary:
+        return spark.sql("select 'all' as kind, 0 as level, 0 as tile_x, 0 as tile_y, 'world_root_L0_X0_Y0' as task_file")
     out = spark.sql("select 'root' as kind, 0 as level, 0 as tile_x, 0 as tile_y, 'world_root_L0_X0_Y0' as task_file")
     first = tile_map(sources, primary - 1)
     own = lambda l: F.format_string(f"world_subtile_L{l}_X%d_Y%d", "tile_x", "tile_y")

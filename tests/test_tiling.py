@@ -1,5 +1,7 @@
 """Anchors, hand-made cases and invariants of the pyramid."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,6 +11,7 @@ from terrapyr.fixtures import dem, fixture
 from terrapyr.functions import extents as E
 from terrapyr.operators import catalog, mesh, raster, tiling
 from terrapyr.options import BuildOptions
+from terrapyr.sources import sinks
 
 SF = "/root/testdata/sf0.01"
 COLUMNS = "source_id long, source_type string, x_min double, y_min double, x_max double, y_max double, num_x int, num_y int, min_level int, max_level int"
@@ -142,9 +145,65 @@ def test_fold_draws_in_order(spark):
     assert tuple(raster.blend(s, ["p"], ["o"], "v", "a").first()) == (1, 15.0, 1.0)
 
 
-def test_clip_of_a_box_that_holds_the_tile():
-    ring = mesh.clip_ring([(-5.0, -5.0), (9.0, -5.0), (9.0, 9.0), (-5.0, 9.0)], (0.0, 0.0, 4.0, 4.0))
-    assert sorted(set(ring)) == [(0.0, 0.0), (0.0, 4.0), (4.0, 0.0), (4.0, 4.0)]
+def plain_clip(ring, box):
+    """The part of a polygon inside a box, cut at one side after the other."""
+    for axis, limit, above in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
+        inside = lambda p: p[axis] >= limit if above else p[axis] <= limit  # noqa: B023, E731
+        out = []
+        for p, q in zip(ring, ring[1:] + ring[:1]):
+            if inside(p):
+                out.append(p)
+            if inside(p) != inside(q):
+                t = (limit - p[axis]) / (q[axis] - p[axis])
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        ring = out
+    return ring
+
+
+def test_clip_of_any_ring(spark):
+    r = random.Random(3)
+    rows = [(i, [(r.uniform(0, 20), r.uniform(0, 20)) for _ in range(r.randrange(3, 9))]) for i in range(40)] + [(99, [(-5.0, -5.0), (30.0, -5.0), (30.0, 30.0), (-5.0, 30.0)])]
+    df = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in ring]) for i, ring in rows], "id int, ring array<struct<x:double,y:double>>")
+    got = {(x["id"], x["tx"], x["ty"]): [(p["x"], p["y"]) for p in x["ring"]] for x in mesh.clip(df, 8.0, 2, 2).collect()}
+    area = lambda c: abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(c, c[1:] + c[:1]))) / 2
+    for i, ring in rows:
+        for tx in range(3):
+            for ty in range(3):
+                want = plain_clip(ring, (tx * 8.0, ty * 8.0, tx * 8.0 + 8, ty * 8.0 + 8))
+                if area(want) > 1e-9:
+                    assert [v for p in got[i, tx, ty] for v in p] == pytest.approx([v for p in want for v in p])
+
+
+def test_extrusion_of_any_ring(spark):
+    df = spark.createDataFrame([([{"x": float(k), "y": float(k * k), "z": 1.0} for k in range(6)],)], "ring array<struct<x:double,y:double,z:double>>")
+    got = [tuple(v) for v in df.select(mesh.extrude(F.col("ring"), F.lit(4.0), True)).first()[0]]
+    assert [v for v in got if v[0] == "roof"] == [("roof", k, k, k * k, 5.0) for k in range(6)]
+    assert [v for v in got if v[0] == "floor"] == [("floor", k, k, k * k, 1.0) for k in range(6)]
+    assert [v for v in got if v[0] == "wall"] == [("wall", 2 * k + up, k % 6, (k % 6) ** 2, 1.0 + 4 * up) for k in range(7) for up in (0, 1)]
+
+
+def test_dates_carry_over(spark):
+    ask = lambda t: str(spark.range(1).select(catalog.parse_date(F.lit(t))).first()[0])
+    assert ask("2020/0/1 0:0:0") == "2020-01-01 00:00:00"
+    assert ask("2020/12/32 25:61:5") == "2021-02-02 02:01:05"
+    assert ask("2020/1/1") == "None"
+
+
+def test_places_within_groups(spark):
+    rows = [(r % 3, (r * 7) % 50, r) for r in range(400)] + [(None, 1, 999)]
+    df = spark.createDataFrame(rows, "g int, v int, id int")
+    got = {x["id"]: x["position"] for x in catalog.positions(df, [F.desc("v"), F.col("id")], ["g"]).collect()}
+    for g in (0, 1, 2, None):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2]))
+        assert [got[x[2]] for x in own] == list(range(1, len(own) + 1))
+
+
+def test_attributes_and_paths_of_any_length(spark):
+    long = "v" * 5000
+    ask = lambda c: spark.range(1).select(c).first()[0]
+    assert ask(catalog.attribute(F.array(F.lit("HGTX 1"), F.lit("HGT " + long)), "HGT")) == long
+    assert ask(sinks.simple_path(F.lit("/o/a/b/c/../../../t.dds"))) == "/o/t.dds"
+    assert ask(sinks.simple_path(F.lit("../a/./b//../c"))) == "../a/c"
 
 
 def test_options_store_only_what_differs():
