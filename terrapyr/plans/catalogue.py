@@ -10,3 +10,4 @@ from ..operators import ops  # noqa: F401
 from ..sources import sinks  # noqa: F401
 from ..streaming import incremental  # noqa: F401
 from . import builds  # noqa: F401
+from . import commandline  # noqa: F401

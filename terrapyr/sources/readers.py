@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import cte, fixture, table
 from ..operators.catalog import positions
+from ..options import BuildOptions
 from ..registry import query
 
 
@@ -178,63 +181,134 @@ def blocks(text: Column, name: str) -> Column:
 
 
 def field(body: Column, name: str) -> Column:
-    """A field of a block: the rest of its line."""
-    return F.nullif(F.trim(F.regexp_extract(body, rf"(?:^|\n)\s*{name}[ \t]+([^\n]*)", 1)), F.lit(""))
+    """A field of a block: the rest of its line, without quotes around it; null if it is not there or empty."""
+    rest = F.trim(F.regexp_extract(body, rf"(?:^|\n)\s*{name}[ \t]+([^\n]*)", 1))
+    return F.nullif(F.regexp_replace(rest, r'^"(.*)"$', "$1"), F.lit(""))
 
 
-_CACHE = "cache as (select original, 'FileDetails {' || chr(10) || '  hostname h' || host || chr(10) || '  original f' || original || '.tif' || chr(10) || '  file v' || variant_id || '.tif' || chr(10) || '  size 64 32 ' || (1 + host) || chr(10) || '}' as body from variant where variant_id < 200)"
+def numbers(body: Column, name: str, kind: str, names: tuple) -> list[Column]:
+    """The numbers of a field, each under a name."""
+    part = F.split(field(body, name), r"\s+")
+    return [F.get(part, F.lit(i)).try_cast(kind).alias(n) for i, n in enumerate(names)]
 
 
-@query("S14_cache_file", cte("variant")[:-1] + f", {_CACHE} select 'h' || host as hostname, 'f' || original || '.tif' as original_file, 'v' || variant_id || '.tif' as file, 64 as size_x, 32 as size_y, cast(1 + host as int) as size_z from variant where variant_id < 200")
-def cache_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of a whole cache per original, read back as rows."""
-    v = fixture(spark, sf_dir, "variant").where("variant_id < 200")
-    body = F.concat(F.lit("FileDetails {\n  hostname h"), "host", F.lit("\n  original f"), "original", F.lit(".tif\n  file v"), "variant_id", F.lit(".tif\n  size 64 32 "), F.col("host") + 1, F.lit("\n}"))
-    return read_cache(v.select("original", body.alias("b")).groupBy("original").agg(F.concat_ws("\n", F.collect_list("b")).alias("body")), "body")
+#: Names of what a cache knows about a file.
+EXTENTS, AFFINE, SIZE = ("x_min", "y_min", "x_max", "y_max"), ("m00", "m01", "m10", "m11", "m30", "m31"), ("size_x", "size_y", "size_z")
 
 
 def read_cache(texts: DataFrame, column: str) -> DataFrame:
-    """S14."""
+    """A row for each details block."""
     b = texts.select(F.explode(blocks(F.col(column), "FileDetails")).alias("b"))
-    size = F.split(field(F.col("b"), "size"), r"\s+")
-    return b.select(field(F.col("b"), "hostname").alias("hostname"), field(F.col("b"), "original").alias("original_file"), field(F.col("b"), "file").alias("file"), *[size[i].cast("int").alias(n) for i, n in enumerate(("size_x", "size_y", "size_z"))])
+    own = F.col("b")
+    return b.select(field(own, "build").alias("build"), field(own, "hostname").alias("hostname"), field(own, "original").alias("original_file"), field(own, "file").alias("file"), field(own, "cs").alias("crs"), *numbers(own, "extents", "double", EXTENTS), *numbers(own, "geoTransform", "double", AFFINE), *numbers(own, "size", "int", SIZE))
 
 
-@query("S15_task_file", "select set_id as task_set, 'build --task t' || set_id || '_' || n as command, n as position from range(0, 6) a(set_id), range(0, 4) b(n) where n <= set_id")
-def task_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task sets in file order; a set is a barrier."""
-    lines = F.transform(F.sequence(F.lit(0), F.least("id", F.lit(3))), lambda n: F.concat(F.lit("  exec { build --task t"), F.col("id"), F.lit("_"), n, F.lit(" }")))
-    text = spark.range(6).select("id", F.concat(F.lit("Tasks {\n"), F.array_join(lines, "\n"), F.lit("\n}\n")).alias("body"))
-    return read_tasks(text, "id", "body")
+def quoted(value: Column) -> Column:
+    """A text as a field's value, in quotes if it is empty or has blanks."""
+    return F.when(value.rlike(r"^\S+$"), value).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
+
+
+def cache_block(build, hostname, original, file, crs, extents: list, affine: list, size: list) -> Column:
+    """K6: the block of a file's details; what is null is left out."""
+    row = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"  {name} "), value, F.lit("\n"))).otherwise("")
+    some = lambda values: F.when(values[0].isNotNull(), F.concat_ws(" ", *[v.cast("string") for v in values]))
+    return F.concat(F.lit("FileDetails {\n"), row("build", quoted(build)), row("hostname", quoted(hostname)), row("original", quoted(original)), row("file", quoted(file)), row("cs", quoted(crs)), row("extents", some(extents)), row("geoTransform", some(affine)), row("size", some(size)), F.lit("}"))
+
+
+@query("S14_cache_file", cte("variant") + "select 'build ' || host as build, 'h' || host as hostname, 'f' || original || '.tif' as original_file, 'v' || variant_id || '.tif' as file, crs, original * 0.5::double as x_min, -1.5::double as y_min, original * 0.5::double + ratio as x_max, 2.25::double as y_max, ratio as m00, 0.0::double as m01, 0.0::double as m10, -ratio as m11, original * 0.5::double as m30, 2.25::double as m31, 64 as size_x, 32 as size_y, cast(1 + host as int) as size_z from variant")
+def cache_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of caches, some files each, written and read back as rows."""
+    v = fixture(spark, sf_dir, "variant")
+    x0, lit = F.col("original") * 0.5, lambda x: F.lit(float(x))
+    body = cache_block(F.concat(F.lit("build "), "host"), F.concat(F.lit("h"), "host"), F.concat(F.lit("f"), "original", F.lit(".tif")), F.concat(F.lit("v"), "variant_id", F.lit(".tif")), F.col("crs"), [x0, lit(-1.5), x0 + F.col("ratio"), lit(2.25)], [F.col("ratio"), lit(0), lit(0), -F.col("ratio"), x0, lit(2.25)], [F.lit(64), F.lit(32), F.col("host") + 1])
+    files = v.select(F.floor(F.col("variant_id") / 32).alias("cache"), body.alias("b")).groupBy("cache").agg(F.concat_ws("\n", F.collect_list("b")).alias("body"))
+    return read_cache(files, "body")
+
+
+def included(texts: DataFrame, name: str, column: str, depth: int = 8) -> DataFrame:
+    """Texts with their `file other` lines replaced by the texts of that name, to some depth; a name that is not there, or lies deeper, leaves nothing."""
+    files = texts.select(F.col(name).alias("__name"), F.col(column).alias("__body"))
+    lines = texts.select(*[F.col(c) for c in texts.columns if c != column], F.posexplode(F.split(column, "\n")).alias("__at", "__line")).withColumn("__at", F.array("__at"))
+    pattern = r"^\s*file[ \t]+\"?([^\s\"]+)\"?\s*$"
+    for _ in range(depth):
+        lines = lines.withColumn("__want", F.nullif(F.regexp_extract("__line", pattern, 1), F.lit("")))
+        j = lines.join(files, F.col("__want") == F.col("__name"), "left").drop("__name")
+        inner = F.when(F.col("__want").isNull(), F.array("__line")).when(F.col("__body").isNull(), F.array(F.lit(""))).otherwise(F.split("__body", "\n"))
+        lines = j.select("*", F.posexplode(inner).alias("__k", "__new")).select(*[c for c in texts.columns if c != column], F.array_append("__at", F.col("__k")).alias("__at"), F.col("__new").alias("__line"))
+    lines = lines.where(~F.col("__line").rlike(pattern))
+    return lines.groupBy(*[c for c in texts.columns if c != column]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__line"))), lambda x: x["__line"]), "\n").alias(column))
 
 
 def read_tasks(texts: DataFrame, set_column: str, column: str) -> DataFrame:
-    """S15."""
-    found = texts.select(F.col(set_column).alias("task_set"), F.posexplode(blocks(F.col(column), "exec")).alias("position", "command"))
-    return found.select("task_set", F.trim("command").alias("command"), F.col("position").cast("long").alias("position"))
+    """Tasks in the order of their text: commands, and names of files that hold a task."""
+    item = F.regexp_extract_all(F.col(column), F.lit(r"(exec\s*\{[^{}]*\}|taskfile[ \t]+\S+)"), F.lit(1))
+    found = texts.select(F.col(set_column).alias("task_set"), F.posexplode(item).alias("position", "item"))
+    named = F.col("item").startswith("taskfile")
+    return found.select("task_set", F.col("position").cast("long").alias("position"), F.when(named, "taskfile").otherwise("exec").alias("kind"), F.trim(F.when(named, F.regexp_replace("item", r"^taskfile\s+", "")).otherwise(F.regexp_extract("item", r"\{([^{}]*)\}", 1))).alias("command"))
 
 
-@query("S16_machine_file", "select n_name as hostname, '/cache/' || n_regionkey as cache, cast(1 + n_nationkey % 4 as int) as processes from nation")
-def machine_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fixture(spark, sf_dir, "machine")
-    text = m.select(F.concat(F.lit("Machine {\n  hostname "), "hostname", F.lit("\n  cache "), "cache", F.lit("\n  processes "), "processes", F.lit("\n}")).alias("body"))
-    return read_machines(text, "body")
+def tasks_text(tasks: DataFrame) -> DataFrame:
+    """K7: (task_set, body) of tasks (task_set, position, kind, command): a block for each set, which is a barrier and so bounded by what runs at once."""
+    line = F.when(F.col("kind") == "taskfile", F.concat(F.lit("  taskfile "), "command")).otherwise(F.concat(F.lit("  exec { "), "command", F.lit(" }")))
+    g = tasks.groupBy("task_set").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
+    return g.select("task_set", F.concat(F.lit("Tasks {\n"), F.array_join(F.transform("lines", lambda l: l["line"]), "\n"), F.lit("\n}\n")).alias("body"))
+
+
+@query("S15_task_file", cte("task") + "select task_id // 16 as task_set, task_id % 16 as position, case when task_type = 'read' then 'taskfile' else 'exec' end as kind, case when task_type = 'read' then 'tasks/t' || task_id || '.task' else 'build --task t' || task_id end as command from task")
+def task_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task sets written in file order and read back; each text takes its set from a file of its own."""
+    t, k = fixture(spark, sf_dir, "task"), F.col("task_id")
+    named = F.col("task_type") == "read"
+    rows = t.select(F.floor(k / 16).alias("task_set"), (k % 16).alias("position"), F.when(named, "taskfile").otherwise("exec").alias("kind"), F.when(named, F.concat(F.lit("tasks/t"), k, F.lit(".task"))).otherwise(F.concat(F.lit("build --task t"), k)).alias("command"))
+    texts = tasks_text(rows).withColumn("name", F.format_string("set_%d.tasks", "task_set"))
+    masters = texts.select("task_set", F.format_string("master_%d.tasks", "task_set").alias("name"), F.concat(F.lit("file "), "name", F.lit("\n")).alias("body"))
+    whole = included(texts.select("task_set", "name", "body").union(masters), "name", "body", depth=1)
+    return read_tasks(whole.where("name like 'master%'"), "task_set", "body")
 
 
 def read_machines(texts: DataFrame, column: str) -> DataFrame:
-    """S16."""
+    """A number of threads means the same as one of processes."""
     b = texts.select(F.explode(blocks(F.col(column), "Machine")).alias("b"))
-    return b.select(field(F.col("b"), "hostname").alias("hostname"), field(F.col("b"), "cache").alias("cache"), field(F.col("b"), "processes").cast("int").alias("processes"))
+    own = F.col("b")
+    return b.select(*[field(own, n).alias(n) for n in ("hostname", "cache", "prefix", "postfix")], F.coalesce(field(own, "processes"), field(own, "threads")).cast("int").alias("processes"))
 
 
-@query("S13_build_definition", "select n_nationkey as id, 256 + 64 * (n_nationkey % 3) as image_tile, 'world' || n_regionkey as name, n_nationkey % 2 = 0 as ascii_new from nation")
-def build_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions in either of two text forms, told apart by their first line."""
+def machine_block(hostname, cache, prefix, postfix, processes) -> Column:
+    """K7: the block of a machine; what is null is left out."""
+    row = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"  {name} "), value, F.lit("\n"))).otherwise("")
+    return F.concat(F.lit("Machine {\n"), row("hostname", quoted(hostname)), row("cache", quoted(cache)), row("prefix", quoted(prefix)), row("postfix", quoted(postfix)), row("processes", processes.cast("string")), F.lit("}"))
+
+
+@query("S16_machine_file", "select n_name as hostname, '/cache/' || n_regionkey as cache, case when n_regionkey > 1 then 'ssh ' || n_name end as prefix, case when n_regionkey = 3 then '&' end as postfix, cast(1 + n_nationkey % 4 as int) as processes from nation")
+def machine_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
-    head = F.when(F.col("n_nationkey") % 2 == 0, "#Ascii\n").otherwise("")
-    text = n.select(F.col("n_nationkey").alias("id"), F.concat(head, F.lit("BuildOptions {\n  ImageTile "), 256 + 64 * (F.col("n_nationkey") % 3), F.lit("\n  Name world"), "n_regionkey", F.lit("\n}")).alias("body"))
-    b = blocks(F.col("body"), "BuildOptions")[0]
-    return text.select("id", field(b, "ImageTile").cast("int").alias("image_tile"), field(b, "Name").alias("name"), F.col("body").startswith("#Ascii").alias("ascii_new"))
+    r = F.col("n_regionkey")
+    text = n.select(machine_block(F.col("n_name"), F.concat(F.lit("/cache/"), r), F.when(r > 1, F.concat(F.lit("ssh "), "n_name")), F.when(r == 3, "&"), 1 + F.col("n_nationkey") % 4).alias("body"))
+    return read_machines(text, "body")
+
+
+def read_definition(texts: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """Every option of the build from a definition's text, its default where the text says nothing. Both text forms, told apart by their first line, hold the same block."""
+    kinds = {"bool": "boolean", "int": "int", "float": "double", "str": "string"}
+    body = F.coalesce(F.get(blocks(F.col(column), "BuildOptions"), F.lit(0)), F.lit(""))
+    options = [F.coalesce(field(body, f.name).try_cast(kinds[f.type]), F.lit(f.default)).alias(f.name) for f in fields(BuildOptions)]
+    return texts.select(*keep, F.col(column).startswith("#Ascii").alias("ascii_new"), *options)
+
+
+@query("S13_build_definition", "select n_nationkey as id, n_nationkey % 2 = 0 as ascii_new, 256 + 64 * (n_nationkey % 3) as image_tile, n_regionkey <> 1 as power_of_two, 0.02::double * (1 + n_regionkey % 2) as skirt_ratio, case when n_regionkey = 2 then '.png' else '.dds' end as image_extension, 64 as terrain_tile, 7.0::double as distance_ratio, 'PagedLOD' as database_type from nation")
+def build_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions that say only what differs from the defaults, written and read back."""
+    n, o, r = table(spark, sf_dir, "nation"), BuildOptions(), F.col("n_regionkey")
+    given = {"image_tile": 256 + 64 * (F.col("n_nationkey") % 3), "power_of_two": r != 1, "skirt_ratio": 0.02 * (1 + r % 2), "image_extension": F.when(r == 2, ".png").otherwise(".dds")}
+    text = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "#Ascii\n").otherwise(""), definition_block(given, o))
+    found = read_definition(n.select(F.col("n_nationkey").alias("id"), text.alias("body")), "body", ["id"])
+    return found.select("id", "ascii_new", "image_tile", "power_of_two", "skirt_ratio", "image_extension", "terrain_tile", "distance_ratio", "database_type")
+
+
+def definition_block(options: dict[str, Column], defaults: BuildOptions) -> Column:
+    """K5: the options that differ from the defaults."""
+    lines = [F.when(v != getattr(defaults, k), F.concat(F.lit(f"  {k} "), v.cast("string"), F.lit("\n"))).otherwise("") for k, v in options.items()]
+    return F.concat(F.lit("BuildOptions {\n"), *lines, F.lit("}"))
 
 
 _REVS = "revs as (select 'base' || (o_custkey % 9) || '.' || (o_orderkey % 37) || '.source' as file from orders union all select 'notes.txt')"
