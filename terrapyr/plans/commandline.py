@@ -129,7 +129,7 @@ LINES = [
 @query("C9_command_lines", """select * from (values
   (0, 'option', 'geographic', 'True'), (0, 'option', 'image_extension', '.png'), (0, 'option', 'image_tile', '512'), (0, 'option', 'max_levels', '12'), (0, 'option', 'power_of_two', 'False'), (0, 'option', 'x_max', '10.0'), (0, 'option', 'x_min', '-10.0'), (0, 'option', 'y_max', '5.0'), (0, 'option', 'y_min', '-5.0'),
   (0, 'setting', 'output', 'out.ive'), (0, 'layer 0', 'a.tif', 'IMAGE'), (0, 'layer 1', 'b.tif', 'IMAGE layer=2 max_level=5 min_level=1 set_name=night'), (0, 'layer 2', 'c.img', 'HEIGHT_FIELD data_type=VECTOR'),
-  (1, 'option', 'equator_radius', '6367444.6571'), (1, 'option', 'geometry_type', 'POLYGONAL'), (1, 'option', 'geographic', 'False'), (1, 'option', 'inheritance', 'INHERIT_LOWEST_AVAILABLE'), (1, 'option', 'polar_radius', '6367444.6571'), (1, 'option', 'vertical_scale', '2.5'), (1, 'option', 'x_max', '10.0'), (1, 'option', 'x_min', '-10.0'), (1, 'option', 'y_max', '20.0'), (1, 'option', 'y_min', '-20.0'),
+  (1, 'option', 'equator_radius', '6367444.6570999995'), (1, 'option', 'geometry_type', 'POLYGONAL'), (1, 'option', 'geographic', 'False'), (1, 'option', 'inheritance', 'INHERIT_LOWEST_AVAILABLE'), (1, 'option', 'polar_radius', '6367444.6570999995'), (1, 'option', 'vertical_scale', '2.5'), (1, 'option', 'x_max', '10.0'), (1, 'option', 'x_min', '-10.0'), (1, 'option', 'y_max', '20.0'), (1, 'option', 'y_min', '-20.0'),
   (1, 'setting', 'geocentric', 'True'), (1, 'setting', 'primary_split', '3'), (1, 'setting', 'secondary_split', '6'), (1, 'optional set', 'night', ''), (1, 'layer 0', 'w.tif', 'IMAGE crs=WGS84 height_=180.0 width=360.0 x=-180.0 y=-90.0'), (1, 'layer 1', 'd.tif', 'HEIGHT_FIELD'),
   (2, 'option', 'interpolate_imagery', 'False'), (2, 'option', 'mipmap', 'False'), (2, 'option', 'quantize_bits', '4'), (2, 'option', 'skirt_ratio', '0.1'), (2, 'setting', 'texture_type', 'RGB_16'), (2, 'layer 0', 'h.shp', 'BUILDING'), (2, 'layer 1', 'f.shp', 'FOREST height=12.5 mask=0x3')
 ) t(line, kind, name, value) where not (line = 0 and name = 'geographic') order by 1, 2, 3""")

@@ -123,14 +123,14 @@ def handle_pool(handles: DataFrame, cap: int, newest: bool = False) -> DataFrame
 _POOL = "h as (select user_id as handle, max(ts) as last_access, arg_max(event_type, event_id) = 'purchase' as referenced from events group by 1)"
 
 
-@query("S9_handle_pool", f"with {_POOL} select handle, referenced, not referenced and rank <= over_ as evict from (select *, count(*) over () - 40 as over_, row_number() over (partition by referenced order by last_access, handle) as rank from h)")
+@query("S9_handle_pool", f"with {_POOL} select handle, referenced, not referenced and rank <= over_ as evict from (select *, count(*) over () - 8 as over_, row_number() over (partition by referenced order by last_access, handle) as rank from h)")
 def handle_pool_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return handle_pool(_handles(spark, sf_dir), 40).drop("last_access")
+    return handle_pool(_handles(spark, sf_dir), 8).drop("last_access")
 
 
-@query("R9_evict_newest", f"with {_POOL} select handle from (select *, count(*) over () - 40 as over_, row_number() over (partition by referenced order by last_access desc, handle) as rank from h) where not referenced and rank <= over_")
+@query("R9_evict_newest", f"with {_POOL} select handle from (select *, count(*) over () - 8 as over_, row_number() over (partition by referenced order by last_access desc, handle) as rank from h) where not referenced and rank <= over_")
 def handle_pool_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return handle_pool(_handles(spark, sf_dir), 40, newest=True).where("evict").select("handle")
+    return handle_pool(_handles(spark, sf_dir), 8, newest=True).where("evict").select("handle")
 
 
 def _handles(spark: SparkSession, sf_dir: str) -> DataFrame:
