@@ -202,7 +202,8 @@ def fold_letters(data: np.ndarray) -> np.ndarray:
 
 
 def slices(batch, mb: int = 1):
-    """Parts of an Arrow batch whose texts together have some MB at most, or one row."""
+    """Parts of an Arrow batch whose texts together have some MB at most, or one row. What was freed on the way goes back to the system, as workers live on."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -212,6 +213,7 @@ def slices(batch, mb: int = 1):
         end = max(begin + 1, int(np.searchsorted(total, base + mb * 2**20, side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    pa.default_memory_pool().release_unused()
 
 
 def keep_where(docs: DataFrame, wanted) -> DataFrame:
