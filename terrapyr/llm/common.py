@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of ids with no more rows than these are broadcast: some MB.
+HELD_ROWS = 200_000
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -211,7 +213,7 @@ def trim() -> None:
         pass
 
 
-def slices(batch, mb: int = 1):
+def slices(batch, mb: float = 1):
     """Parts of an Arrow batch whose texts together have some MB at most, or one row. What was freed on the way goes back to the system, as workers live on."""
     import pyarrow.compute as pc
 
@@ -219,7 +221,7 @@ def slices(batch, mb: int = 1):
     total, begin = np.cumsum(sizes), 0
     while begin < batch.num_rows:
         base = total[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total, base + mb * 2**20, side="right")))
+        end = max(begin + 1, int(np.searchsorted(total, base + int(mb * 2**20), side="right")))
         yield batch.slice(begin, end - begin)
         begin = end
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ hash, and every pair of a document and an item that share enough is then aligned
 So a question with other numbers, names or units is found, and one that only shares a frame
 is not. Null and empty texts have no words: such documents are clean and such items
 contaminate nothing, like those of an empty benchmark; an empty table of documents gives an
-empty one. Very long texts are worked on a batch of 1 MB or one text at a time; an alignment
+empty one. Very long texts are worked on half a MB or one text at a time; an alignment
 holds the matches of one document and one item. Rows are told apart by id and text: repeated
 rows get the same verdict, whatever their number. Ties do not arise: all items that are
 found are named, in order. Other columns may have any names.
@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _ODD, Spans, arrow_bytes, fold_letters, mix, slices, table, words
+from .common import _ODD, HELD_ROWS, Spans, arrow_bytes, fold_letters, mix, settle, slices, table, words
 
 WINDOW = 5
 PLAIN = 2
@@ -196,7 +196,7 @@ def _windows(texts: DataFrame, keys: list[str], held: np.ndarray | None) -> Data
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 0.5):
                 w = Windows(*arrow_bytes(part.column("text")))
                 rows = np.arange(len(w.hash))
                 if gate is not None:
@@ -305,7 +305,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without contaminated ones, in their own columns."""
-    bad = find(docs, benchmark, **options).select("_id", "_h")
+    bad = settle(find(docs, benchmark, **options).select("_id", "_h"), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= HELD_ROWS else bad
     same_text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_h"]
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & same_text, "left_anti")
 

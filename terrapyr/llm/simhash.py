@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import HELD_ROWS, settle, table
 from .components import components, forest
 
 CROWDED = 64
@@ -142,9 +142,12 @@ def keep_one(docs: DataFrame, got: DataFrame, named: DataFrame) -> DataFrame:
     # Rows that repeat id and text: rare, and only then looked at by content.
     twice = got.join(best, got["doc_id"].eqNullSafe(best["_id"]) & (got["h"] == best["_h"]), "left_semi").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     twice = settle(twice, "repeated")
-    kept = docs.join(best, same(best), "left_semi")
     if not twice.limit(1).count():
-        return kept
+        # What goes is mostly little: then no document is moved.
+        gone = settle(got.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).join(best.withColumnsRenamed({"_id": "_i", "_h": "_j"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h").eqNullSafe(F.col("_j"))), "left_anti"), "removed")
+        if gone.count() <= HELD_ROWS:
+            return docs.join(F.broadcast(gone), docs["doc_id"].eqNullSafe(gone["_id"]) & own.eqNullSafe(gone["_h"]), "left_anti")
+        return docs.join(best, same(best), "left_semi")
     once = best.join(twice, best["_id"].eqNullSafe(twice["_id"]) & (best["_h"] == twice["_h"]), "left_anti")
     return docs.join(once, same(once), "left_semi").union(docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
