@@ -73,11 +73,11 @@ def skirt_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A15_culling_cone", D[:-1] + f", v as (select *, {_XYZ} from ({_LL})), m as (select tx, ty, avg(x) as ax, avg(y) as ay, avg(z) as az from v group by all), u as (select v.*, ax / sqrt(ax * ax + ay * ay + az * az) as cx, ay / sqrt(ax * ax + ay * ay + az * az) as cy, az / sqrt(ax * ax + ay * ay + az * az) as cz, sqrt(x * x + y * y + z * z) as len from v join m using (tx, ty)) select tx, ty, case when min((x * cx + y * cy + z * cz) / len) >= 0 then round(min((x * cx + y * cy + z * cz) / len), 9) end as min_dot, max(h) as max_height, round(max(len), 3) as max_radius, bool_or((x * cx + y * cy + z * cz) / len < 0) as wraps from u group by all")
 def culling_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cone of directions that a tile covers; null if it wraps around."""
-    v = _globe(dem(spark, sf_dir))
-    m = v.groupBy("tx", "ty").agg(*[F.avg(a).alias("a" + a) for a in "xyz"])
+    """The cone of directions that a tile covers; null if it wraps around. Posts are dealt out by tile, so a tile's mean is a window over its own posts."""
+    over = W.partitionBy("tx", "ty")
+    v = _globe(dem(spark, sf_dir).where("tx is not null and ty is not null"))
     n = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") + F.col("az") * F.col("az"))
-    u = v.join(m, ["tx", "ty"]).withColumn("len", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
+    u = v.withColumns({"a" + a: F.avg(a).over(over) for a in "xyz"}).withColumn("len", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
     dot = (F.col("x") * F.col("ax") + F.col("y") * F.col("ay") + F.col("z") * F.col("az")) / n / F.col("len")
     return u.withColumn("dot", dot).groupBy("tx", "ty").agg(F.when(F.min("dot") >= 0, F.round(F.min("dot"), 9)).alias("min_dot"), F.max("h").alias("max_height"), F.round(F.max("len"), 3).alias("max_radius"), F.bool_or(F.col("dot") < 0).alias("wraps"))
 
