@@ -37,10 +37,10 @@ def geocentric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("P15_local_frame", D + f"select tx, ty, c, r, round(-sin(l) * (x - ox) + cos(l) * (y - oy), 3) + 0.0::double as east, round(-sin(p) * cos(l) * (x - ox) - sin(p) * sin(l) * (y - oy) + cos(p) * (z - oz), 3) + 0.0::double as north, round(cos(p) * cos(l) * (x - ox) + cos(p) * sin(l) * (y - oy) + sin(p) * (z - oz), 3) + 0.0::double as up from (select *, {_XYZ} from ({_LL})) join (select tx, ty, x as ox, y as oy, z as oz, radians(lat) as p, radians(lon) as l from (select *, {_XYZ} from (select * replace (0.0::double as h) from ({_LL}) where c = 4 and r = 4))) using (tx, ty)")
 def local_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """East, north and up at the tile's centre; its transpose leads back."""
+    """East, north and up at the tile's centre; its transpose leads back. Sides of this join are estimated by the few rows that they come from: neither must be broadcast."""
     posts = _globe(dem(spark, sf_dir))
     mid = _globe(dem(spark, sf_dir).where("c = 4 and r = 4").withColumn("h", F.lit(0.0))).select("tx", "ty", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.radians(F.col("gy") * STEP).alias("phi"), F.radians(F.col("gx") * STEP).alias("lam"))
-    j = posts.join(mid, ["tx", "ty"])
+    j = posts.join(mid.hint("merge"), ["tx", "ty"])
     dx, dy, dz, p, l = F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), F.col("z") - F.col("oz"), F.col("phi"), F.col("lam")
     east = -F.sin(l) * dx + F.cos(l) * dy
     north = -F.sin(p) * F.cos(l) * dx - F.sin(p) * F.sin(l) * dy + F.cos(p) * dz
@@ -240,7 +240,7 @@ def place_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap, attributes (a height of 10 where there is none), drape and the top of the extrusion in one plan."""
     v = _vertices(spark, sf_dir)
     z = drape(v, ["feature_id", "i"], dem(spark, sf_dir))
-    j = v.join(z, ["feature_id", "i"]).where("z is not null and x between 4 and 36 and y between 0 and 12")
+    j = v.join(z.hint("merge"), ["feature_id", "i"]).where("z is not null and x between 4 and 36 and y between 0 and 12")
     return j.groupBy("feature_id", "kind").agg(F.count("*").alias("vertices"), F.round(F.min("z"), 6).alias("ground"), F.round(F.max("z") + F.coalesce(F.first("hgt"), F.lit(10.0)), 6).alias("top"))
 
 
