@@ -3,9 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from terrapyr.fixtures import dem
-from terrapyr.operators import mesh, raster
+from terrapyr.fixtures import dem, fixture
+from terrapyr.operators import mesh, raster, tiling
 from terrapyr.registry import SQL
 
 from .compare import assert_same
@@ -64,3 +65,32 @@ def test_odd_rasters_are_sampled_as_in_sql(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     assert_same(SAMPLED[name](spark, str(tmp_path)), con.execute(SQL[name]))
+
+
+TILED = [tiling.source_attachment]
+
+
+@pytest.mark.parametrize("f", TILED)
+def test_sources_and_tiles_are_never_broadcast(spark, f):
+    assert "BroadcastExchange" not in plan(f(spark, SF))
+
+
+def _odd_sources(spark):
+    """One id on several rows: the same place twice, a place in another, apart, at other levels; two without an id."""
+    rows = [
+        (1, "IMAGE", -20.0, -20.0, 20.0, 20.0, 64, 64, 0, 9), (1, "IMAGE", -20.0, -20.0, 20.0, 20.0, 64, 64, 0, 9), (1, "IMAGE", -5.0, -5.0, 5.0, 5.0, 512, 512, 0, 9),
+        (2, "IMAGE", 0.0, 0.0, 3.0, 3.0, 256, 256, 0, 9), (2, "HEIGHT_FIELD", 100.0, 10.0, 103.0, 13.0, 16, 16, 0, 9), (3, "IMAGE", 1.0, 1.0, 4.0, 2.0, 128, 128, 0, 5),
+        (4, "HEIGHT_FIELD", -180.0, -90.0, 180.0, 90.0, 8, 8, 0, 9), (4, "IMAGE", 2.0, 2.0, 4.0, 4.0, 256, 256, 0, 9), (None, "IMAGE", 50.0, 50.0, 52.0, 52.0, 64, 64, 0, 9), (None, "IMAGE", 50.0, 50.0, 52.0, 52.0, 64, 64, 0, 9),
+    ]
+    return spark.createDataFrame(rows, "source_id long, source_type string, x_min double, y_min double, x_max double, y_max double, num_x int, num_y int, min_level int, max_level int")
+
+
+def test_counted_attachments_are_those_that_are_listed(spark):
+    s = _odd_sources(spark)
+    tiles = tiling.complete(tiling.tile_sources(s).select(*tiling.KEY).distinct()).cache()
+    pairs = tiling.attach(tiles, s).cache()
+    placed, places = tiling.attachments(tiles, s)
+    counted = {r["level"]: r["n"] for r in places.groupBy("level").agg(F.sum(F.col("sources") * F.col("n")).alias("n")).collect()}
+    assert counted == {r["level"]: r["n"] for r in pairs.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    bits = {r["source_id"]: r["bits"] for r in tiling.levels_of(placed, places).collect()}
+    assert bits == {r["source_id"]: r["b"] for r in pairs.where("source_id is not null").groupBy("source_id").agg(F.bit_or(F.expr("shiftleft(1L, level)")).alias("b")).collect()}
