@@ -67,7 +67,7 @@ def test_odd_rasters_are_sampled_as_in_sql(spark, tmp_path, name):
     assert_same(SAMPLED[name](spark, str(tmp_path)), con.execute(SQL[name]))
 
 
-TILED = [tiling.source_attachment]
+TILED = [tiling.source_attachment, tiling.contributing_sources]
 
 
 @pytest.mark.parametrize("f", TILED)
@@ -89,6 +89,9 @@ def test_counted_attachments_are_those_that_are_listed(spark):
     s = _odd_sources(spark)
     tiles = tiling.complete(tiling.tile_sources(s).select(*tiling.KEY).distinct()).cache()
     pairs = tiling.attach(tiles, s).cache()
+    listed = pairs.groupBy(*tiling.KEY).agg(F.count_distinct("source_id").alias("n_sources"), F.min("source_id").alias("first_source"), F.max("source_id").alias("last_source"))
+    rows = lambda d: sorted(map(tuple, d.select(*listed.columns).collect()), key=repr)
+    assert rows(tiling.contributions(tiles, s)) == rows(listed)
     placed, places = tiling.attachments(tiles, s)
     counted = {r["level"]: r["n"] for r in places.groupBy("level").agg(F.sum(F.col("sources") * F.col("n")).alias("n")).collect()}
     assert counted == {r["level"]: r["n"] for r in pairs.groupBy("level").agg(F.count("*").alias("n")).collect()}
