@@ -67,7 +67,7 @@ def test_odd_rasters_are_sampled_as_in_sql(spark, tmp_path, name):
     assert_same(SAMPLED[name](spark, str(tmp_path)), con.execute(SQL[name]))
 
 
-TILED = [tiling.source_attachment, tiling.contributing_sources, tiling.contributing_semi]
+TILED = [tiling.source_attachment, tiling.contributing_sources, tiling.contributing_semi, tiling.need_to_divide]
 
 
 @pytest.mark.parametrize("f", TILED)
@@ -97,3 +97,13 @@ def test_counted_attachments_are_those_that_are_listed(spark):
     assert counted == {r["level"]: r["n"] for r in pairs.groupBy("level").agg(F.count("*").alias("n")).collect()}
     bits = {r["source_id"]: r["bits"] for r in tiling.levels_of(placed, places).collect()}
     assert bits == {r["source_id"]: r["b"] for r in pairs.where("source_id is not null").groupBy("source_id").agg(F.bit_or(F.expr("shiftleft(1L, level)")).alias("b")).collect()}
+
+
+def test_sources_alike_count_once_for_resolutions(spark):
+    """Three times the sources make no more pairs, and the same steps."""
+    s = fixture(spark, SF, "source")
+    tiles = tiling.complete(tiling.tile_sources(s).select(*tiling.KEY).distinct()).cache()
+    one, three = tiling.resolutions(tiles, s), tiling.resolutions(tiles, copies(s, 3))
+    assert one.count() == three.count() and one.exceptAll(three).count() == 0
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\), REPARTITION_BY_NUM", plan(three))
+    assert any("source_type#" in k and "set_name#" in k for k in dealt), dealt
