@@ -67,7 +67,7 @@ def test_odd_rasters_are_sampled_as_in_sql(spark, tmp_path, name):
     assert_same(SAMPLED[name](spark, str(tmp_path)), con.execute(SQL[name]))
 
 
-TILED = [tiling.source_attachment, tiling.contributing_sources, tiling.contributing_semi, tiling.need_to_divide]
+TILED = [tiling.source_attachment, tiling.contributing_sources, tiling.contributing_semi, tiling.need_to_divide, tiling.tile_sizes_as_posts]
 
 
 @pytest.mark.parametrize("f", TILED)
